@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .constants import LABEL_FAKE, LABEL_REAL, REAL, SOURCE_TECHNIQUES, TECHNIQUE_ORDER
+from .constants import (
+    DIFFUSION_GENERATORS, HELD_OUT_GENERATORS, LABEL_FAKE, LABEL_REAL, REAL, SOURCE_TECHNIQUES,
+    TECHNIQUE_ORDER, TRAINING_GENERATORS,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,22 +56,52 @@ def scored_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Generator name of document source 5, 6, ... 19.
+SOURCE_GENERATORS = TRAINING_GENERATORS + DIFFUSION_GENERATORS + HELD_OUT_GENERATORS + ("unlisted_model",)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a corpus manifest."""
+    """Documents as a corpus manifest: sources 0-4 are real, the others stand for generators."""
     number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     real = number <= 4
+    name = F.try_element_at(F.array(*[F.lit(g) for g in SOURCE_GENERATORS]), number - 4)
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("sample_id"),
         F.concat(F.when(real, F.lit("real")).otherwise(F.lit("fake")), F.lit("/"), F.col("source"),
-                 F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+                 F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
         F.when(real, LABEL_REAL).otherwise(LABEL_FAKE).alias("label"),
-        F.when(real, F.lit(REAL)).otherwise(F.col("source")).alias("generator"),
-        F.col("source"), number.alias("source_no"),
+        F.when(real, F.lit(REAL)).otherwise(name).alias("generator"),
+        F.col("source"),
         F.md5(F.col("text").cast("binary")).alias("content_hash"),
         F.col("n_chars").alias("size"),
     )
 
 
+def components(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Three partly overlapping component tables (name, split, label, score) over events."""
+    base = scored_wide(spark, sf_dir).select(
+        F.concat(F.lit("event_"), F.col("sample_id").cast("string")).alias("name"),
+        F.when(F.pmod("sample_id", F.lit(10)) < 7, F.lit("train"))
+        .when(F.pmod("sample_id", F.lit(10)) == 7, F.lit("val")).otherwise(F.lit("test")).alias("split"),
+        "label", "sample_id", "t01", "t02")
+    keep = lambda k, score: base.filter(F.pmod("sample_id", F.lit(k)) != 0).select(
+        "name", "split", "label", score.alias("score"))
+    return {
+        "perspective_fields": keep(3, F.pmod("sample_id", F.lit(101)) / 100.0),
+        "line_segment": keep(4, F.col("t02")),
+        "object_shadow": keep(5, F.col("t01")),
+    }
+
+
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four embedding rows as the instance masks of one sample, in two classes."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 4).alias("sample"), F.col("vec_id").alias("instance"),
+        F.pmod("vec_id", F.lit(2)).cast("int").alias("klass"),
+        F.posexplode("embedding").alias("pixel", "v"),
+    ).select("sample", "instance", "klass", "pixel", ((F.col("v").cast("double") + 1.0) / 2.0).alias("value"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8x8 pixel blocks: 64 values in 0..255."""
     return table(spark, sf_dir, "embeddings").select(
