@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..constants import LABEL_FAKE, LABEL_REAL, SEED
 from ..functions.hashing import hex_number, seeded_md5
 from ..functions.numeric import ratio, two_sided_p
+from ..session import materialize
 from .metrics import auc
 from .ranking import fixed_block, hot_key_join, seeded_rank
 
@@ -112,50 +113,45 @@ def delong_pairs(
     """Paired AUC comparison of technique pairs on the samples both have scored.
 
     The variance of the difference is the variance of per-sample placement
-    differences, so no fake is ever compared with every real. z and p are NULL
-    when that variance is zero.
+    differences, so no fake is ever compared with every real. All pairs run in one
+    plan over the score matrix, which is written once. z and p are NULL when the
+    variance is zero.
     """
-    group = list(group)
-    out = None
-    for a, b in pairs:
-        both = (
-            df.filter(F.col(technique).isin(a, b) & F.col(score).isNotNull())
-            .groupBy(*group, sample)
-            .agg(F.max(label).alias(label),
-                 F.max(F.when(F.col(technique) == a, F.col(score))).alias("sa"),
-                 F.max(F.when(F.col(technique) == b, F.col(score))).alias("sb"))
-            .filter(F.col("sa").isNotNull() & F.col("sb").isNotNull())
-        )
-        one = _delong(both, group, sample, label, n_blocks).withColumns(
-            {"technique_a": F.lit(a), "technique_b": F.lit(b)})
-        out = one if out is None else out.unionByName(one)
-    return out.select(*group, "technique_a", "technique_b", "auc_a", "auc_b", "difference", "z",
-                      "p_value")
-
-
-def _delong(both: DataFrame, group: list[str], sample: str, label: str,
-            n_blocks: int | None) -> DataFrame:
-    total = both.agg(F.count("*").alias("_total"))
-    joined = both
-    for side in ("a", "b"):
-        place = placements(both, group, f"s{side}", label, n_blocks).withColumnsRenamed(
-            {"v10": f"v10{side}", "v01": f"v01{side}"})
-        joined = hot_key_join(joined, place, [*group, f"s{side}"], "n", total, sample)
-    fake, real = F.col(label) == LABEL_FAKE, F.col(label) == LABEL_REAL
-    d10, d01 = F.col("v10a") - F.col("v10b"), F.col("v01a") - F.col("v01b")
-    moments = joined.groupBy(*group).agg(
-        F.avg(F.when(fake, F.col("v10a"))).alias("auc_a"),
-        F.avg(F.when(fake, F.col("v10b"))).alias("auc_b"),
+    names = sorted({t for pair in pairs for t in pair})
+    matrix = materialize(
+        df.filter(F.col(technique).isin(*names) & F.col(score).isNotNull())
+        .groupBy(*group, sample)
+        .agg(F.max(label).alias("_y"),
+             *[F.max(F.when(F.col(technique) == t, F.col(score))).alias(t) for t in names]),
+        "matrix")
+    sides = F.array(*[
+        F.struct(F.lit(a).alias("technique_a"), F.lit(b).alias("technique_b"),
+                 F.lit(side).alias("_side"), F.col(a if side == "a" else b).cast("double").alias("_s"),
+                 (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("_both"))
+        for a, b in pairs for side in "ab"])
+    keys = [*group, "technique_a", "technique_b"]
+    rows = (
+        matrix.select(*group, F.col(sample).alias("_id"), "_y", F.explode(sides).alias("_p"))
+        .select(*group, "_id", "_y", "_p.*").filter("_both").drop("_both"))
+    place = placements(rows, [*keys, "_side"], "_s", "_y", n_blocks)
+    total = rows.agg(F.count("*").alias("_total"))
+    own = F.when(F.col("_y") == LABEL_FAKE, F.col("v10")).otherwise(F.col("v01"))
+    placed = (
+        hot_key_join(rows, place, [*keys, "_side", "_s"], "n", total, "_id")
+        .withColumn("_v", own).groupBy(*keys, "_id", "_y")
+        .agg(F.max(F.when(F.col("_side") == "a", F.col("_v"))).alias("va"),
+             F.max(F.when(F.col("_side") == "b", F.col("_v"))).alias("vb")))
+    fake, real, d = F.col("_y") == LABEL_FAKE, F.col("_y") == LABEL_REAL, F.col("va") - F.col("vb")
+    moments = placed.groupBy(*keys).agg(
+        F.avg(F.when(fake, F.col("va"))).alias("auc_a"), F.avg(F.when(fake, F.col("vb"))).alias("auc_b"),
         F.count_if(fake).alias("m"), F.count_if(real).alias("k"),
-        F.var_samp(F.when(fake, d10)).alias("s10"), F.var_samp(F.when(real, d01)).alias("s01"))
-    defined = moments.filter("m > 0 and k > 0") if not group else moments
-    variance = F.col("s10") / F.col("m") + ratio(F.col("s01"), F.col("k"))
-    z = F.when(variance > 0, F.col("difference") / F.sqrt(variance))
+        F.var_samp(F.when(fake, d)).alias("s10"), F.var_samp(F.when(real, d)).alias("s01"))
+    variance = ratio(F.col("s10"), F.col("m")) + ratio(F.col("s01"), F.col("k"))
     return (
-        defined.withColumn("difference", F.col("auc_a") - F.col("auc_b"))
-        .withColumn("z", z).withColumn("p_value", two_sided_p(F.col("z")))
-        .drop("m", "k", "s10", "s01")
-    )
+        moments.withColumn("difference", F.col("auc_a") - F.col("auc_b"))
+        .withColumn("z", F.when(variance > 0, F.col("difference") / F.sqrt(variance)))
+        .withColumn("p_value", two_sided_p(F.col("z")))
+        .select(*keys, "auc_a", "auc_b", "difference", "z", "p_value"))
 
 
 # --- bootstrap --------------------------------------------------------------
