@@ -81,16 +81,21 @@ def benford_divergences(df: DataFrame, keys: Sequence[str], value: str,
             unseen = F.when(base == b, F.lit(d.unseen(b))).otherwise(unseen)
             flat = sum(d.number(1.0 / (b - 1), np.log(1 + 1 / k) / np.log(b)) for k in range(1, b))
             uniform = F.when(base == b, F.lit(float(flat))).otherwise(uniform)
-        def gain(acc: Column, c: Column, d=d) -> Column:
-            p = clipped(c["n"].cast("double") / F.col("_total"))
-            q = clipped(benford_share(c["digit"].cast("double"), base))
-            return acc + d.term(p, q) - d.term(clipped(F.lit(0.0)), q)
-        seen = F.aggregate("_cells", unseen, gain)
+        seen = F.aggregate("_cells", unseen, _gain(d, base, F.col("_total")))
         value_ = d.close(F.when(F.col("_total") == 0, uniform).otherwise(seen))
         out.append(F.coalesce(F.nanvl(value_, F.lit(0.0)), F.lit(0.0)).alias(name))
     return groups.select(*keys, "base", *out)
 
 
+def _gain(d, base: Column, total: Column):
+    """Step that swaps the unseen term of one digit for its observed term."""
+    def step(acc: Column, cell: Column) -> Column:
+        p = clipped(cell["n"].cast("double") / total)
+        q = clipped(benford_share(cell["digit"].cast("double"), base))
+        return acc + d.term(p, q) - d.term(clipped(F.lit(0.0)), q)
+    return step
+
+
 # --- block DCT --------------------------------------------------------------
 
 def dct_basis() -> np.ndarray:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hex_number, seeded_md5
-from ..session import default_blocks, small_table
+from ..session import default_blocks, materialize, small_table
 
 HASH_DIGITS = 3
 HASH_BLOCKS = 16 ** HASH_DIGITS
@@ -69,6 +69,23 @@ def fixed_block(df: DataFrame, value: str, n_blocks: int | None = None) -> Colum
     return block_of(F.col(value), F.array(*[F.lit(float(p)) for p in points]), len(points))
 
 
+def row_numbers(df: DataFrame, order: str, out: str = "row_number") -> DataFrame:
+    """Dense 0-based numbers in the order of a column, from a range-partitioned sort.
+
+    The sorted rows are written once so that partition offsets stay true.
+    """
+    ordered = materialize(df.orderBy(order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m", 33)
+    # One row per sorted partition, so this window is small.
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_c")).select(
+        "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    starts, _ = small_table(starts, 100_000)
+    local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ordered.withColumn("_part", part).join(starts, "_part")
+            .withColumn(out, F.col("_start") + local).drop("_part", "_start", "_m"))
+
+
 # --- exact seeded ranks -----------------------------------------------------
 
 def _hashed(df: DataFrame, id_col: str, seed) -> DataFrame:

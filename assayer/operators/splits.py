@@ -151,7 +151,7 @@ def list_ordered(listing: DataFrame, present: DataFrame, key: str, position: str
 
     ``index='present'`` numbers the kept items; ``index='list'`` keeps their place in the list.
     """
-    kept = listing.join(present.select(key).distinct(), key, "left_semi").orderBy(position).limit(limit)
+    kept = listing.join(present.select(key), key, "left_semi").orderBy(position).limit(limit)
     if index == "list":
         return kept.withColumn("item_index", F.col(position))
     # The window sees at most ``limit`` rows.

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
 from ..constants import COMPONENTS, LABEL_FAKE, LABEL_REAL, PATH_COLUMNS, PUBLISHED, REAL, SCORE_COLUMNS
 from ..functions.numeric import blank_to_null
 from ..functions.paths import basename, posix_path, stem
 from ..operators.filters import keep_last
+from ..operators.ranking import row_numbers
 
 MANIFEST_SCHEMA = "path string, label int, generator string, split string"
 # ``real/<source>/`` and ``fake/<generator>/``, plain or as ``key=value`` folders.
@@ -117,10 +117,9 @@ def by_position(entries: DataFrame, scores: DataFrame, order: str) -> DataFrame:
     n, m = entries.count(), scores.count()
     if n != m:
         raise ValueError(f"{m} scores for {n} entries and no path column")
-    number = lambda df, by: (
-        df.orderBy(by).rdd.zipWithIndex().map(lambda t: (*t[0], t[1]))
-        .toDF(StructType(df.schema.fields).add("_n", "bigint")))
-    return number(entries, order).join(number(scores, "position").drop("position"), "_n").drop("_n")
+    left = row_numbers(entries, order)
+    right = row_numbers(scores, "position").drop("position")
+    return left.join(right, "row_number").drop("row_number")
 
 
 def read_components(spark: SparkSession, path: str, name_column: str = "name",
@@ -137,9 +136,13 @@ def read_components(spark: SparkSession, path: str, name_column: str = "name",
                       *[cell(c).alias(c) for c in COMPONENTS])
 
 
+_FILE_KEY = {"name": "_metadata.file_name", "path": "_metadata.file_path"}
+
+
 def read_component_files(spark: SparkSession, pattern: str, column: str,
-                         skip: str = "failures") -> DataFrame:
-    """(name, split, label, score) over many files; for a repeated name the last file wins.
+                         skip: str = "failures", by: str = "name") -> DataFrame:
+    """(name, split, label, score) over many files; for a repeated name the last file wins,
+    files being ordered by ``name`` or, for folders of parts, by ``path``.
 
     Files whose name contains ``skip`` and files without the column are left out.
     Files are grouped by header first, so each layout is read once.
@@ -159,7 +162,7 @@ def read_component_files(spark: SparkSession, pattern: str, column: str,
                .csv(row["files"]))
         part = raw.select("name", "split", F.col("label").cast("int").alias("label"),
                           blank_to_null(F.col(column)).alias("score"),
-                          F.col("_metadata.file_name").alias("_f"), F.monotonically_increasing_id().alias("_o"))
+                          F.col(_FILE_KEY[by]).alias("_f"), F.monotonically_increasing_id().alias("_o"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"no file with column {column} at {pattern}")
@@ -175,10 +178,11 @@ def read_stored_scores(spark: SparkSession, path: str, expected: DataFrame,
     return scores.join(full.select(*by), list(by), "left_semi")
 
 
-def latest_result(spark: SparkSession, pattern: str, schema: str, technique: str) -> DataFrame:
-    """Rows of one technique from the newest result file by name."""
+def latest_result(spark: SparkSession, pattern: str, schema: str, technique: str,
+                  by: str = "name") -> DataFrame:
+    """Rows of one technique from the newest result file by name (or by path)."""
     rows = spark.read.schema(schema).option("header", True).csv(pattern).withColumn(
-        "_f", F.col("_metadata.file_name"))
+        "_f", F.col(_FILE_KEY[by]))
     newest = rows.agg(F.max("_f").alias("_f")).scalar()
     return rows.filter((F.col("_f") == newest) & (F.col("technique") == technique)).drop("_f")
 
