@@ -106,13 +106,13 @@ def benford_feature_vectors(spark, d):
 
 
 @query("named_features", f"with {_FEATS}" + _digits_sql("x", "sample, quality, ac") + ", ff as (" + _DIV.format(keys="sample, quality, ac").replace("cl as", "with cl as", 1) +
-       """) select name, round(avg(value),5) as mean from (select 'qf'||quality||'_ac'||ac||'_b'||base||'_'||d as name, value from ff,
+       """) select name, round(max(value),6) as highest from (select 'qf'||quality||'_ac'||ac||'_b'||base||'_'||d as name, value from ff,
  lateral (values ('jensen_shannon',jensen_shannon),('renyi',renyi),('tsallis',tsallis)) v(d,value)) group by 1""")
 def named_features(spark, d):
     v = features.feature_vectors(blocks(spark, d))
     flat = v.select(F.posexplode("features").alias("position", "value"))
-    m = flat.groupBy("position").agg(F.avg(F.round("value", 6)).alias("mean"))
-    return rounded(m.join(features.feature_names(spark), "position").select("name", "mean"), "mean", digits=5)
+    m = flat.groupBy("position").agg(F.max("value").alias("highest"))
+    return rounded(m.join(features.feature_names(spark), "position").select("name", "highest"), "highest")
 
 
 _PAIRS = BLOCKS + """, grid as (select y, x from range(0,8) a(y), range(0,8) b(x)),

@@ -132,3 +132,11 @@ def forest_scores(spark, d):
 def forest_importances(spark, d):
     model = _forest(_samples(spark, d))
     return rounded(model.importances(features.feature_names(spark)), "weight")
+
+
+@query("stored_run_status", "select 'T05' as technique, count(*) n, 0::bigint n_not_finite, 0::bigint n_out_of_range, count(*) n_expected, '' as error, 'ok' as status from events where event_id%10>=8")
+def stored_run_status(spark, d):
+    """Score with the fusion, store, validate; the time per sample is not compared."""
+    s = _split(scored_long(spark, d))
+    test = errors.score_matrix(s.filter("split = 'test'"), SOURCE_TECHNIQUES, carry=["label"]).withColumn("technique", F.lit("T05"))
+    return evaluation.score_and_store(evaluation.fit_fusion(s), test, shared_dir(spark, "run")).drop("ms_per_sample")

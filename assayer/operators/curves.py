@@ -194,13 +194,15 @@ def bootstrap_interval(
                 r = np.array([b["br"] for b in row.blocks], dtype=np.int64)
                 if p.sum() == 0 or r.sum() == 0:
                     continue
-                dp = rng.multinomial(p.sum(), p / p.sum(), size=n_resamples)
-                dr = rng.multinomial(r.sum(), r / r.sum(), size=n_resamples)
-                head = {g: getattr(row, g) for g in group}
-                yield pd.DataFrame([
-                    {**head, "blk": b["blk"], "block_key": f"{row.key[:10]}{i:05x}",
-                     "dp": dp[:, i].tolist(), "dr": dr[:, i].tolist()}
-                    for i, b in enumerate(row.blocks)])
+                head = {g: [getattr(row, g)] for g in group}
+                left_p, left_r = np.full(n_resamples, p.sum()), np.full(n_resamples, r.sum())
+                # A multinomial as a chain of binomials: one block of counts at a time.
+                for i, b in enumerate(row.blocks):
+                    dp = rng.binomial(left_p, min(1.0, p[i] / max(1, p[i:].sum())))
+                    dr = rng.binomial(left_r, min(1.0, r[i] / max(1, r[i:].sum())))
+                    left_p, left_r = left_p - dp, left_r - dr
+                    yield pd.DataFrame({**head, "blk": [b["blk"]], "block_key": [f"{row.key[:10]}{i:05x}"],
+                                        "dp": [dp], "dr": [dr]})
 
     head_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema
                             if f.name in group)

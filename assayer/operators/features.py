@@ -31,13 +31,16 @@ def benford_law(spark, bases: Sequence[int] = BENFORD_BASES) -> DataFrame:
     )
 
 
-def digit_counts(df: DataFrame, keys: Sequence[str], value: str, bases: Sequence[int]) -> DataFrame:
+def digit_counts(df: DataFrame, keys: Sequence[str], value: str, bases: Sequence[int],
+                 few_values: bool = False) -> DataFrame:
     """(keys, base, digit, n) of non-zero values.
 
-    Values are counted before bases multiply them, so repeats cost one row. A group
-    with only zeros keeps one row with a NULL digit and n = 0.
+    Continuous values go straight to at most 126 cells per key and input task.
+    ``few_values`` counts equal values first, so that bases multiply counts, not rows.
+    A group with only zeros keeps one row with a NULL digit and n = 0.
     """
-    values = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    values = (df.groupBy(*keys, value).agg(F.count("*").alias("_c")) if few_values
+              else df.select(*keys, value, F.lit(1).cast("bigint").alias("_c")))
     return (
         values.withColumn("base", F.explode(F.array(*[F.lit(int(b)) for b in bases])))
         .withColumn("digit", first_digit(F.col(value), F.col("base")))
@@ -63,14 +66,14 @@ def digit_distribution(df: DataFrame, keys: Sequence[str], value: str, bases: Se
 
 def benford_divergences(df: DataFrame, keys: Sequence[str], value: str,
                         bases: Sequence[int] = BENFORD_BASES,
-                        names: Sequence[str] = DIVERGENCES) -> DataFrame:
+                        names: Sequence[str] = DIVERGENCES, few_values: bool = False) -> DataFrame:
     """(keys, base, one column per divergence) between observed digits and the law.
 
     Only digits that occur are summed; the rest enter through a constant per base.
     """
     keys = list(keys)
     cells = F.filter(F.collect_list(F.struct("digit", "n")), lambda c: c["digit"].isNotNull())
-    groups = digit_counts(df, keys, value, bases).groupBy(*keys, "base").agg(
+    groups = digit_counts(df, keys, value, bases, few_values).groupBy(*keys, "base").agg(
         F.sum("n").alias("_total"), cells.alias("_cells"))
     base = F.col("base")
     out = []
@@ -165,7 +168,7 @@ def benford_features(blocks: DataFrame, sample: str = "sample", pixels: str = "p
                  F.rint(F.col("coef")[i] / F.lit(float(quality_table(q)[pos]))).cast("int").alias("v"))
         for q in qualities for i, pos in enumerate(positions)])
     values = dct.select(sample, F.explode(cells).alias("c")).select(sample, "c.*")
-    return benford_divergences(values, [sample, "quality", "ac"], "v", bases)
+    return benford_divergences(values, [sample, "quality", "ac"], "v", bases, few_values=True)
 
 
 def feature_index(quality: Column, ac: Column, base: Column, divergence: int,

@@ -50,6 +50,7 @@ def scaling(filled: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float,
     return {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"]) if row[f"s_{c}"] > 1e-12 else 1.0) for c in columns}
 
 
+
 def standardised(filled: DataFrame, scales: Mapping[str, tuple[float, float]]) -> DataFrame:
     return filled.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scales.items()})
 

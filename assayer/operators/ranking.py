@@ -165,22 +165,23 @@ def seeded_parts(
 
 def hot_key_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str, total: DataFrame,
-    spread_by: str, share: int = 256, max_hot: int = 100_000,
+    spread_by: str, share: int | None = None,
 ) -> DataFrame:
     """Left join where a few keys of ``rows`` may be very frequent.
 
     ``lookup`` has one row per key and ``weight`` = how many rows carry it;
     ``total`` is one row with ``_total``. Keys above ``1/share`` of all rows number at
     most ``share`` and are broadcast; their rows are spread over the shuffle of
-    the remaining keys, which are all small.
+    the remaining keys, each of which is a fraction of a mean partition.
     """
     on = list(on)
+    share = share or max(256, 4 * default_blocks(rows.sparkSession))
     values = [c for c in lookup.columns if c not in on and c != weight]
     limit = total.select(F.ceil(F.col("_total") / share).cast("bigint")).scalar()
     hot, fits = small_table(
         lookup.filter(F.col(weight) >= limit).drop(weight)
         .withColumnsRenamed({v: f"_hot_{v}" for v in values}).withColumn("_is_hot", F.lit(True)),
-        max_hot)
+        share)
     if not fits:  # cannot happen for a true weight: at most ``share`` keys qualify
         raise ValueError("lookup weights do not describe the rows")
     cold = lookup.drop(weight).withColumn("_salt", F.lit(0))

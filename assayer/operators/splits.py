@@ -121,8 +121,7 @@ def balanced_sample(df: DataFrame, limit: int, seed=SEED, label: str = "label",
 
 def exact_sample(df: DataFrame, n: int, seed=SEED, id_col: str = "sample_id") -> DataFrame:
     """Exactly ``n`` rows, or all of them when there are fewer."""
-    h = seeded_md5(seed, id_col)
-    return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
+    return seeded_parts(df, [], id_col, seed, lambda _: [F.lit(n)], "_part").filter("_part = 0").drop("_part")
 
 
 def stratified_folds(df: DataFrame, folds: int = CV_FOLDS, seed=SEED, label: str = "label",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import FUSION, SEED, SOURCE_TECHNIQUES, TRAINING_SEEDS
@@ -15,7 +17,7 @@ from ..operators.errors import (
     hit_distribution, hits, inversions, low_recall_without_inversion, score_matrix,
 )
 from ..operators.features import condition_grid, perturb_signal
-from ..operators.filters import status_columns
+from ..operators.filters import status_columns, validate_scores
 from ..operators.fusion import Fusion
 from ..operators.metrics import evaluate, evaluate_by_generator
 from ..operators.splits import balanced_sample
@@ -44,7 +46,8 @@ def fit_fusion(scores: DataFrame, split: str = "val", classifier: str = "logisti
     if split not in ("val", "fusion"):
         raise ValueError("fusion is fitted on 'val' or 'fusion' scores only")
     part = scores.filter((F.col("split") == split) & F.col("technique").isin(*sources))
-    matrix = score_matrix(part, sources, carry=["label"])
+    # Every fitting step reads the matrix again, so it is written once.
+    matrix = materialize(score_matrix(part, sources, carry=["label"]), "fusion_matrix")
     if matrix.isEmpty():
         raise ValueError(f"no source scores in split '{split}'")
     return Fusion(classifier, strategy, seed, tuple(sources)).fit(matrix)
@@ -95,6 +98,19 @@ def multi_seed(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs, mean_and_sd(runs, ["technique"], ["auc", "accuracy"])
 
 
+def score_and_store(technique, df: DataFrame, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """Score with any object that has ``score(df)``, store, and return one row per
+    technique: validation status and milliseconds per sample."""
+    started = time.perf_counter()
+    technique.score(df).write.mode("overwrite").parquet(path)
+    elapsed = 1000.0 * (time.perf_counter() - started)
+    stored = df.sparkSession.read.parquet(path)
+    if "technique" not in stored.columns:
+        stored = stored.withColumn("technique", F.lit(type(technique).__name__))
+    checks = validate_scores(stored, ["technique"], expected if expected is not None else df)
+    return checks.withColumn("ms_per_sample", F.lit(elapsed) / F.greatest("n", F.lit(1)))
+
+
 def score_cache(cache: DataFrame, wanted: DataFrame,
                 key: Sequence[str] = ("manifest_id", "technique", "model_version", "condition", "sample_id"),
                 ) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from ..functions.numeric import blank_to_null
 from ..functions.paths import basename, posix_path, stem
 from ..operators.filters import keep_last
 from ..operators.ranking import row_numbers
+from ..session import small_table
 
 MANIFEST_SCHEMA = "path string, label int, generator string, split string"
 # ``real/<source>/`` and ``fake/<generator>/``, plain or as ``key=value`` folders.
@@ -162,11 +163,12 @@ def read_component_files(spark: SparkSession, pattern: str, column: str,
                .csv(row["files"]))
         part = raw.select("name", "split", F.col("label").cast("int").alias("label"),
                           blank_to_null(F.col(column)).alias("score"),
-                          F.col(_FILE_KEY[by]).alias("_f"), F.monotonically_increasing_id().alias("_o"))
+                          F.col(_FILE_KEY[by]).alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                          F.monotonically_increasing_id().alias("_o"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"no file with column {column} at {pattern}")
-    return keep_last(out, ["name"], ["_f", "_o"]).drop("_f", "_o")
+    return keep_last(out, ["name"], ["_f", "_b", "_o"]).drop("_f", "_b", "_o")
 
 
 def read_stored_scores(spark: SparkSession, path: str, expected: DataFrame,
@@ -175,7 +177,8 @@ def read_stored_scores(spark: SparkSession, path: str, expected: DataFrame,
     scores = spark.read.parquet(path)
     n = expected.agg(F.count("*").alias("n")).scalar()
     full = scores.groupBy(*by).agg(F.count("*").alias("n_scores")).filter(F.col("n_scores") == n)
-    return scores.join(full.select(*by), list(by), "left_semi")
+    whole, _ = small_table(full.select(*by))
+    return scores.join(whole, list(by), "left_semi")
 
 
 def latest_result(spark: SparkSession, pattern: str, schema: str, technique: str,
