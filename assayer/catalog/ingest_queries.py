@@ -9,13 +9,15 @@ from ..constants import COMPONENTS, SOURCE_TECHNIQUES
 from ..operators import components as comp
 from ..operators import errors, features, filters, metrics, summaries
 from ..plans import evaluation
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources import readers, sinks
 from ..streaming import arrivals
 from .metric_queries import _RUNS, rounded, runs
 from .registry import ALL, BLOCKS, COMPONENTS as CTE, ENTRIES, LONG, MASKS, M_COLS, WIDE, metrics_sql, query
 
-_NAMED = "event_{}.png"
+def _consolidated(spark, d):
+    """The consolidated table is a written artefact; every report reads it."""
+    return materialize(comp.consolidate(components(spark, d)), "component_table")
 
 
 def _named(spark, d):
@@ -97,7 +99,7 @@ _AGG = f"""with {CTE}, u as (select *, (select avg(x) from (values (perspective_
 
 @query("component_mean_and_max", _AGG + " select name, round(coalesce(mean,0.5),6) as mean, round(coalesce(greatest(perspective_fields,line_segment,object_shadow),0.5),6) as max from u")
 def component_mean_and_max(spark, d):
-    t = comp.consolidate(components(spark, d))
+    t = _consolidated(spark, d)
     return t.select("name", F.round(comp.aggregate_components(), 6).alias("mean"),
                     F.round(comp.aggregate_components(how="max"), 6).alias("max"))
 
@@ -106,21 +108,21 @@ def component_mean_and_max(spark, d):
        "count(*) filter (perspective_fields is not null and line_segment is not null and object_shadow is not null) e from ctable) "
        "select n_rows, component, n, round(n/n_rows,6) as share from n, lateral (values ('perspective_fields',a),('line_segment',b),('object_shadow',c),('all_components',e)) v(component,n)")
 def component_coverage(spark, d):
-    return rounded(comp.coverage(comp.consolidate(components(spark, d))), "share")
+    return rounded(comp.coverage(_consolidated(spark, d)), "share")
 
 
 @query("component_metrics", _AGG + f""", cl as (select label, 'perspective_fields' component, perspective_fields score from u union all select label, 'line_segment', line_segment from u
  union all select label, 'object_shadow', object_shadow from u union all select label, 'aggregate', mean from u), {metrics_sql('cl', 'component')}
 select component, {M_COLS}, round(n_samples/(select count(*) from ctable),6) as coverage, '' as note from m""")
 def component_metrics(spark, d):
-    return comp.component_metrics(comp.consolidate(components(spark, d)))
+    return comp.component_metrics(_consolidated(spark, d))
 
 
 @query("normalised_components", f"""with {CTE}, raw as (select name, 'line_segment' component, line_segment*6-3 score from ctable union all select name, 'object_shadow', object_shadow from ctable),
 b as (select component, min(score)<0 or max(score)>1 as logit from raw group by 1)
 select name, component, round(case when logit then 1/(1+exp(-score)) else score end,6) as score from raw join b using (component)""")
 def normalised_components(spark, d):
-    t = comp.consolidate(components(spark, d))
+    t = _consolidated(spark, d)
     long = t.withColumn("line_segment", F.col("line_segment") * 6 - 3).unpivot("name", ["line_segment", "object_shadow"], "component", "score")
     return rounded(filters.normalise_scores(long, ["component"]), "score")
 
@@ -128,7 +130,7 @@ def normalised_components(spark, d):
 @query("known_images", f"with {CTE} select 'event_'||event_id as name, case when t.name is null then 'unknown' else 'known' end as status, round(perspective_fields,6) as perspective_fields from events e left join ctable t on t.name='event_'||event_id")
 def known_images(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("event_"), F.col("event_id").cast("string")).alias("name"))
-    k = comp.known_images(e, comp.consolidate(components(spark, d)))
+    k = comp.known_images(e, _consolidated(spark, d))
     return k.select("name", "status", F.round("perspective_fields", 6).alias("perspective_fields"))
 
 
@@ -167,7 +169,7 @@ par as (select ex.name, ex.component, expected, actual, abs(actual-expected) as
 
 
 def _parity(spark, d):
-    batch = comp.consolidate(components(spark, d)).select("name", *COMPONENTS)
+    batch = _consolidated(spark, d).select("name", *COMPONENTS)
     no = F.split("name", "_")[1].cast("bigint")
     moved = F.col("line_segment") + F.when(no % 6 == 0, 0.01).otherwise(0.0001)
     service = batch.filter(no % 13 != 0).withColumn("line_segment", F.when(no % 11 != 0, moved))

@@ -69,13 +69,11 @@ def roc_points(
     kept = points.filter(
         F.col("first") | F.col("q_p").isNull()
         | (F.col("q_p") != F.col("p")) | (F.col("q_r") != F.col("r")))
-    rates = kept.select(*group, F.col("s").alias("threshold"),
-                        ratio(F.col("fp"), F.col("n_r")).alias("fpr"),
-                        ratio(F.col("tp"), F.col("n_p")).alias("tpr"))
-    start = blocks.filter("first_block").select(
-        *group, F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return start.unionByName(rates)
+    point = F.struct(F.col("s").alias("threshold"), ratio(F.col("fp"), F.col("n_r")).alias("fpr"),
+                     ratio(F.col("tp"), F.col("n_p")).alias("tpr"))
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    both = F.when(F.col("first"), F.array(start, point)).otherwise(F.array(point))
+    return kept.select(*group, F.explode(both).alias("_pt")).select(*group, "_pt.*")
 
 
 def placements(
@@ -133,7 +131,7 @@ def delong_pairs(
     rows = (
         matrix.select(*group, F.col(sample).alias("_id"), "_y", F.explode(sides).alias("_p"))
         .select(*group, "_id", "_y", "_p.*").filter("_both").drop("_both"))
-    place = placements(rows, [*keys, "_side"], "_s", "_y", n_blocks)
+    place = materialize(placements(rows, [*keys, "_side"], "_s", "_y", n_blocks), "placements")
     total = rows.agg(F.count("*").alias("_total"))
     own = F.when(F.col("_y") == LABEL_FAKE, F.col("v10")).otherwise(F.col("v01"))
     placed = (

@@ -36,10 +36,11 @@ def digit_counts(df: DataFrame, keys: Sequence[str], value: str, bases: Sequence
     """(keys, base, digit, n) of non-zero values.
 
     Continuous values go straight to at most 126 cells per key and input task.
-    ``few_values`` counts equal values first, so that bases multiply counts, not rows.
+    ``few_values`` counts equal values first, so that bases multiply counts, not rows,
+    and brings the counts of a key together once for all later grouping.
     A group with only zeros keeps one row with a NULL digit and n = 0.
     """
-    values = (df.groupBy(*keys, value).agg(F.count("*").alias("_c")) if few_values
+    values = (df.groupBy(*keys, value).agg(F.count("*").alias("_c")).repartition(*keys) if few_values
               else df.select(*keys, value, F.lit(1).cast("bigint").alias("_c")))
     return (
         values.withColumn("base", F.explode(F.array(*[F.lit(int(b)) for b in bases])))

@@ -121,44 +121,43 @@ def seeded_parts(
 ) -> DataFrame:
     """Cut every group at exact seeded ranks; add the 0-based part number ``out``.
 
-    ``cuts_of(n)`` maps the group size column to ascending cut columns c1, c2, ...;
-    a row of rank r falls in part ``#{c : r > c}``. Only hash blocks that hold a
-    cut are ranked, so the rows are not shuffled: one counting pass, one
-    assigning pass, and a sort of about ``cuts / 4096`` of the rows.
+    ``cuts_of(n)`` maps the group size column to cut columns; a row of rank r falls in
+    part ``#{c : r > c}``. The rows are neither shuffled nor sorted: hash blocks are
+    counted, the one block around each cut (about 1/4096 of the rows) is ranked
+    to find the (md5, id) at the cut, and every row compares itself to those.
     """
     cols = [*df.columns, out]
     if not keys:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     keys = list(keys)
     hashed = _hashed(df, id_col, seed)
-    starts = _block_starts(hashed, keys)
-    sizes = starts.withColumn("_n", F.sum("_cnt").over(W.partitionBy(*keys)))
+    slim = hashed.select(*keys, F.col(id_col).alias("_id"), "_h", "_blk")
+    starts = _block_starts(slim, keys).withColumn("_n", F.sum("_cnt").over(W.partitionBy(*keys)))
     cuts = F.array(*[c.cast("bigint") for c in cuts_of(F.col("_n"))])
-    # One row per group: for each cut, the block it falls in and the rank inside.
-    table = (
-        sizes.select(*keys, "_blk", "_cnt", "_start", F.posexplode(cuts).alias("_i", "_cut"))
-        .filter((F.col("_cut") > F.col("_start")) & (F.col("_cut") <= F.col("_start") + F.col("_cnt"))
-                | ((F.col("_cut") <= 0) & (F.col("_start") == 0)))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "_i", F.when(F.col("_cut") <= 0, F.lit(-1)).otherwise(F.col("_blk")).alias("blk"),
-            (F.col("_cut") - F.col("_start")).alias("rest")))).alias("_cuts"))
-    )
-    table, _ = small_table(table, max_groups)
-    none = F.array().cast("array<struct<_i:int,blk:bigint,rest:bigint>>")
-    marked = hashed.join(table, keys, "left").withColumn("_cuts", F.coalesce("_cuts", none))
-    on_edge = F.exists("_cuts", lambda c: c["blk"] == F.col("_blk"))
-    below = F.size(F.filter("_cuts", lambda c: c["blk"] < F.col("_blk")))
-    marked = marked.withColumn("_edge", on_edge)
-    settled = marked.filter(~F.col("_edge")).withColumn(out, below)
-    local = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy("_h", id_col))
-    edge = (
-        marked.filter("_edge").withColumn("_local", local)
-        .withColumn(out, F.size(F.filter(
-            "_cuts", lambda c: (c["blk"] < F.col("_blk"))
-            | ((c["blk"] == F.col("_blk")) & (F.col("_local") > c["rest"])))))
+    inside = (F.col("_cut") > F.col("_start")) & (F.col("_cut") <= F.col("_start") + F.col("_cnt"))
+    places, _ = small_table(
+        starts.select(*keys, "_blk", "_cnt", "_start", F.posexplode(cuts).alias("_i", "_cut"))
+        .filter(inside | ((F.col("_cut") <= 0) & (F.col("_start") == 0)))
+        .select(*keys, "_blk", "_i", F.greatest(F.lit(0).cast("bigint"), F.col("_cut") - F.col("_start")).alias("_rest")),
+        4 * max_groups)
+    local = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy("_h", "_id"))
+    edge = slim.join(places.select(*keys, "_blk").distinct(), [*keys, "_blk"], "left_semi").withColumn("_local", local)
+    at_cut = edge.join(places.filter("_rest > 0"), [*keys, "_blk"]).filter("_local = _rest")
+    id_type = df.schema[id_col].dataType.simpleString()
+    # A cut at or below zero puts the whole group above it: no md5 is below the empty text.
+    from_start = places.filter("_rest = 0").select(
+        *keys, "_i", F.lit("").alias("_h"), F.lit(None).cast(id_type).alias("_id"))
+    bounds, _ = small_table(
+        at_cut.select(*keys, "_i", "_h", "_id").unionByName(from_start)
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_h", "_id"))).alias("_bounds")),
+        max_groups)
+    none = F.array().cast(f"array<struct<_i:int,_h:string,_id:{id_type}>>")
+    above = lambda b: (F.col("_h") > b["_h"]) | ((F.col("_h") == b["_h"]) & (F.col(id_col) > b["_id"]))
+    return (
+        hashed.join(bounds, keys, "left")
+        .withColumn(out, F.size(F.filter(F.coalesce("_bounds", none), above)))
+        .select(*cols)
     )
-    return settled.select(*cols).unionByName(edge.select(*cols))
 
 
 # --- joins that tolerate hot keys -------------------------------------------
