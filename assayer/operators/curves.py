@@ -11,21 +11,21 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..constants import LABEL_FAKE, LABEL_REAL, SEED
 from ..functions.hashing import hex_number, seeded_md5
 from ..functions.numeric import ratio, two_sided_p
-from ..session import materialize
+from ..session import materialize, small_table
 from .metrics import auc
-from .ranking import fixed_block, hot_key_join, seeded_rank
+from .ranking import fixed_block, row_blocks, seeded_rank
 
 
 def _score_counts(df: DataFrame, group: list[str], score: str, label: str,
                   n_blocks: int | None) -> DataFrame:
     """(group, block, score) with the counts of fakes ``p`` and reals ``r``."""
     rows = df.filter(F.col(score).isNotNull()).select(
-        *group, F.col(score).cast("double").alias("s"), F.col(label).alias("y"))
+        *group, F.col(score).cast("double").alias("s"),
+        (F.col(label) == LABEL_FAKE).cast("bigint").alias("p"), (F.col(label) == LABEL_REAL).cast("bigint").alias("r"))
     block = fixed_block(rows, "s", n_blocks)
     return (
         rows.groupBy(*group, "s")
-        .agg(F.count_if(F.col("y") == LABEL_FAKE).alias("p"),
-             F.count_if(F.col("y") == LABEL_REAL).alias("r"))
+        .agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
         .withColumn("blk", block)
     )
 
@@ -77,30 +77,41 @@ def roc_points(
 
 
 def placements(
-    df: DataFrame, group: Sequence[str], score: str = "score", label: str = "label",
-    n_blocks: int | None = None,
+    rows: DataFrame, group: Sequence[str], score: str = "score", label: str = "label",
+    n_blocks: int | None = None, out: str = "placement",
 ) -> DataFrame:
-    """Per (group, score): share of reals below, share of fakes above (ties one half),
-    and ``n``, how many samples carry the score."""
+    """Add each row's placement: for a fake the share of reals below it, for a real
+    the share of fakes above it, ties one half.
+
+    Rows are shuffled once, by (group, block). A frequent score is a block of its
+    own whose rows need only the block totals, so they are not shuffled at all.
+    """
     group = list(group)
-    counts = _score_counts(df, group, score, label, n_blocks)
-    upto = W.partitionBy(*group, "blk").orderBy("s").rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = counts.withColumns({"cp": F.sum("p").over(upto), "cr": F.sum("r").over(upto)})
-    by_block = W.partitionBy(*group).orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    block, single = row_blocks(rows, score, n_blocks)
+    placed = rows.withColumns({
+        "_blk": block, "_single": single,
+        "_p": (F.col(label) == LABEL_FAKE).cast("bigint"), "_r": (F.col(label) == LABEL_REAL).cast("bigint")})
+    by_block = W.partitionBy(*group).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
-    blocks = (
-        counts.groupBy(*group, "blk").agg(F.sum("p").alias("bp"), F.sum("r").alias("br"))
-        .select(*group, "blk",
-                F.coalesce(F.sum("bp").over(by_block), F.lit(0)).alias("before_p"),
-                F.coalesce(F.sum("br").over(by_block), F.lit(0)).alias("before_r"),
-                F.sum("bp").over(whole).alias("n_p"), F.sum("br").over(whole).alias("n_r"))
-    )
-    below = F.col("cr") + F.col("before_r") - 0.5 * F.col("r")
-    above = F.col("n_p") - F.col("cp") - F.col("before_p") + 0.5 * F.col("p")
-    return local.join(blocks, [*group, "blk"]).select(
-        *group, F.col("s").alias(score),
-        ratio(below, F.col("n_r")).alias("v10"), ratio(above, F.col("n_p")).alias("v01"),
-        (F.col("p") + F.col("r")).alias("n"))
+    blocks, _ = small_table(
+        placed.groupBy(*group, "_blk").agg(F.sum("_p").alias("_bp"), F.sum("_r").alias("_br"))
+        .select(*group, "_blk", "_bp", "_br",
+                F.coalesce(F.sum("_bp").over(by_block), F.lit(0)).alias("_before_p"),
+                F.coalesce(F.sum("_br").over(by_block), F.lit(0)).alias("_before_r"),
+                F.sum("_bp").over(whole).alias("_n_p"), F.sum("_br").over(whole).alias("_n_r")),
+        100_000)
+    known = placed.join(blocks, [*group, "_blk"])
+    ordered = W.partitionBy(*group, "_blk").orderBy(score)
+    upto = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
+    ties = ordered.rangeBetween(W.currentRow, W.currentRow)
+    mixed = known.filter(~F.col("_single")).withColumns({
+        "_cp": F.sum("_p").over(upto) - 0.5 * F.sum("_p").over(ties),
+        "_cr": F.sum("_r").over(upto) - 0.5 * F.sum("_r").over(ties)})
+    alone = known.filter("_single").withColumns({"_cp": 0.5 * F.col("_bp"), "_cr": 0.5 * F.col("_br")})
+    below = ratio(F.col("_before_r") + F.col("_cr"), F.col("_n_r"))
+    above = ratio(F.col("_n_p") - F.col("_before_p") - F.col("_cp"), F.col("_n_p"))
+    return mixed.unionByName(alone).select(
+        *rows.columns, F.when(F.col(label) == LABEL_FAKE, below).otherwise(above).alias(out))
 
 
 def delong_pairs(
@@ -131,12 +142,9 @@ def delong_pairs(
     rows = (
         matrix.select(*group, F.col(sample).alias("_id"), "_y", F.explode(sides).alias("_p"))
         .select(*group, "_id", "_y", "_p.*").filter("_both").drop("_both"))
-    place = materialize(placements(rows, [*keys, "_side"], "_s", "_y", n_blocks), "placements")
-    total = rows.agg(F.count("*").alias("_total"))
-    own = F.when(F.col("_y") == LABEL_FAKE, F.col("v10")).otherwise(F.col("v01"))
     placed = (
-        hot_key_join(rows, place, [*keys, "_side", "_s"], "n", total, "_id")
-        .withColumn("_v", own).groupBy(*keys, "_id", "_y")
+        placements(rows, [*keys, "_side"], "_s", "_y", n_blocks, "_v")
+        .groupBy(*keys, "_id", "_y")
         .agg(F.max(F.when(F.col("_side") == "a", F.col("_v"))).alias("va"),
              F.max(F.when(F.col("_side") == "b", F.col("_v"))).alias("vb")))
     fake, real, d = F.col("_y") == LABEL_FAKE, F.col("_y") == LABEL_REAL, F.col("va") - F.col("vb")

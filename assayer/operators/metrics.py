@@ -68,15 +68,13 @@ def _block_sums(
     )
     counts = hist.groupBy(*group, "_part", "_s").agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
     hist = with_block(counts, hist, "_s", n_blocks)
-    # At equal scores the shared reals sort first, so one ordered pass sees them all.
-    upto = (W.partitionBy(*group, "_blk").orderBy("_s", F.col("_part").asc_nulls_first())
-            .rowsBetween(W.unboundedPreceding, W.currentRow))
-    reals = F.last(F.when(F.col("_part").isNull(), F.struct("_s", "_r")), True).over(upto)
+    # Range frames see all rows of an equal score, so one ordered pass gives both sums.
+    ordered = W.partitionBy(*group, "_blk").orderBy("_s")
+    upto = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
+    ties = ordered.rangeBetween(W.currentRow, W.currentRow)
     hit = F.col("_s") >= F.lit(threshold)
     return (
-        hist.withColumns({"_cum": F.sum("_r").over(upto), "_last": reals})
-        .withColumn("_below", F.col("_cum") - F.when(
-            F.col("_last._s") == F.col("_s"), 0.5 * F.col("_last._r")).otherwise(0.0))
+        hist.withColumn("_below", F.sum("_r").over(upto) - 0.5 * F.sum("_r").over(ties))
         .groupBy(*group, "_blk", "_part")
         .agg(F.sum(F.col("_p") * F.col("_below")).alias("_num"),
              F.sum("_p").alias("_p"), F.sum("_r").alias("_r"),

@@ -11,19 +11,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.hashing import hex_number, seeded_md5
+from ..functions.hashing import seeded_md5
 from ..session import default_blocks, materialize, small_table
 
-HASH_DIGITS = 3
-HASH_BLOCKS = 16 ** HASH_DIGITS
+HASH_DIGITS = 3  # 4096 hash blocks per group
 
 
 # --- blocks of equal row counts over a numeric column ----------------------
 
 def quantiles(df: DataFrame, value: str, n_blocks: int) -> DataFrame:
-    """One row with the ``n_blocks - 1`` inner quantiles of ``value``."""
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    return df.agg(F.percentile_approx(value, probs, max(1000, 4 * n_blocks)).alias("_q"))
+    """One row with the ``n_blocks - 1`` inner quantiles of ``value``; NULL without rows.
+
+    Sketches of the input tasks are merged in two levels, so the last task sees few.
+    """
+    probs = F.array(*[F.lit(i / n_blocks) for i in range(1, n_blocks)])
+    size = max(200, min(65535, 4 * n_blocks))
+    some = df.filter(F.col(value).isNotNull()).select(
+        F.pmod(F.spark_partition_id(), F.lit(64)).alias("_t"), F.col(value).cast("double").alias("_v"))
+    parts = some.groupBy("_t").agg(F.kll_sketch_agg_double("_v", size).alias("_k"))
+    merged = parts.agg(F.kll_merge_agg_double("_k", size).alias("_k"))
+    return merged.select(F.when(
+        F.kll_sketch_get_n_double("_k") > 0, F.kll_sketch_get_quantile_double("_k", probs)).alias("_q"))
 
 
 def block_of(value: Column, splits: Column, n_splits: int) -> Column:
@@ -31,7 +39,7 @@ def block_of(value: Column, splits: Column, n_splits: int) -> Column:
     if n_splits == 0:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(n_splits.bit_length()))]
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda pos, step: F.when(
@@ -39,6 +47,8 @@ def block_of(value: Column, splits: Column, n_splits: int) -> Column:
             pos + step,
         ).otherwise(pos),
     )
+    # Never NULL, so a join on it adds no filter below the histogram and its shuffle is reused.
+    return F.coalesce(found, F.lit(0))
 
 
 def with_block(df: DataFrame, source: DataFrame, value: str, n_blocks: int | None = None,
@@ -55,18 +65,39 @@ def with_block(df: DataFrame, source: DataFrame, value: str, n_blocks: int | Non
     return pointed.withColumn(out, block_of(F.col(value), F.col("_q"), n - 1)).drop("_q")
 
 
+def fixed_points(df: DataFrame, value: str, n_blocks: int | None = None) -> list[float]:
+    """Split points taken once, with repeats: a value listed twice holds a whole block's share of rows."""
+    n = n_blocks or default_blocks(df.sparkSession)
+    points = quantiles(df, value, n).first()["_q"] if n > 1 else None
+    return sorted(float(p) for p in points or [])
+
+
 def fixed_block(df: DataFrame, value: str, n_blocks: int | None = None) -> Column:
     """Block id with split points fixed as literals.
 
     For plans that read the block on two sides of a join: the points are taken
     once, so both sides agree even when a stage is run again.
     """
-    n = n_blocks or default_blocks(df.sparkSession)
-    points = quantiles(df, value, n).first()["_q"] if n > 1 else None
-    points = sorted(set(points or []))
+    points = sorted(set(fixed_points(df, value, n_blocks)))
     if not points:
         return F.lit(0)
-    return block_of(F.col(value), F.array(*[F.lit(float(p)) for p in points]), len(points))
+    return block_of(F.col(value), F.array(*[F.lit(p) for p in points]), len(points))
+
+
+def row_blocks(df: DataFrame, value: str, n_blocks: int | None = None) -> tuple[Column, Column]:
+    """(block, is_single) for ranking rows that are not reduced to a histogram.
+
+    A value that repeats among the split points is frequent and gets an odd block
+    of its own, which needs no ordering; even blocks hold no frequent value.
+    """
+    points = fixed_points(df, value, n_blocks)
+    unique = sorted(set(points))
+    hot = sorted({p for p in unique if points.count(p) > 1})
+    if not unique:
+        return F.lit(0), F.lit(False)
+    single = F.col(value).isin(*hot) if hot else F.lit(False)
+    place = block_of(F.col(value), F.array(*[F.lit(p) for p in unique]), len(unique)) * 2
+    return place + single.cast("int"), single
 
 
 def row_numbers(df: DataFrame, order: str, out: str = "row_number") -> DataFrame:
@@ -90,7 +121,7 @@ def row_numbers(df: DataFrame, order: str, out: str = "row_number") -> DataFrame
 
 def _hashed(df: DataFrame, id_col: str, seed) -> DataFrame:
     h = df.withColumn("_h", seeded_md5(seed, id_col))
-    return h.withColumn("_blk", hex_number(F.col("_h"), 1, HASH_DIGITS))
+    return h.withColumn("_blk", F.substring("_h", 1, HASH_DIGITS))
 
 
 def _block_starts(hashed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -59,4 +59,4 @@ def small_table(df: DataFrame, max_rows: int = 10_000) -> tuple[DataFrame, bool]
 
 def default_blocks(spark: SparkSession) -> int:
     """How many ordered blocks a ranked group is cut into."""
-    return max(1, min(8192, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, min(2048, int(spark.conf.get("spark.sql.shuffle.partitions"))))
