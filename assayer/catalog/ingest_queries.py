@@ -334,6 +334,20 @@ def summary_table(spark, d):
     return spark.read.schema(union.schema).option("header", True).csv(path)
 
 
+@query("generator_summary_table", f"""with {_RUNS}, gens as (select distinct technique t, condition c, generator g from runs where label=1),
+pairs as (select t as technique, c as condition, g as generator, s.label, s.score from gens join runs s on s.technique=t and s.condition=c and (s.label=0 or s.generator=g)),
+{metrics_sql('pairs', 'technique, condition, generator')} select technique, condition, 0 as seed, generator, round(accuracy,6) accuracy, round(auc,6) auc, n_samples, null::double as ms_per_image from m
+ union all select 'T05','clean',0,'glide',null,0.5,10,1.5""")
+def generator_summary_table(spark, d):
+    m = rounded(metrics.evaluate_by_generator(runs(spark, d), ["technique", "condition"]), "accuracy", "auc").select(
+        "technique", "condition", F.lit(0).alias("seed"), "generator", "accuracy", "auc", "n_samples")
+    extra = spark.createDataFrame([("T05", "clean", 0, "glide", 0.5, 10, 1.5)], "technique string, condition string, seed int, generator string, auc double, n_samples bigint, ms_per_image double")
+    path = shared_dir(spark, "by_generator")
+    union = sinks.union_results([m, extra], sinks.GENERATOR_LEADING)
+    sinks.write_table(union, path)
+    return spark.read.schema(union.schema).option("header", True).csv(path)
+
+
 @query("latest_result", f"with {LONG}, {metrics_sql('long', 'technique, generator')} select technique, generator, accuracy::double as accuracy from (select technique, generator, round(accuracy,6) accuracy from m where technique='T02')")
 def latest_result(spark, d):
     root = shared_dir(spark, "results")

@@ -81,8 +81,7 @@ def fusion_without_each_source(spark, d):
 def fusion_boosted_trees(spark, d):
     s = _split(scored_long(spark, d))
     val = errors.score_matrix(s.filter("split = 'val'"), SOURCE_TECHNIQUES, carry=["label"])
-    fusion.CLASSIFIERS["boosted_short"] = lambda n, seed: fusion.GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.1, seed=seed)
-    model = fusion.Fusion("boosted_short").fit(val)
+    model = fusion.Fusion("gradient_boosting", options={"maxIter": 10}).fit(materialize(val, "fusion_matrix"))
     return rounded(evaluation.fused_scores(model, s.filter("split = 'test'")), "score")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..constants import (
@@ -233,9 +233,12 @@ def pixel_pairs(pixels: DataFrame, keys: Sequence[str], y: str = "y", x: str = "
 
 
 def cooccurrence(pairs: DataFrame, keys: Sequence[str], scale: float = 1.0) -> DataFrame:
-    """Normalise pair counts to sum to ``scale`` per plane; the matrix stays sparse."""
-    totals = pairs.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    return pairs.join(totals, list(keys)).withColumn("share", ratio(F.col("n"), F.col("_t")) * scale).drop("_t")
+    """Normalise pair counts to sum to ``scale`` per plane; the matrix stays sparse.
+
+    A plane has at most levels x levels rows, so the window is bounded.
+    """
+    total = F.sum("n").over(W.partitionBy(*keys))
+    return pairs.withColumn("share", ratio(F.col("n"), total) * scale)
 
 
 def channel_cooccurrence(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -79,6 +79,7 @@ class Fusion:
     strategy: str = "prior"
     seed: int = SEED
     sources: tuple[str, ...] = SOURCE_TECHNIQUES
+    options: dict = field(default_factory=dict)  # estimator parameters by name
     values: dict[str, float] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
     model: Model | None = None
@@ -98,6 +99,8 @@ class Fusion:
         filled = imputed(matrix, self.sources, self.values)
         self.scales = scaling(filled, self.columns)
         estimator = CLASSIFIERS[self.classifier](filled.count(), self.seed).setLabelCol(label).setFeaturesCol("_features")
+        for name, value in self.options.items():
+            estimator.set(estimator.getParam(name), value)
         self.model = estimator.fit(self._features(matrix))
         return self
 
@@ -124,7 +127,7 @@ class Fusion:
         spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/model")
         state = {"classifier": self.classifier, "strategy": self.strategy, "seed": self.seed,
-                 "sources": self.sources, "values": self.values, "scales": self.scales}
+                 "sources": self.sources, "options": self.options, "values": self.values, "scales": self.scales}
         spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode(
             "overwrite").text(f"{path}/state")
 

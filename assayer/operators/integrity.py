@@ -10,6 +10,7 @@ from ..constants import (
     BENCHMARK_GENERATORS, IMBALANCE_RATIO, LABEL_FAKE, LABEL_REAL, REAL, TRAINING_GENERATORS,
 )
 from ..functions.numeric import ratio
+from ..session import materialize
 from .ranking import hot_key_join
 
 
@@ -33,7 +34,7 @@ def duplicate_groups(entries: DataFrame, hash_col: str = "content_hash",
 def duplicate_members(entries: DataFrame, hash_col: str = "content_hash",
                       id_col: str = "sample_id") -> DataFrame:
     """Every copy with its group, one row each; a group is never gathered in one task."""
-    groups = duplicate_groups(entries, hash_col, id_col).withColumn("_w", F.col("n_copies"))
+    groups = materialize(duplicate_groups(entries, hash_col, id_col).withColumn("_w", F.col("n_copies")), "duplicates")
     total = entries.agg(F.count("*").alias("_total"))
     rows = entries.select(id_col, hash_col)
     return hot_key_join(rows, groups, [hash_col], "_w", total, id_col).filter("n_copies is not null")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..constants import FUSION, SEED, SOURCE_TECHNIQUES, TRAINING_SEEDS
 from ..operators.components import aggregate_components, component_metrics, consolidate, coverage
@@ -81,8 +81,8 @@ def robustness_inputs(signals: DataFrame, limit: int | None = None, seed=SEED, v
 def robustness(scores: DataFrame) -> DataFrame:
     """AUC by technique and condition with the change from the clean condition."""
     m = evaluate(scores, ["technique", "condition"]).select("technique", "condition", "n_samples", "auc")
-    clean = m.filter("condition = 'clean'").select("technique", F.col("auc").alias("clean_auc"))
-    return m.join(clean, "technique").withColumn("change", F.col("auc") - F.col("clean_auc"))
+    clean = F.max(F.when(F.col("condition") == "clean", F.col("auc"))).over(W.partitionBy("technique"))
+    return m.withColumn("clean_auc", clean).withColumn("change", F.col("auc") - F.col("clean_auc"))
 
 
 def missing_runs(spark: SparkSession, done: DataFrame, techniques: Sequence[str],

@@ -199,3 +199,17 @@ def test_forest(spark, tmp_path):
     model.save(str(tmp_path / "rf"))
     a = [r["score"] for r in model.score(df).orderBy("sample_id").collect()]
     assert a == [r["score"] for r in Forest.load(str(tmp_path / "rf")).score(df).orderBy("sample_id").collect()]
+
+
+@pytest.mark.parametrize("name,options", [("random_forest", {"numTrees": 5, "maxDepth": 4}), ("gradient_boosting", {"maxIter": 3})])
+def test_tree_fusions(spark, scores, tmp_path, name, options):
+    m = errors.score_matrix(scores, SOURCE_TECHNIQUES, carry=["label"])
+    model = fusion.Fusion(name, options=options).fit(m)
+    w = {r["technique"]: r["weight"] for r in model.weights(spark).collect()}
+    assert set(w) == set(SOURCE_TECHNIQUES) and w["T02"] >= w["T04"]
+    model.save(str(tmp_path / "m"))
+    assert fusion.Fusion.load(str(tmp_path / "m")).score(m).filter("score between 0 and 1").count() == 120
+    with pytest.raises(ValueError):
+        fusion.Fusion("none").fit(m)
+    with pytest.raises(ValueError):
+        fusion.Fusion(strategy="none").fit(m)

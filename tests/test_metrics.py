@@ -188,3 +188,36 @@ def test_error_reports(spark):
     assert rescue == {"T01": (2, 0), "T02": (3, 0), "T03": (4, 1)}
     assert errors.fusion_spoil(h, base).first()["spoiled"] == 2
     assert errors.disagreement(h, base).filter("pair = 'T01_T02'").first()["rate"] == pytest.approx(3 / 6)
+
+
+def test_empty_input_gives_no_rows(spark):
+    df = frame(spark, [0, 1], [.1, .9]).filter("label = 7")
+    assert metrics.evaluate(df, ["technique"]).count() == 0
+    assert curves.roc_points(df, ["technique"]).count() == 0
+
+
+def test_missing_scores_are_left_out(spark):
+    df = frame(spark, [0, 1, 1], [.1, .9, .2]).withColumn("score", F.when(F.col("sample_id") != 2, F.col("score")))
+    row = metrics.evaluate(df, ["technique"]).first()
+    assert row["n_samples"] == 2 and row["auc"] == 1.0
+
+
+@pytest.mark.parametrize("n_blocks", [1, 2, 8, 40])
+def test_placements_of_rows(spark, n_blocks):
+    y, p = skewed(600, 21)
+    df = frame(spark, y, p)
+    got = {r["sample_id"]: r["placement"] for r in curves.placements(df, ["technique"], n_blocks=n_blocks).collect()}
+    c = (p[y == 1][:, None] > p[y == 0][None, :]) + 0.5 * (p[y == 1][:, None] == p[y == 0][None, :])
+    want = dict(zip(np.flatnonzero(y == 1), c.mean(1))) | dict(zip(np.flatnonzero(y == 0), c.mean(0)))
+    assert len(got) == 600 and all(got[i] == pytest.approx(v, abs=1e-12) for i, v in want.items())
+
+
+def test_a_frequent_score_is_not_shuffled(spark):
+    from assayer.operators.ranking import row_blocks
+    y, p = skewed(3000, 22)
+    block, single = row_blocks(frame(spark, y, p), "score", 16)
+    tagged = frame(spark, y, p).select("score", block.alias("b"), single.alias("hot")).cache()
+    assert tagged.filter("hot and score <> 0.7").isEmpty() and tagged.filter("not hot and score = 0.7").isEmpty()
+    assert max(r["count"] for r in tagged.filter("not hot").groupBy("b").count().collect()) < 3000 / 16 * 2
+    order = [r["b"] for r in tagged.orderBy("score").collect()]
+    assert order == sorted(order)
