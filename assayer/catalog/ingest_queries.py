@@ -259,7 +259,7 @@ def paired_items_dropped(spark, d):
     return readers.pairs_dropped(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"), ["doc_id"])
 
 
-@query("status_rows", """select event_type as technique, event_type as technique_name, case when event_id%3=0 then 'error' else 'ok' end as status, case when event_id%3=0 then 'boom' else '' end as error,
+@query("status_rows", """select event_type as technique, event_type as technique_name, case when event_id%3=0 then 'erro' else 'ok' end as status, case when event_id%3=0 then 'boom' else '' end as error,
  case when event_id%2=0 then '' else user_id::varchar end as seed, count(*) n from events group by all""")
 def status_rows(spark, d):
     r = table(spark, d, "events").select(

@@ -120,7 +120,7 @@ fus0 as (select *, label=0 and split='test' as pool from ood where split<>'exclu
 fus1 as (select *, row_number() over (partition by pool order by md5('fusion42|'||sample_id), sample_id) as rk,
   count(*) over (partition by pool) as n from fus0),
 fus as (select sample_id, path, label, generator, source, content_hash, size,
-  case when (pool and rk<=n*30//100) or (label=1 and generator='glide') then 'fusion' else split end as split from fus1)"""
+  case when (pool and rk<=case when n>=2 then greatest(n*30//100,1) else 0 end) or (label=1 and generator='glide') then 'fusion' else split end as split from fus1)"""
 
 
 def r6(expr: str, name: str | None = None) -> str:

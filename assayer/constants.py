@@ -40,6 +40,15 @@ COMPONENTS = ("perspective_fields", "line_segment", "object_shadow")
 SCORE_COLUMNS = ("spai", "score", "prediction", "probability", "pred", "spai_score", "output")
 PATH_COLUMNS = ("image", "path", "filename", "file", "image_path")
 
+# Column names of component tables and the mark of failure logs.
+NAME_COLUMNS = ("arquivo", "name")
+LEGACY_SCORE_COLUMNS = ("escore_t04", "legacy_score")
+FAILURE_LOG_MARK = "falhas"
+
+# Status of a run.
+STATUS_OK = "ok"
+STATUS_FAILED = "erro"
+
 # Archive folder name -> generator id.
 GENERATOR_MAP = {
     "glide": "glide",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import (
     ARCHIVE_PREFIX, EMPTY_CONTENT_LEVEL, GENERATOR_MAP, IMAGE_SUFFIXES, LABEL_REAL,
-    MAX_UPLOAD_BYTES, NORMALISED_SIDE, TECHNIQUE_NAMES, UPLOAD_SUFFIXES,
+    MAX_UPLOAD_BYTES, NORMALISED_SIDE, STATUS_FAILED, STATUS_OK, TECHNIQUE_NAMES, UPLOAD_SUFFIXES,
 )
 from ..functions.numeric import sigmoid
 from ..functions.paths import segment, suffix
@@ -116,10 +116,10 @@ def display_name(technique: Column, names: Mapping[str, str] = TECHNIQUE_NAMES)
 
 
 def status_columns(results: DataFrame) -> DataFrame:
-    """Display name, ok/error status, empty text for an absent error or seed."""
+    """Display name, status, empty text for an absent error or seed."""
     return results.select(
         "*", display_name(F.col("technique")).alias("technique_name"),
-        F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        F.when(F.col("error").isNull(), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_FAILED)).alias("status"),
     ).withColumns({"error": F.coalesce("error", F.lit("")),
                    "seed": F.coalesce(F.col("seed").cast("string"), F.lit(""))})
 

@@ -101,11 +101,15 @@ def reserve_fusion_calibration(
     manifest: DataFrame, seed=SEED, generators: Sequence[str] = FUSION_CALIBRATION_GENERATORS,
     percent: int = FUSION_REAL_PERCENT, id_col: str = "sample_id",
 ) -> DataFrame:
-    """Move the calibration generators and ``percent`` of the test reals to ``fusion``."""
+    """Move the calibration generators and ``percent`` of the test reals to ``fusion``.
+
+    The share is rounded down, but two or more test reals give at least one, so that
+    calibration has both classes.
+    """
     pool = (F.col("label") == LABEL_REAL) & (F.col("split") == "test")
     parts = seeded_parts(
         manifest.withColumn("_pool", pool), ["_pool"], id_col, f"fusion{seed}",
-        lambda n: [F.floor(n * percent / 100)], "_part")
+        lambda n: [F.when(n >= 2, F.greatest(F.floor(n * percent / 100), F.lit(1))).otherwise(F.lit(0))], "_part")
     taken = (F.col("_pool") & (F.col("_part") == 0)) | (
         (F.col("label") == LABEL_FAKE) & F.col("generator").isin(*generators))
     return parts.withColumn("split", F.when(taken, F.lit("fusion")).otherwise(F.col("split"))

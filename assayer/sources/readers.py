@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from ..constants import COMPONENTS, LABEL_FAKE, LABEL_REAL, PATH_COLUMNS, PUBLISHED, REAL, SCORE_COLUMNS
+from ..constants import (
+    COMPONENTS, FAILURE_LOG_MARK, LABEL_FAKE, LABEL_REAL, LEGACY_SCORE_COLUMNS, NAME_COLUMNS,
+    PATH_COLUMNS, PUBLISHED, REAL, SCORE_COLUMNS,
+)
 from ..functions.numeric import blank_to_null
 from ..functions.paths import basename, posix_path, stem
 from ..operators.filters import keep_last
 from ..operators.ranking import row_numbers
 from ..session import small_table
 
-MANIFEST_SCHEMA = "path string, label int, generator string, split string"
 # ``real/<source>/`` and ``fake/<generator>/``, plain or as ``key=value`` folders.
 _TREE = r"/(?:[A-Za-z_]+=)?(real|fake)/(?:[A-Za-z_]+=)?([^/]+)/"
 
@@ -52,7 +54,9 @@ def read_manifest(spark: SparkSession, path: str, split: str | None = None,
     """Manifest rows, optionally of one split (a partition filter for a partitioned manifest)."""
     try:
         if fmt == "csv":
-            df = spark.read.schema(MANIFEST_SCHEMA).option("header", True).csv(path)
+            # Columns are found by name, whatever their order in the file.
+            df = spark.read.option("header", True).csv(path).select(
+                "path", F.col("label").cast("int").alias("label"), "generator", "split")
         else:
             df = spark.read.format(fmt).load(path)
     except AnalysisException as error:
@@ -123,17 +127,17 @@ def by_position(entries: DataFrame, scores: DataFrame, order: str) -> DataFrame:
     return left.join(right, "row_number").drop("row_number")
 
 
-def read_components(spark: SparkSession, path: str, name_column: str = "name",
-                    legacy_column: str = "legacy_score") -> DataFrame:
+def read_components(spark: SparkSession, path: str) -> DataFrame:
     """(name, split, label, components): three columns, or a single legacy column
     that is ``object_shadow``. A blank cell stays missing."""
     raw = spark.read.option("header", True).csv(path)
     present = [c for c in COMPONENTS if c in raw.columns]
+    legacy = None if present else resolve(raw.columns, LEGACY_SCORE_COLUMNS)
     cell = lambda c: (
         blank_to_null(F.col(c)) if c in present
-        else blank_to_null(F.col(legacy_column)) if not present and legacy_column in raw.columns and c == "object_shadow"
+        else blank_to_null(F.col(legacy)) if legacy and c == "object_shadow"
         else F.lit(None).cast("double"))
-    return raw.select(F.col(name_column).alias("name"), "split", F.col("label").cast("int").alias("label"),
+    return raw.select(F.col(resolve(raw.columns, NAME_COLUMNS)).alias("name"), "split", F.col("label").cast("int").alias("label"),
                       *[cell(c).alias(c) for c in COMPONENTS])
 
 
@@ -141,17 +145,20 @@ _FILE_KEY = {"name": "_metadata.file_name", "path": "_metadata.file_path"}
 
 
 def read_component_files(spark: SparkSession, pattern: str, column: str,
-                         skip: str = "failures", by: str = "name") -> DataFrame:
+                         skip: str = FAILURE_LOG_MARK, by: str = "name") -> DataFrame:
     """(name, split, label, score) over many files; for a repeated name the last file wins,
     files being ordered by ``name`` or, for folders of parts, by ``path``.
 
     Files whose name contains ``skip`` and files without the column are left out.
     Files are grouped by header first, so each layout is read once.
     """
+    cells = F.split("value", ",")
+    is_header = (F.arrays_overlap(cells, F.array(*[F.lit(c) for c in NAME_COLUMNS]))
+                 & F.array_contains(cells, "split") & F.array_contains(cells, "label"))
     listing = (spark.read.text(pattern, wholetext=False)
                .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("fname"),
                        F.col("_metadata.file_block_start").alias("start"), "value")
-               .filter((F.col("start") == 0) & ~F.col("fname").contains(skip) & F.col("value").startswith("name,"))
+               .filter((F.col("start") == 0) & ~F.col("fname").contains(skip) & is_header)
                .groupBy("file").agg(F.min("value").alias("header")))
     layouts = listing.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
     out = None
@@ -161,7 +168,7 @@ def read_component_files(spark: SparkSession, pattern: str, column: str,
             continue
         raw = (spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True)
                .csv(row["files"]))
-        part = raw.select("name", "split", F.col("label").cast("int").alias("label"),
+        part = raw.select(F.col(resolve(columns, NAME_COLUMNS)).alias("name"), "split", F.col("label").cast("int").alias("label"),
                           blank_to_null(F.col(column)).alias("score"),
                           F.col(_FILE_KEY[by]).alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
                           F.monotonically_increasing_id().alias("_o"))

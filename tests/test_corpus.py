@@ -166,6 +166,8 @@ def test_corpus_tree_manifest_and_errors(spark, tmp_path):
 def test_manifest_csv_round_trip(spark, tmp_path):
     m = splits.assign_splits(corpus(spark, real=10, flux=10))
     path = sinks.write_manifest(m, str(tmp_path / "m.csv"), "csv")
+    (tmp_path / "o.csv").write_text("split,label,path,generator\ntest,1,x/y.png,flux\n")
+    assert readers.read_manifest(spark, str(tmp_path / "o.csv")).first().asDict() == {"path": "x/y.png", "label": 1, "generator": "flux", "split": "test"}
     back = readers.read_manifest(spark, path)
     assert back.exceptAll(m.select(*back.columns)).isEmpty() and back.count() == 20
 
@@ -182,6 +184,18 @@ def test_component_layouts(spark, tmp_path):
     assert r["object_shadow"] == 0.12 and r["line_segment"] is None
 
 
+def test_component_files(spark, tmp_path):
+    """Last file wins, failure logs and foreign layouts are skipped, column order does not matter."""
+    (tmp_path / "run_1.csv").write_text("arquivo,split,label,escore_t04\na,test,0,0.1\nb,test,1,0.2\n")
+    (tmp_path / "run_2.csv").write_text("split,arquivo,escore_t04,label\ntest,b,0.9,1\nval,c,,0\n")
+    (tmp_path / "run_3_falhas.csv").write_text("arquivo,split,label,escore_t04\na,test,0,0.7\n")
+    (tmp_path / "run_4.csv").write_text("arquivo,split,label,other\na,test,0,0.7\n")
+    got = {r["name"]: (r["split"], r["label"], r["score"]) for r in readers.read_component_files(spark, f"{tmp_path}/run_*.csv", "escore_t04").collect()}
+    assert got == {"a": ("test", 0, 0.1), "b": ("test", 1, 0.9), "c": ("val", 0, None)}
+    with pytest.raises(FileNotFoundError):
+        readers.read_component_files(spark, f"{tmp_path}/run_*.csv", "absent")
+
+
 def test_score_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("image,note,score\nx/a.png,1,9\n")
     (tmp_path / "a.csv").write_text("file,spai\nq/a.png,0.4\nq\\b.png,0.6\nz/a.png,0.5\n")
