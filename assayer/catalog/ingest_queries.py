@@ -240,13 +240,13 @@ def score_map(spark, d):
     return rounded(readers.read_score_map(docs), "score")
 
 
-@query("line_sets", "select 'img_'||vec_id as path, 16::bigint as n_lines, round(list_sum(list_transform(embedding, lambda v: round(v::double,4))),3) as total from embeddings")
+@query("line_sets", "select 'img_'||vec_id as path, 16::bigint as n_lines, list_sum(list_transform(embedding, lambda v: floor(v::double*10000)::bigint))::bigint as total from embeddings")
 def line_sets(spark, d):
     path = shared_dir(spark, "lines")
     lines = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
     table(spark, d, "embeddings").select(F.concat(F.lit("img_"), F.col("vec_id").cast("string")).alias("path"), lines.alias("lines")).write.parquet(path)
-    flat = F.aggregate(F.flatten("lines"), F.lit(0.0), lambda a, v: a + F.round(v.cast("double"), 4))
-    return readers.read_lines(spark, path).select("path", F.size("lines").cast("bigint").alias("n_lines"), F.round(flat, 3).alias("total"))
+    flat = F.aggregate(F.flatten("lines"), F.lit(0).cast("bigint"), lambda a, v: a + F.floor(v.cast("double") * 10000))
+    return readers.read_lines(spark, path).select("path", F.size("lines").cast("bigint").alias("n_lines"), flat.alias("total"))
 
 
 @query("paired_items", "select doc_id from documents join labels using (doc_id)")
