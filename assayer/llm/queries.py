@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import packing, token_store
+from . import packing, token_counts, token_store
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -26,5 +26,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
 
-LLM_QUERIES = {"op3_token_store": op3_token_store, "op10_packing": op10_packing}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
+
+
+LLM_QUERIES = {"op3_token_store": op3_token_store, "op4_token_counts": op4_token_counts, "op10_packing": op10_packing}
 LLM_ORACLES: dict[str, str] = {}
