@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import packing, token_counts, token_store
+from . import packing, simhash, token_counts, token_store
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -16,6 +16,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_tokens(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), tokenizer_file(BYTE_BPE))
     return token_store.stored_documents(store, spark).select(
@@ -30,5 +35,5 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
-LLM_QUERIES = {"op3_token_store": op3_token_store, "op4_token_counts": op4_token_counts, "op10_packing": op10_packing}
+LLM_QUERIES = {"op1_simhash": op1_simhash, "op3_token_store": op3_token_store, "op4_token_counts": op4_token_counts, "op10_packing": op10_packing}
 LLM_ORACLES: dict[str, str] = {}
