@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,3 +37,24 @@ def fresh(name: str) -> str:
 def seeded(seed: int, *cols) -> F.Column:
     """64-bit hash of the columns that depends on a seed and on nothing else."""
     return F.xxhash64(F.lit(seed), *cols)
+
+
+@functools.cache
+def _archive() -> str:
+    package = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="assayer-"), "assayer.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    return path
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, in case it isn't installed there; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        spark.sparkContext.addPyFile(_archive())
+        _shipped.add(app)
