@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import packing, simhash, token_counts, token_store, toxicity
+from . import packing, pii, simhash, token_counts, token_store, toxicity
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -33,6 +33,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ("doc_id",))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+                        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
 
@@ -48,5 +56,6 @@ def _shipping(query):
     return run
 
 
-LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op3_token_store, op4_token_counts, op8_toxicity, op10_packing)}
+LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op3_token_store, op4_token_counts, op8_toxicity, op9_pii,
+                                                      op10_packing)}
 LLM_ORACLES: dict[str, str] = {}
