@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import packing, pii, simhash, token_counts, token_store, toxicity
+from . import packing, pii, simhash, token_counts, token_store, toxicity, url_filter
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -27,6 +27,15 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+# Fixed values of the query: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
@@ -56,6 +65,6 @@ def _shipping(query):
     return run
 
 
-LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op3_token_store, op4_token_counts, op8_toxicity, op9_pii,
+LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op3_token_store, op4_token_counts, op5_url_filter, op8_toxicity, op9_pii,
                                                       op10_packing)}
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES = {"op5_url_filter": url_filter.judge_sql(URL_RULES)}
