@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import packing, pii, simhash, token_counts, token_store, toxicity, url_filter
+from . import mixing, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_tokens(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), tokenizer_file(BYTE_BPE))
     return token_store.stored_documents(store, spark).select(
@@ -65,6 +69,6 @@ def _shipping(query):
     return run
 
 
-LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op3_token_store, op4_token_counts, op5_url_filter, op8_toxicity, op9_pii,
+LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op8_toxicity, op9_pii,
                                                       op10_packing)}
-LLM_ORACLES = {"op5_url_filter": url_filter.judge_sql(URL_RULES)}
+LLM_ORACLES = {"op2_mixing": mixing.plan_sql(), "op5_url_filter": url_filter.judge_sql(URL_RULES)}
