@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import mixing, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
+from . import bit_sliced, mixing, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -40,6 +40,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.search(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(max(embedding), lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) GROUP BY 1),
+q AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM q) WHERE rank <= 10"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
@@ -69,6 +82,7 @@ def _shipping(query):
     return run
 
 
-LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op8_toxicity, op9_pii,
+LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op6_bit_sliced,
+                                                      op8_toxicity, op9_pii,
                                                       op10_packing)}
-LLM_ORACLES = {"op2_mixing": mixing.plan_sql(), "op5_url_filter": url_filter.judge_sql(URL_RULES)}
+LLM_ORACLES = {"op2_mixing": mixing.plan_sql(), "op5_url_filter": url_filter.judge_sql(URL_RULES), "op6_bit_sliced": OP6_SQL}
