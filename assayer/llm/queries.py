@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import bit_sliced, mixing, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
+from . import bit_sliced, mixing, nn_descent, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -53,6 +53,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM q) WHERE rank <= 10"""
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
@@ -82,7 +86,7 @@ def _shipping(query):
     return run
 
 
-LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op6_bit_sliced,
+LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op6_bit_sliced, op7_nn_descent,
                                                       op8_toxicity, op9_pii,
                                                       op10_packing)}
 LLM_ORACLES = {"op2_mixing": mixing.plan_sql(), "op5_url_filter": url_filter.judge_sql(URL_RULES), "op6_bit_sliced": OP6_SQL}
