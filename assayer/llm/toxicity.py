@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import seeded, stored
+from .common import fresh, seeded, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -262,3 +262,10 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None) ->
                                              [*kept, *SCORES])
 
     return docs.select(*kept, *extra).mapInArrow(each, schema)
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, as they are, that aren't toxic."""
+    names = {c: fresh(c) for c in docs.columns}
+    scored = score(docs.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("text").alias("text")), model, tuple(names.values()))
+    return scored.filter("toxic = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
