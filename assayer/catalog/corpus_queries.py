@@ -242,7 +242,7 @@ def generator_imbalance(spark, d):
 
 @query("class_balance", f"""with {ENTRIES} select count(*) filter (label=1) n_fake, count(*) filter (label=0) n_real,
  round(count(*) filter (label=1)/count(*) filter (label=0),6) as fake_to_real, count(*) filter (label=1)/count(*) filter (label=0)>1.5 as warn,
- abs(count(*) filter (label=1)/count(*) filter (label=0)-1)<0.01 as balanced from ent""")
+ abs(count(*) filter (label=1)-count(*) filter (label=0))<=greatest(1,0.01*count(*) filter (label=0)) as balanced from ent""")
 def class_balance(spark, d):
     return integrity.class_balance(entries(spark, d)).withColumn("fake_to_real", F.round("fake_to_real", 6))
 
@@ -254,7 +254,7 @@ def most_common_sizes(spark, d):
 
 @query("corpus_info", f"""with {ENTRIES} select count(*) filter (label=1) total_fake, count(*) filter (label=0) total_real,
  count(distinct generator) filter (label=1) n_generators, count(distinct source) filter (label=0) n_sources,
- abs(count(*) filter (label=1)-count(*) filter (label=0))<=0.01*count(*) filter (label=0) as balanced from ent""")
+ abs(count(*) filter (label=1)-count(*) filter (label=0))<=greatest(1,0.01*count(*) filter (label=0)) as balanced from ent""")
 def corpus_info(spark, d):
     path = shared_dir(spark, "corpus_info")
     info = sinks.corpus_info(entries(spark, d))

@@ -73,7 +73,7 @@ _RESAMPLES = 20
 @query("bootstrap_interval_hashed", f"""with {LONG},
 idx as (select technique, label, score, row_number() over (partition by technique, label order by md5('42|'||sample_id), sample_id)-1 as k,
   count(*) over (partition by technique, label) as n from long),
-draws as (select technique, label, b, ('0x'||substr(md5('42|'||b||'|'||label||'|'||k),1,8))::bigint % n as k, count(*) as w
+draws as (select technique, label, b, ('0x'||substr(md5('42|'||b||'|'||label||'|'||k),1,15))::bigint % n as k, count(*) as w
   from idx, range(1,{_RESAMPLES + 1}) t(b) group by 1,2,3,4),
 s as (select d.technique, d.b, i.score, sum(case when i.label=1 then w else 0 end) p, sum(case when i.label=0 then w else 0 end) r
   from draws d join idx i using (technique,label,k) group by 1,2,3),

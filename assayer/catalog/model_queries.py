@@ -81,7 +81,7 @@ def fusion_without_each_source(spark, d):
 def fusion_boosted_trees(spark, d):
     s = _split(scored_long(spark, d))
     val = errors.score_matrix(s.filter("split = 'val'"), SOURCE_TECHNIQUES, carry=["label"])
-    model = fusion.Fusion("gradient_boosting", options={"maxIter": 10}).fit(materialize(val, "fusion_matrix"))
+    model = fusion.Fusion("gradient_boosting").fit(materialize(val, "fusion_matrix"))
     return rounded(evaluation.fused_scores(model, s.filter("split = 'test'")), "score")
 
 

@@ -15,8 +15,9 @@ def nan_to_null(value: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    """CSV cell to DOUBLE; blank and ``nan`` stay missing."""
-    return nan_to_null(F.nullif(F.trim(text), F.lit("")).try_cast("double"))
+    """CSV cell to DOUBLE; blank, ``nan`` and infinite cells stay missing."""
+    value = F.nullif(F.trim(text), F.lit("")).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def sigmoid(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -93,13 +94,12 @@ def placements(
         "_p": (F.col(label) == LABEL_FAKE).cast("bigint"), "_r": (F.col(label) == LABEL_REAL).cast("bigint")})
     by_block = W.partitionBy(*group).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
-    blocks, _ = small_table(
+    blocks = small_table(
         placed.groupBy(*group, "_blk").agg(F.sum("_p").alias("_bp"), F.sum("_r").alias("_br"))
         .select(*group, "_blk", "_bp", "_br",
                 F.coalesce(F.sum("_bp").over(by_block), F.lit(0)).alias("_before_p"),
                 F.coalesce(F.sum("_br").over(by_block), F.lit(0)).alias("_before_r"),
-                F.sum("_bp").over(whole).alias("_n_p"), F.sum("_br").over(whole).alias("_n_r")),
-        100_000)
+                F.sum("_bp").over(whole).alias("_n_p"), F.sum("_br").over(whole).alias("_n_r")))
     known = placed.join(blocks, [*group, "_blk"])
     ordered = W.partitionBy(*group, "_blk").orderBy(score)
     upto = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -169,86 +169,54 @@ def _interval(aucs: DataFrame, group: list[str], confidence: float) -> DataFrame
     ).select(*group, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
+def _poisson(seed: int, group: tuple, score: float, side: int, count: int, n_resamples: int) -> np.ndarray:
+    """How often ``count`` rows of one score and class are drawn in each replicate; depends on nothing else."""
+    key = hashlib.md5(repr((seed, group, float(score), side)).encode()).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(key, "big"))).poisson(count, n_resamples)
+
+
 def bootstrap_interval(
     df: DataFrame, group: Sequence[str], score: str = "score", label: str = "label",
     n_resamples: int = 1000, confidence: float = 0.95, seed: int = SEED,
     n_blocks: int | None = None,
 ) -> DataFrame:
-    """Class-stratified bootstrap interval of the AUC, exact draw counts.
+    """Class-stratified Poisson bootstrap interval of the AUC.
 
-    Drawing n samples with replacement is a multinomial draw over the score
-    histogram. It is split in two: how many draws fall in each block, then how
-    they spread over the scores of the block. Each block is resampled where it
-    lies and returns one row per replicate, so nothing of size
-    ``samples x replicates`` is ever shuffled.
+    In every replicate each row is drawn a Poisson(1) number of times, so the rows of one (group, score, class) together a
+    Poisson(count) number, and classes are normalised by what was drawn. The draws are made from a counter-based generator keyed
+    by seed, group, score and class: the same for any partitioning, block count or order. Each block is
+    resampled where it lies and returns one row per replicate, so nothing of size ``samples x replicates`` is ever
+    shuffled. All sums are of integers.
     """
     group = list(group)
     counts = _score_counts(df, group, score, label, n_blocks)
-    blocks = (
-        counts.groupBy(*group, "blk").agg(F.sum("p").alias("bp"), F.sum("r").alias("br"))
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct("blk", "bp", "br"))).alias("blocks"))
-    )
-    # Draws per (block, replicate): at most n_blocks rows of n_resamples counts per group.
-    keys = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(g).cast("string") for g in group]))
 
-    def per_block(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng(int(row.key[:15], 16))
-                p = np.array([b["bp"] for b in row.blocks], dtype=np.int64)
-                r = np.array([b["br"] for b in row.blocks], dtype=np.int64)
-                if p.sum() == 0 or r.sum() == 0:
-                    continue
-                head = {g: [getattr(row, g)] for g in group}
-                left_p, left_r = np.full(n_resamples, p.sum()), np.full(n_resamples, r.sum())
-                # A multinomial as a chain of binomials: one block of counts at a time.
-                for i, b in enumerate(row.blocks):
-                    dp = rng.binomial(left_p, min(1.0, p[i] / max(1, p[i:].sum())))
-                    dr = rng.binomial(left_r, min(1.0, r[i] / max(1, r[i:].sum())))
-                    left_p, left_r = left_p - dp, left_r - dr
-                    yield pd.DataFrame({**head, "blk": [b["blk"]], "block_key": [f"{row.key[:10]}{i:05x}"],
-                                        "dp": [dp], "dr": [dr]})
-
-    head_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema
-                            if f.name in group)
-    head_schema = head_schema + ", " if head_schema else ""
-    draws = blocks.withColumn("key", keys).mapInPandas(
-        per_block, f"{head_schema}blk int, block_key string, dp array<bigint>, dr array<bigint>")
-
-    def resample(key, cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        if cells.empty or plan.empty:
-            return pd.DataFrame(columns=[*group, "blk", "replicate", "num", "p", "r"])
+    def resample(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("s", kind="stable")
-        p, r = cells["p"].to_numpy(np.int64), cells["r"].to_numpy(np.int64)
-        row = plan.iloc[0]
-        rng = np.random.default_rng(int(row["block_key"], 16))
-        dp, dr = np.asarray(row["dp"]), np.asarray(row["dr"])
-        num = np.zeros(n_resamples)
-        step = max(1, int(4_000_000 // max(1, len(p))))
-        for lo in range(0, n_resamples, step):
-            hi = min(n_resamples, lo + step)
-            wp = (rng.multinomial(dp[lo:hi], p / p.sum()) if p.sum()
-                  else np.zeros((hi - lo, len(p)), np.int64))
-            wr = (rng.multinomial(dr[lo:hi], r / r.sum()) if r.sum()
-                  else np.zeros((hi - lo, len(r)), np.int64))
-            num[lo:hi] = (wp * (np.cumsum(wr, axis=1) - 0.5 * wr)).sum(axis=1)
-        out = pd.DataFrame({"replicate": np.arange(n_resamples), "num": num, "p": dp, "r": dr})
-        for g in group:
+        key = tuple(str(cells[g].iloc[0]) for g in group)
+        twice, p, r = (np.zeros(n_resamples, np.int64) for _ in range(3))
+        for s, n_p, n_r in zip(cells["s"], cells["p"], cells["r"]):
+            wr = _poisson(seed, key, s, LABEL_REAL, int(n_r), n_resamples) if n_r else 0
+            if n_p:
+                wp = _poisson(seed, key, s, LABEL_FAKE, int(n_p), n_resamples)
+                twice += wp * (2 * r + wr)      # a tie counts one half
+                p += wp
+            r += wr
+        out = pd.DataFrame({"replicate": np.arange(n_resamples), "twice": twice, "p": p, "r": r})
+        for g in (*group, "blk"):
             out[g] = cells[g].iloc[0]
-        out["blk"] = int(cells["blk"].iloc[0])
-        return out[[*group, "blk", "replicate", "num", "p", "r"]]
+        return out[[*group, "blk", "replicate", "twice", "p", "r"]]
 
-    sums = (
-        counts.groupBy(*group, "blk").cogroup(draws.groupBy(*group, "blk"))
-        .applyInPandas(resample, f"{head_schema}blk int, replicate int, num double, p bigint, r bigint")
-    )
+    head_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.schema if f.name in group)
+    sums = counts.groupBy(*group, "blk").applyInPandas(
+        resample, f"{head_schema}blk int, replicate int, twice bigint, p bigint, r bigint")
     before = W.partitionBy(*group, "replicate").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
     aucs = (
         sums.withColumn("before", F.coalesce(F.sum("r").over(before), F.lit(0)))
         .groupBy(*group, "replicate")
-        .agg(ratio(F.sum(F.col("num") + F.col("before") * F.col("p")),
-                   F.sum("p") * F.sum("r")).alias("auc"))
+        .agg(ratio(F.sum(wide("twice") + 2 * wide("before") * wide("p")), 2 * F.sum("p").cast("double") * F.sum("r")).alias("auc"))
+        .filter("auc is not null")
     )
     return _interval(aucs, group, confidence)
 
@@ -272,7 +240,7 @@ def bootstrap_interval_hashed(
     draws = (
         ranked.select(*keys, F.col("idx").alias("k")).join(sizes, keys)
         .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_resamples))))
-        .withColumn("idx", F.pmod(hex_number(seeded_md5(seed, "replicate", label, "k")), F.col("n")))
+        .withColumn("idx", F.pmod(hex_number(seeded_md5(seed, "replicate", label, "k"), digits=15), F.col("n")))
         .groupBy(*keys, "replicate", "idx").agg(F.count("*").alias("w"))
     )
     weighted = draws.join(ranked.select(*keys, "idx", score), [*keys, "idx"])

@@ -147,11 +147,12 @@ def split_planes(planes: DataFrame, pixels: str = "pixels", height: int = 8, wid
     """Cut raster planes into 8x8 blocks; ragged borders are dropped."""
     if height < 8 or width < 8:
         raise ValueError("plane smaller than one 8x8 block")
-    offsets = [(by, bx) for by in range(height // 8) for bx in range(width // 8)]
-    block = lambda by, bx: F.concat(*[F.slice(pixels, (by * 8 + y) * width + bx * 8 + 1, 8) for y in range(8)])
+    across = width // 8
+    start = lambda b: F.floor(b / across).cast("int") * 8 * width + b % across * 8 + 1
+    block = lambda b: F.concat(*[F.slice(pixels, start(b) + y * width, F.lit(8)) for y in range(8)])
     return planes.select(
         *[c for c in planes.columns if c != pixels],
-        F.posexplode(F.array(*[block(by, bx) for by, bx in offsets])).alias("block_no", pixels))
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(height // 8 * across - 1)), block)).alias("block_no", pixels))
 
 
 def benford_features(blocks: DataFrame, sample: str = "sample", pixels: str = "pixels",
@@ -208,11 +209,10 @@ def plane_pairs(planes: DataFrame, keys: Sequence[str], pixels: str, height: int
     """(keys, i, j, n): value pairs of each pixel and its neighbour, for raster planes in one row."""
     if abs(dy) >= height or abs(dx) >= width:
         raise ValueError("offset larger than the plane")
-    at = [(y * width + x, (y + dy) * width + x + dx)
-          for y in range(max(0, -dy), height - max(0, dy)) for x in range(max(0, -dx), width - max(0, dx))]
-    places = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in at])
-    pairs = F.transform(places, lambda p: F.struct(
-        F.get(pixels, p["a"]).cast("int").alias("i"), F.get(pixels, p["b"]).cast("int").alias("j")))
+    rows, columns = height - abs(dy), width - abs(dx)       # of pixels that have the neighbour
+    first = lambda k: (max(0, -dy) + F.floor(k / columns)).cast("int") * width + max(0, -dx) + k % columns
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), lambda k: F.struct(
+        F.get(pixels, first(k)).cast("int").alias("i"), F.get(pixels, first(k) + dy * width + dx).cast("int").alias("j")))
     return planes.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, "p.i", "p.j").agg(
         F.count("*").alias("n"))
 
@@ -289,7 +289,7 @@ def perturb_signal(df: DataFrame, values: str = "pixels", id_col: str = "sample_
         F.when(F.col("kind") == "noise", F.transform(values, noisy))
         .when(F.col("kind") == "jpeg", F.transform(values, lambda v: F.least(F.lit(255.0), F.rint(v / step) * step)))
         .when(F.col("kind") == "resize", F.transform(
-            F.sequence(F.lit(0), size - 1), lambda k: F.get(values, F.floor(k / F.col("level")).cast("int"))))
+            F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.get(values, F.floor(k / F.col("level")).cast("int"))))
         .otherwise(F.col(values)))
     return grid.withColumn(values, out).withColumn(
         "output_name", F.concat_ws("__", F.col(id_col).cast("string"), F.col("condition")))

@@ -24,17 +24,17 @@ def drop_excluded(manifest: DataFrame) -> DataFrame:
 
 
 def normalise_scores(scores: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
-    """Sigmoid a whole score vector when any of its values lies outside [0, 1].
+    """Sigmoid a whole score vector when any of its finite values lies outside [0, 1].
 
     The range test is one small aggregate joined back, not a window over a vector.
     """
     by = list(by)
+    finite = F.when(F.abs(F.col(score)) < float("inf"), F.col(score))     # neither NaN nor infinite
     ranges = scores.groupBy(*by).agg(
-        (F.min(score) < 0).alias("_low"), (F.max(score) > 1).alias("_high"))
+        (F.min(finite) < 0).alias("_low"), (F.max(finite) > 1).alias("_high"))
     ranges = ranges.select(*by, F.coalesce(F.col("_low") | F.col("_high"), F.lit(False)).alias("_logit"))
     from ..session import small_table
-    table, _ = small_table(ranges)
-    return scores.join(table, by).withColumn(
+    return scores.join(small_table(ranges), by).withColumn(
         score, F.when(F.col("_logit"), sigmoid(F.col(score))).otherwise(F.col(score))).drop("_logit")
 
 
@@ -59,16 +59,27 @@ def validate_scores(scores: DataFrame, by: Sequence[str], expected: DataFrame |
         "status", F.when(error.isNull(), F.lit("ok")).otherwise(F.lit("error")))
 
 
+# Leading bytes of the allowed formats, then of known others.
+def allowed_image(magic: Column) -> Column:
+    return magic.startswith("89504E470D0A1A0A") | magic.startswith("FFD8FF") | (
+        magic.startswith("52494646") & (F.substring(magic, 17, 8) == "57454250"))
+
+
+def other_image(magic: Column) -> Column:
+    return (magic.startswith("424D") | magic.startswith("47494638")
+            | magic.startswith("49492A00") | magic.startswith("4D4D002A"))
+
+
+def known_image(magic: Column) -> Column:
+    return allowed_image(magic) | other_image(magic)
+
+
 def upload_verdict(path: Column, length: Column, magic: Column) -> Column:
     """Reason an upload is rejected, or ``ok``. ``magic`` is the hex of its first 12 bytes.
 
     The order is: present, found, size, suffix, recognisable content, allowed content.
     """
-    # Leading bytes of the allowed formats, then of known others.
-    allowed = magic.startswith("89504E470D0A1A0A") | magic.startswith("FFD8FF") | (
-        magic.startswith("52494646") & (F.substring(magic, 17, 8) == "57454250"))
-    other = (magic.startswith("424D") | magic.startswith("47494638")
-             | magic.startswith("49492A00") | magic.startswith("4D4D002A"))
+    allowed, other = allowed_image(magic), other_image(magic)
     return (
         F.when(path.isNull() | (path == ""), F.lit("no file"))
         .when(length.isNull(), F.lit("not found"))

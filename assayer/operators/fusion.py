@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import SEED, SOURCE_TECHNIQUES
+from ..functions.numeric import nan_to_null
 
 
 class NotFitted(RuntimeError):
@@ -33,9 +34,9 @@ def imputation_values(matrix: DataFrame, sources: Sequence[str], strategy: str)
 
 
 def imputed(matrix: DataFrame, sources: Sequence[str], values: Mapping[str, float]) -> DataFrame:
-    """Fill absent scores and add an availability flag per source. A source without
+    """Fill absent scores (NULL or NaN) and add an availability flag per source. A source without
     a column counts as absent."""
-    col = lambda s: F.col(s) if s in matrix.columns else F.lit(None).cast("double")
+    col = lambda s: nan_to_null(F.col(s)) if s in matrix.columns else F.lit(None).cast("double")
     keep = [c for c in matrix.columns if c not in sources]
     return matrix.select(
         *keep, *[F.coalesce(col(s), F.lit(float(values[s]))).alias(s) for s in sources],

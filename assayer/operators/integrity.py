@@ -11,6 +11,7 @@ from ..constants import (
 )
 from ..functions.numeric import ratio
 from ..session import materialize
+from .filters import known_image
 from .ranking import hot_key_join
 
 
@@ -36,7 +37,7 @@ def duplicate_members(entries: DataFrame, hash_col: str = "content_hash",
     """Every copy with its group, one row each; a group is never gathered in one task."""
     groups = materialize(duplicate_groups(entries, hash_col, id_col).withColumn("_w", F.col("n_copies")), "duplicates")
     total = entries.agg(F.count("*").alias("_total"))
-    rows = entries.select(id_col, hash_col)
+    rows = entries.filter(F.col(hash_col).isNotNull()).select(id_col, hash_col)
     return hot_key_join(rows, groups, [hash_col], "_w", total, id_col).filter("n_copies is not null")
 
 
@@ -54,15 +55,22 @@ def counts_by(entries: DataFrame, column: str) -> DataFrame:
     return entries.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def unreadable(entries: DataFrame, hash_col: str = "content_hash") -> Column:
+    """No content, or content that begins like no known image format."""
+    bad = F.col(hash_col).isNull()
+    return bad | ~F.coalesce(known_image(F.col("magic")), F.lit(False)) if "magic" in entries.columns else bad
+
+
 def integrity_report(entries: DataFrame, width: str | None = None, height: str | None = None,
                      expected: int = 0, check_duplicates: bool = True,
                      hash_col: str = "content_hash", corrupted: Column | None = None) -> DataFrame:
     """One row of totals; ``ok`` when nothing is corrupted, wrong-sized or duplicated.
 
-    Unreadable content is a NULL hash unless ``corrupted`` says otherwise. Offending
-    files stay in the manifest; only their counts are reported.
+    Unless ``corrupted`` says otherwise, content is unreadable if its hash is NULL or, where entries have ``magic``
+    (the hex of the first bytes), if these are no image format's. Offending files stay in the manifest;
+    ``problem_files`` lists them.
     """
-    bad = F.col(hash_col).isNull() if corrupted is None else corrupted
+    bad = unreadable(entries, hash_col) if corrupted is None else corrupted
     size_bad = wrong_size(F.col(width), F.col(height), expected) if width else F.lit(False)
     totals = entries.agg(
         F.count("*").alias("n_total"),
@@ -100,6 +108,11 @@ def imbalance(entries: DataFrame, warn_ratio: float = IMBALANCE_RATIO) -> DataFr
     ).withColumn("imbalanced", F.col("spread") > warn_ratio)
 
 
+def balanced(n_real: Column, n_fake: Column) -> Column:
+    """As many reals as fakes, within one percent of the reals or one file."""
+    return F.abs(n_real - n_fake) <= F.greatest(F.lit(1.0), 0.01 * n_real)
+
+
 def class_balance(entries: DataFrame) -> DataFrame:
     """Fake-to-real ratio, its warning above 1.5, and the 1:1-within-1% flag."""
     return entries.agg(
@@ -107,7 +120,7 @@ def class_balance(entries: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == LABEL_REAL).alias("n_real"),
     ).withColumn("fake_to_real", ratio(F.col("n_fake"), F.col("n_real"))).withColumns({
         "warn": F.col("fake_to_real") > IMBALANCE_RATIO,
-        "balanced": F.abs(F.col("fake_to_real") - 1.0) < 0.01,
+        "balanced": balanced(F.col("n_real"), F.col("n_fake")),
     })
 
 

@@ -111,7 +111,7 @@ def row_numbers(df: DataFrame, order: str, out: str = "row_number") -> DataFrame
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_c")).select(
         "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    starts, _ = small_table(starts, 100_000)
+    starts = small_table(starts)
     local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return (ordered.withColumn("_part", part).join(starts, "_part")
             .withColumn(out, F.col("_start") + local).drop("_part", "_start", "_m"))
@@ -148,7 +148,6 @@ def seeded_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed) -> DataFr
 
 def seeded_parts(
     df: DataFrame, keys: Sequence[str], id_col: str, seed, cuts_of, out: str = "part",
-    max_groups: int = 10_000,
 ) -> DataFrame:
     """Cut every group at exact seeded ranks; add the 0-based part number ``out``.
 
@@ -166,11 +165,10 @@ def seeded_parts(
     starts = _block_starts(slim, keys).withColumn("_n", F.sum("_cnt").over(W.partitionBy(*keys)))
     cuts = F.array(*[c.cast("bigint") for c in cuts_of(F.col("_n"))])
     inside = (F.col("_cut") > F.col("_start")) & (F.col("_cut") <= F.col("_start") + F.col("_cnt"))
-    places, _ = small_table(
+    places = small_table(
         starts.select(*keys, "_blk", "_cnt", "_start", F.posexplode(cuts).alias("_i", "_cut"))
         .filter(inside | ((F.col("_cut") <= 0) & (F.col("_start") == 0)))
-        .select(*keys, "_blk", "_i", F.greatest(F.lit(0).cast("bigint"), F.col("_cut") - F.col("_start")).alias("_rest")),
-        4 * max_groups)
+        .select(*keys, "_blk", "_i", F.greatest(F.lit(0).cast("bigint"), F.col("_cut") - F.col("_start")).alias("_rest")))
     local = F.row_number().over(W.partitionBy(*keys, "_blk").orderBy("_h", "_id"))
     edge = slim.join(places.select(*keys, "_blk").distinct(), [*keys, "_blk"], "left_semi").withColumn("_local", local)
     at_cut = edge.join(places.filter("_rest > 0"), [*keys, "_blk"]).filter("_local = _rest")
@@ -178,10 +176,9 @@ def seeded_parts(
     # A cut at or below zero puts the whole group above it: no md5 is below the empty text.
     from_start = places.filter("_rest = 0").select(
         *keys, "_i", F.lit("").alias("_h"), F.lit(None).cast(id_type).alias("_id"))
-    bounds, _ = small_table(
+    bounds = small_table(
         at_cut.select(*keys, "_i", "_h", "_id").unionByName(from_start)
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_h", "_id"))).alias("_bounds")),
-        max_groups)
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_h", "_id"))).alias("_bounds")))
     none = F.array().cast(f"array<struct<_i:int,_h:string,_id:{id_type}>>")
     above = lambda b: (F.col("_h") > b["_h"]) | ((F.col("_h") == b["_h"]) & (F.col(id_col) > b["_id"]))
     return (
@@ -208,12 +205,9 @@ def hot_key_join(
     share = share or max(256, 4 * default_blocks(rows.sparkSession))
     values = [c for c in lookup.columns if c not in on and c != weight]
     limit = total.select(F.ceil(F.col("_total") / share).cast("bigint")).scalar()
-    hot, fits = small_table(
+    hot = small_table(
         lookup.filter(F.col(weight) >= limit).drop(weight)
-        .withColumnsRenamed({v: f"_hot_{v}" for v in values}).withColumn("_is_hot", F.lit(True)),
-        share)
-    if not fits:  # cannot happen for a true weight: at most ``share`` keys qualify
-        raise ValueError("lookup weights do not describe the rows")
+        .withColumnsRenamed({v: f"_hot_{v}" for v in values}).withColumn("_is_hot", F.lit(True)))
     cold = lookup.drop(weight).withColumn("_salt", F.lit(0))
     salted = rows.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_is_hot"), F.lit(1) + F.pmod(F.hash(spread_by), F.lit(4096)))

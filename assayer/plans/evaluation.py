@@ -35,7 +35,7 @@ def fit_techniques(spark: SparkSession, jobs: Mapping[str, Callable[[], object]]
             fitted[name] = job()
             rows.append((name, "ok", None))
         except Exception as error:  # noqa: BLE001
-            rows.append((name, "error", str(error)[:500]))
+            rows.append((name, "error", str(error)))
     return fitted, spark.createDataFrame(rows, "technique string, status string, error string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,15 @@ def build_session(master: str | None = None, app: str = "assayer", **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where the cluster names none (tests, a laptop) is a local one used.
+    Where ``spark.checkpoint.dir`` isn't set, a session on one machine gets a local folder; on a cluster
+    that is an error, since executors would each write to a disk of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        root = current or tempfile.mkdtemp(prefix="spark-")
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder for {master}")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -44,17 +48,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, max_rows: int = 10_000) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` when it is proven to hold at most ``max_rows`` rows.
+def small_table(df: DataFrame, purpose: str = "lookup") -> DataFrame:
+    """A lookup table written once, so that Spark knows its size when it plans the join.
 
-    Returns the hinted frame and True, or the frame untouched and False so the
-    caller can take its shuffled route.
+    Nothing comes to the driver and the plan has one form: Spark broadcasts the table if it is below
+    ``spark.sql.autoBroadcastJoinThreshold``, else shuffles, and splits skewed keys.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    local = df.sparkSession.createDataFrame(rows, df.schema)
-    return F.broadcast(local), True
+    return materialize(df, purpose)
 
 
 def default_blocks(spark: SparkSession) -> int:

@@ -184,7 +184,7 @@ def read_stored_scores(spark: SparkSession, path: str, expected: DataFrame,
     scores = spark.read.parquet(path)
     n = expected.agg(F.count("*").alias("n")).scalar()
     full = scores.groupBy(*by).agg(F.count("*").alias("n_scores")).filter(F.col("n_scores") == n)
-    whole, _ = small_table(full.select(*by))
+    whole = small_table(full.select(*by))
     return scores.join(whole, list(by), "left_semi")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.integrity import balanced
+
 SUMMARY_LEADING = ("protocol", "technique", "technique_name", "condition", "seed", "status")
 GENERATOR_LEADING = ("protocol", "technique", "condition", "seed", "generator")
 
@@ -38,10 +40,9 @@ def write_scores(scores: DataFrame, path: str,
                  by: Sequence[str] = ("protocol", "technique", "condition")) -> str:
     """Raw scores, one folder per protocol, technique and condition.
 
-    Rows are spread over several files per folder, so one hot technique is not one task.
+    Folders are rebalanced by their size: Spark cuts a hot technique into as many tasks and files as its data needs.
     """
-    spread = scores.withColumn("_s", F.pmod(F.xxhash64("sample_id"), F.lit(64)))
-    (spread.repartition(*by, "_s").drop("_s").write.mode("overwrite").partitionBy(*by).parquet(path))
+    (scores.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path))
     return path
 
 
@@ -74,4 +75,4 @@ def corpus_info(entries: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("total_real"),
         F.count_distinct(F.when(F.col("label") == 1, F.col("generator"))).alias("n_generators"),
         F.count_distinct(F.when(F.col("label") == 0, F.col("source"))).alias("n_sources"),
-    ).withColumn("balanced", F.abs(F.col("total_fake") - F.col("total_real")) <= 0.01 * F.col("total_real"))
+    ).withColumn("balanced", balanced(F.col("total_real"), F.col("total_fake")))

@@ -159,6 +159,13 @@ def test_bootstrap_interval_matches_resampling(spark):
         assert got["ci_low"] < brute_auc(y, p) < got["ci_high"]
 
 
+def test_bootstrap_depends_on_the_seed_alone(spark):
+    rows = spark.range(50_000).selectExpr("'T' technique", "cast(id % 3 = 0 as int) label", "(hash(id) % 20011 + (id % 3) * 500) / 20011.0 score")
+    few, many, moved = (curves.bootstrap_interval(df, ["technique"], n_blocks=n).first() for df, n in ((rows, 2), (rows, 16), (rows.repartition(13, "score"), 7)))
+    assert few == many == moved
+    assert few != curves.bootstrap_interval(rows, ["technique"], seed=1).first()
+
+
 def test_bootstrap_is_reproducible_and_needs_two_classes(spark):
     y, p = skewed(200, 12)
     df = frame(spark, y, p)
