@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import partitions, seeded, stored
 
 UNIT = 4095         # the integer for 1
-GROUP = 64          # nodes that start as each other's candidates
-TABLES = 4
+GROUP = 512         # nodes that start as each other's candidates
+TABLES = 12
 EDGE = "u bigint, v bigint, sim bigint"
 
 
@@ -81,14 +81,14 @@ def _edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], ["u", "v", "sim"])
 
 
-def _start(nodes: DataFrame, degree: int) -> DataFrame:
+def _start(nodes: DataFrame, most: int) -> DataFrame:
     """Edges among runs of ``GROUP`` nodes in code order; a range of codes, however full, is cut by u."""
 
     def runs(batches):
         for batch in batches:
             table, u, z = batch.column("table").to_numpy(), batch.column("u").to_numpy(), _matrix(batch.column("z"))
             cuts = np.unique(np.concatenate([np.arange(0, len(u), GROUP), np.flatnonzero(np.diff(table)) + 1, [len(u)]]))
-            parts = [_compared(u[a:b], z[a:b], np.full(b - a, -np.inf), np.ones(b - a, bool), degree) for a, b in zip(cuts[:-1], cuts[1:])]
+            parts = [_compared(u[a:b], z[a:b], np.full(b - a, -np.inf), np.ones(b - a, bool), most) for a, b in zip(cuts[:-1], cuts[1:])]
             if parts:
                 yield _edges(parts)
 
@@ -151,7 +151,7 @@ def _round(nodes: DataFrame, edges: DataFrame, degree: int, most: int, salt: int
 class Index:
     """Nodes (u, x, z) with their copies' ids, and the graph (u, v); all stored in the shared folder."""
 
-    def __init__(self, vectors: DataFrame, degree: int = 24, rounds: int = 8, most: int = 8, change: float = 0.02, seed: int = 0):
+    def __init__(self, vectors: DataFrame, degree: int = 28, rounds: int = 7, most: int = 6, change: float = 0.02, seed: int = 0):
         self.vectors = stored(_usable(vectors), "vectors")
         self.ids = stored(self.vectors.groupBy("x").agg(F.min("vec_id").alias("u"))
                           .join(self.vectors.withColumnRenamed("x", "same"), F.col("x") == F.col("same")).select("u", "vec_id"), "ids")
@@ -160,7 +160,7 @@ class Index:
         self.nodes = stored(distinct.join(_rounded(distinct, self.dims, seed), "u"), "nodes")
         slim = self.nodes.select("u", "z")
         n = self.nodes.count()
-        edges = stored(_kept(_start(self.nodes, degree).withColumn("fresh", F.lit(True)), degree), "edges")
+        edges = stored(_kept(_start(self.nodes, degree // 2).withColumn("fresh", F.lit(True)), degree), "edges")
         for k in range(rounds):
             found = _round(slim, edges, degree, most, seed + k).withColumn("fresh", F.lit(True))
             edges = stored(_kept(edges.withColumn("fresh", F.lit(False)).unionByName(found), degree), "edges")
@@ -169,7 +169,7 @@ class Index:
         both = edges.select("u", "v").unionByName(_drawn_reverse(edges, degree, seed - 1).select(F.col("v").alias("u"), F.col("u").alias("v")))
         self.graph = stored(both.distinct(), "graph")
 
-    def search(self, queries: DataFrame, k: int = 5, beam: int = 48, walks: int = 8, entries: int = 256) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, beam: int = 128, walks: int = 8, entries: int = 256) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest found to each of ``queries`` (vec_id, embedding)."""
         asked = stored(_usable(queries), "asked")
         sources = stored(asked.groupBy("x").agg(F.min("vec_id").alias("q")), "sources")        # equal queries walk once
