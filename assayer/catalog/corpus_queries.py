@@ -103,12 +103,11 @@ def split_counts(spark, d):
     return splits.split_counts(split_for_protocol(entries(spark, d), "ood"))
 
 
-@query("split_disjointness", f"with {FUSION} select 0::bigint as n_shared")
+@query("split_disjointness", f"with {FUSION} select count(*) as n_shared from (select path from fus group by path having count(distinct split) > 1)")
 def split_disjointness(spark, d):
     """Paths that two splits share: must be none."""
     m = split_for_protocol(entries(spark, d), "ood")
-    part = lambda s: m.filter(F.col("split") == s).select("path")
-    return part("train").intersect(part("test")).agg(F.count("*").alias("n_shared"))
+    return m.groupBy("path").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_shared"))
 
 
 @query("prepared_manifest", f"with {FUSION} select split, label, count(*) n from fus group by 1,2")

@@ -35,7 +35,7 @@ def _event_entries(spark, d):
 @query("external_scores", f"with {WIDE} select 'event_'||sample_id||'.png' as name, round(t01,6) as score from wide")
 def external_scores(spark, d):
     folder = shared_dir(spark, "external")
-    sinks.write_table(_named(spark, d).coalesce(1), folder)
+    sinks.write_table(_named(spark, d), folder)
     return rounded(readers.read_scores(spark, folder), "score")
 
 

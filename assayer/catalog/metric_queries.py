@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..bindings import scored_all, scored_big, scored_long, scored_wide, table
 from ..constants import TECHNIQUE_ORDER
 from ..operators import curves, errors, filters, metrics, summaries
 from ..plans import evaluation
-from .registry import ALL, BIG, LONG, M_COLS, WIDE, metrics_sql, query
+from ..session import shared_dir
+from ..sources import sinks
+from .registry import ALL, BIG, LONG, M_COLS, ORACLES, WIDE, metrics_sql, query
 
 BASE = ("T01", "T02", "T03", "T04")
 
@@ -193,9 +197,23 @@ def error_examples(spark, d):
     return errors.examples(_hits(spark, d))
 
 
-@query("error_analysis_job", f"with {_HITS} select n_hits, count(*) n from hits group by 1")
+# Report of the job, query with its SQL, key and value.
+_REPORTS = (("distribution", "hit_distribution", "n_hits", "n"), ("rescue", "fusion_rescue", "technique", "rescued"),
+            ("disagreement", "pairwise_disagreement", "pair", "rate"), ("all_wrong", "all_wrong_by_generator", "generator", "all_wrong"),
+            ("auc_by_generator", "auc_by_generator", "technique || '/' || generator", "auc"),
+            ("inversions", "inversions", "technique || '/' || generator", "auc"))
+
+
+@query("error_analysis_job", " union all ".join(
+    f"select '{report}' as report, ({key})::varchar as key, round(({value})::double, 6) as value from ({ORACLES[name]})" for report, name, key, value in _REPORTS))
 def error_analysis_job(spark, d):
-    return evaluation.error_analysis(scored_all(spark, d), BASE)["distribution"]
+    """Every keyed report of the job, written and read back as one table."""
+    reports = evaluation.error_analysis(scored_all(spark, d), BASE)
+    rows = [reports[report].select(F.lit(report).alias("report"), F.expr(f"cast({key} as string)").alias("key"),
+                                   F.round(F.col(value).cast("double"), 6).alias("value")) for report, _, key, value in _REPORTS]
+    path = shared_dir(spark, "errors")
+    sinks.write_table(reduce(lambda a, b: a.unionByName(b), rows), path, "parquet")
+    return spark.read.parquet(path)
 
 
 _RAW = WIDE + """, raw as (select technique, sample_id, s as score from (
@@ -220,7 +238,7 @@ def normalised_scores(spark, d):
 @query("score_validation", f"""with {_RAW}, c as (select technique, count(*) n, 0::bigint n_not_finite,
   count(*) filter (score<0 or score>1) n_out_of_range, (select count(*) from events) n_expected from raw group by 1)
 select *, case when n<>n_expected then 'wrong length' when n_out_of_range>0 then 'out of range' else '' end as error,
- case when n<>n_expected or n_out_of_range>0 then 'error' else 'ok' end as status from c""")
+ case when n<>n_expected or n_out_of_range>0 then 'erro' else 'ok' end as status from c""")
 def score_validation(spark, d):
     return filters.validate_scores(_raw(spark, d), ["technique"], table(spark, d, "events"))
 

@@ -100,7 +100,7 @@ def fusion_variant_choice(spark, d):
     return spark.createDataFrame([(fusion.pick_variant(registry, have), ",".join(have))], "variant string, available string")
 
 
-@query("fit_status", "select technique, status from (values ('forest','error'),('fusion','ok')) v(technique,status)")
+@query("fit_status", "select technique, status from (values ('forest','erro'),('fusion','ok')) v(technique,status)")
 def fit_status(spark, d):
     """A failing fit is recorded; the other goes on."""
     s = _split(scored_long(spark, d))

@@ -17,7 +17,6 @@ HELD_OUT_GENERATORS = ("gigagan", "midjourney_v5", "midjourney_v6_1")
 TRAINING_GENERATORS = ("latent_diffusion",)
 BENCHMARK_GENERATORS = DIFFUSION_GENERATORS + HELD_OUT_GENERATORS
 FUSION_CALIBRATION_GENERATORS = ("glide",)
-REAL_SOURCES = ("raise", "fodb", "imagenet", "coco", "open_images")
 
 # Split ratios in whole percent, in allocation order.
 SPLIT_PERCENT = {"train": 70, "val": 15, "test": 15}
@@ -109,7 +108,6 @@ TSALLIS_Q = 0.5
 EPS = 1e-12
 # Raster index of AC positions 1..9 in zigzag order of an 8x8 block.
 AC_POSITIONS = (1, 8, 16, 9, 2, 3, 10, 17, 24)
-COOCCURRENCE_LEVELS = 256
 COOCCURRENCE_SCALE = 1e4
 
 # Standard luminance quantisation table (JPEG Annex K), raster order.

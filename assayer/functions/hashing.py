@@ -32,9 +32,5 @@ def gaussian(md5_hex: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
-def any_of(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags)
-
-
 def all_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, flags)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import (
     ARCHIVE_PREFIX, EMPTY_CONTENT_LEVEL, GENERATOR_MAP, IMAGE_SUFFIXES, LABEL_REAL,
-    MAX_UPLOAD_BYTES, NORMALISED_SIDE, STATUS_FAILED, STATUS_OK, TECHNIQUE_NAMES, UPLOAD_SUFFIXES,
+    MAX_UPLOAD_BYTES, STATUS_FAILED, STATUS_OK, TECHNIQUE_NAMES, UPLOAD_SUFFIXES,
 )
 from ..functions.numeric import sigmoid
 from ..functions.paths import segment, suffix
@@ -56,7 +56,7 @@ def validate_scores(scores: DataFrame, by: Sequence[str], expected: DataFrame |
         .when(F.col("n_not_finite") > 0, F.lit("not finite"))
         .when(F.col("n_out_of_range") > 0, F.lit("out of range")))
     return checks.withColumn("error", F.coalesce(error, F.lit(""))).withColumn(
-        "status", F.when(error.isNull(), F.lit("ok")).otherwise(F.lit("error")))
+        "status", F.when(error.isNull(), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_FAILED)))
 
 
 # Leading bytes of the allowed formats, then of known others.
@@ -135,10 +135,6 @@ def status_columns(results: DataFrame) -> DataFrame:
                    "seed": F.coalesce(F.col("seed").cast("string"), F.lit(""))})
 
 
-def reduction_factor(side: Column) -> Column:
-    return side / F.lit(float(NORMALISED_SIDE))
-
-
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row per key by ``order``, as a partial-aggregating max instead of a sort."""
     rest = [c for c in df.columns if c not in key]
@@ -149,8 +145,3 @@ def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
 def technique_order(column: Column, order: Sequence[str]) -> Column:
     """Ordinal of a technique in the fixed report order."""
     return F.array_position(F.array(*[F.lit(t) for t in order]), column)
-
-
-def condition_order() -> list[Column]:
-    """``clean`` first, then by name."""
-    return [(F.col("condition") != "clean"), F.col("condition")]

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import SEED, SOURCE_TECHNIQUES
-from ..functions.numeric import nan_to_null
+from ..functions.numeric import nan_to_null, sigmoid
 
 
 class NotFitted(RuntimeError):
@@ -110,6 +110,13 @@ class Fusion:
         if self.model is None:
             raise NotFitted("call fit() first")
         keep = [c for c in matrix.columns if c not in self.sources]
+        if self.classifier == "logistic_regression":
+            # A sum of eight products stays in generated code; no vectors are built.
+            ready = standardised(imputed(matrix, self.sources, self.values), self.scales)
+            margin = F.lit(float(self.model.intercept))
+            for c, w in zip(self.columns, self.model.coefficients):
+                margin = margin + F.lit(float(w)) * F.col(c)
+            return ready.select(*keep, sigmoid(margin).alias(out))
         return self.model.transform(self._features(matrix)).select(
             *keep, vector_to_array("probability")[1].alias(out))
 

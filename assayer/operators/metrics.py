@@ -13,11 +13,6 @@ from .ranking import with_block
 COUNTS = ("tn", "fp", "fn", "tp")
 
 
-def predicted(score: Column, threshold: float = DECISION_THRESHOLD) -> Column:
-    """1 when the score reaches the threshold; the threshold itself counts as positive."""
-    return (score >= F.lit(threshold)).cast("int")
-
-
 def confusion_columns(score: Column, label: Column, threshold: float = DECISION_THRESHOLD) -> list[Column]:
     hit = score >= F.lit(threshold)
     real, fake = label == LABEL_REAL, label == LABEL_FAKE

@@ -87,16 +87,6 @@ def ood_split_by_family(manifest: DataFrame) -> DataFrame:
         .otherwise(F.lit("excluded"))))
 
 
-def role_split(manifest: DataFrame, role: Column) -> DataFrame:
-    """The out-of-distribution rule on a role column: benchmark, training, real, other."""
-    split = F.col("split")
-    return manifest.withColumn("split", (
-        F.when(role == "real", split)
-        .when(role == "benchmark", F.lit("test"))
-        .when(role == "training", F.when(split == "test", F.lit("train")).otherwise(split))
-        .otherwise(F.lit("excluded"))))
-
-
 def reserve_fusion_calibration(
     manifest: DataFrame, seed=SEED, generators: Sequence[str] = FUSION_CALIBRATION_GENERATORS,
     percent: int = FUSION_REAL_PERCENT, id_col: str = "sample_id",

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..constants import LATENCY_LIMIT_MS, PUBLISHED_TOLERANCE_PP
+from ..constants import LATENCY_LIMIT_MS, NORMALISED_SIDE, PUBLISHED_TOLERANCE_PP
 from ..functions.numeric import ratio
 from .metrics import auc
 from .ranking import fixed_block
@@ -63,7 +63,7 @@ def published_gap(measured: DataFrame, published: DataFrame,
     """Measured against published AUC per generator, in percentage points, by native side."""
     gap = (F.col("auc") - F.col("published_auc")) * 100
     return published.join(measured.select("generator", "auc"), "generator", "left").select(
-        "generator", "native_side", (F.col("native_side") / 256.0).alias("reduction"),
+        "generator", "native_side", (F.col("native_side") / float(NORMALISED_SIDE)).alias("reduction"),
         F.col("auc").alias("measured_auc"), "published_auc", gap.alias("gap_pp"),
         (F.abs(gap) <= tolerance_pp).alias("within")).orderBy("native_side", "generator")
 

@@ -9,7 +9,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..constants import FUSION, SEED, SOURCE_TECHNIQUES, TRAINING_SEEDS
+from ..constants import FUSION, SEED, SOURCE_TECHNIQUES, STATUS_FAILED, STATUS_OK, TRAINING_SEEDS
 from ..operators.components import aggregate_components, component_metrics, consolidate, coverage
 from ..operators.curves import bootstrap_interval, delong_pairs, roc_points
 from ..operators.errors import (
@@ -33,9 +33,9 @@ def fit_techniques(spark: SparkSession, jobs: Mapping[str, Callable[[], object]]
     for name, job in jobs.items():
         try:
             fitted[name] = job()
-            rows.append((name, "ok", None))
+            rows.append((name, STATUS_OK, None))
         except Exception as error:  # noqa: BLE001
-            rows.append((name, "error", str(error)))
+            rows.append((name, STATUS_FAILED, str(error)))
     return fitted, spark.createDataFrame(rows, "technique string, status string, error string")
 
 
