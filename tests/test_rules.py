@@ -45,7 +45,11 @@ def test_text_named_like_an_image_is_corrupt(spark, tmp_path):
     assert (report.n_total, report.n_corrupted, report.ok) == (3, 1, False)
     bad = integrity.problem_files(entries, integrity.unreadable(entries), F.lit(False)).collect()
     assert [r.path.rsplit("/", 1)[1] for r in bad] == ["bad.png"]
-    assert not corpus.prepare(entries, str(tmp_path / "m"), str(tmp_path / "r"), "ood")
+    sized = entries.withColumn("side", F.when(F.col("path").endswith("b.png"), 128).otherwise(256))
+    assert not corpus.prepare(sized, str(tmp_path / "m"), str(tmp_path / "r"), "ood", width="side", height="side", expected=256)
+    listed = spark.read.parquet(str(tmp_path / "r_files")).collect()
+    assert sorted((r.sample_id.rsplit("/", 1)[1], r.problem) for r in listed) == [("b.png", "wrong_size"), ("bad.png", "corrupted")]
+    assert spark.read.parquet(str(tmp_path / "r_duplicates")).count() == 0
 
 
 def test_large_planes(spark):
