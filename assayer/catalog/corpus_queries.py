@@ -261,6 +261,13 @@ def corpus_info(spark, d):
     return spark.read.schema(info.schema).json(path)
 
 
+@query("corpus_counts", f"with {ENTRIES} select label, generator, source, count(*) n from ent group by 1, 2, 3")
+def corpus_counts(spark, d):
+    path = shared_dir(spark, "corpus_counts")
+    sinks.write_table(sinks.corpus_counts(entries(spark, d)), path, "json")
+    return spark.read.schema("label int, generator string, source string, n bigint").json(path)
+
+
 @query("archive_members", f"""with {ENTRIES}, m as (select 'synthbuster/'||replace(generator,'adobe_','')||'/'||sample_id||case when sample_id%5=0 then '.txt' else '.PNG' end as member, sample_id from ent where sample_id%2=0
  union all select replace(replace(generator,'_','-'),'v6-1','v6.1')||'/'||sample_id||'.jpg', sample_id from ent where sample_id%2=1),
 f as (select *, case when split_part(member,'/',1)='synthbuster' then split_part(member,'/',2) else split_part(member,'/',1) end as folder from m where not member like '%.txt')

@@ -67,9 +67,14 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return write_table(df, path, fmt, "append")
 
 
+def corpus_counts(entries: DataFrame) -> DataFrame:
+    """Files of each generator and source."""
+    return entries.groupBy("label", "generator", "source").agg(F.count("*").alias("n"))
+
+
 def corpus_info(entries: DataFrame) -> DataFrame:
-    """Counts per generator and source with their totals and the balance flag."""
-    per = entries.groupBy("label", "generator", "source").agg(F.count("*").alias("n"))
+    """Totals of ``corpus_counts`` and the balance flag."""
+    per = corpus_counts(entries)
     return per.groupBy().agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("total_fake"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("total_real"),
