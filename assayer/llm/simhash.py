@@ -18,7 +18,6 @@ known doc_id; an empty table gives no rows. Columns besides doc_id and text are
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -204,17 +203,21 @@ def _bucket_links(radius: int):
     return batches_of
 
 
-def blocks_for(n: int, radius: int, bits: int = 64) -> int:
-    """Blocks to cut a fingerprint into so that unrelated fingerprints are rare in a bucket; exact for any number."""
-    for blocks in range(radius + 1, 2 * radius + 4):
-        if n <= 2 ** (bits * (blocks - radius) // blocks) or comb(blocks + 1, radius) > 500:
-            break
+def blocks_for(radius: int, key_bits: int = 21) -> int:
+    """Blocks to cut a fingerprint into so that a bucket's key has ``key_bits`` bits; links are exact for any number.
+
+    More bits mean fewer unrelated fingerprints in a bucket and more buckets for each fingerprint. 21 bits suit some
+    tens of millions of distinct fingerprints.
+    """
+    blocks = radius + 1
+    while 64 * (blocks - radius) < key_bits * blocks:
+        blocks += 1
     return blocks
 
 
-def near_links(values: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def near_links(values: DataFrame, radius: int, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """Links between distinct ``fingerprint`` values, thinned but with the same components."""
-    blocks = blocks_for(values.count(), radius)
+    blocks = blocks or blocks_for(radius)
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     mask = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
