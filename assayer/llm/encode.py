@@ -33,7 +33,7 @@ class Encoder:
     and frequent words stay.
     """
 
-    def __init__(self, path: str, spans: bool = False, capacity: int = 400_000):
+    def __init__(self, path: str, spans: bool = False, capacity: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
         from tokenizers import Tokenizer
 
@@ -138,7 +138,7 @@ class Encoder:
             out[i] = record.reshape(3, -1) if self.spans else record.view(np.uint32)
         return out
 
-    def pieces(self, batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
+    def pieces(self, batch: pa.RecordBatch, text: str, most_bytes: int = 3_000_000):
         """(slice of the batch, encoded texts) with a bounded amount of text at a time."""
         column = batch.column(text).cast(pa.large_string())
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
