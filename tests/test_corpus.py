@@ -68,10 +68,16 @@ def test_ranks_equal_a_plain_sort(spark):
 
 def test_more_groups_than_may_be_broadcast(spark):
     c = corpus(spark, **{f"g{i}": 10 for i in range(12)})
-    few = ranking.seeded_parts(c, ["generator"], "sample_id", 1, lambda n: [F.lit(4)], max_groups=3)
-    many = ranking.seeded_parts(c, ["generator"], "sample_id", 1, lambda n: [F.lit(4)])
-    assert few.select("sample_id", "part").exceptAll(many.select("sample_id", "part")).isEmpty()
-    assert counts(few, "part") == {(0,): 48, (1,): 72}
+    parts = lambda: ranking.seeded_parts(c, ["generator"], "sample_id", 1, lambda n: [F.lit(4)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # the cut table is as good as too large
+    try:
+        shuffled = sorted(map(tuple, parts().select("sample_id", "part").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    broadcast = parts()
+    assert shuffled == sorted(map(tuple, broadcast.select("sample_id", "part").collect()))
+    assert counts(broadcast, "part") == {(0,): 48, (1,): 72}
 
 
 def test_out_of_distribution_splits(spark):
