@@ -23,17 +23,17 @@ IRREGULAR = f"^ | $| {BLANK}|{BLANK} |\\x00"
 #: lower-cases to one letter), and after a lone line break before a letter. They make many more words equal.
 CUTS = ((r"([\p{Ll}A-Z])([,.])", "\\1\0\\2"), (r"([\p{Ll}A-Z,.])\n(\pL)", "\\1\n\0\\2"))
 
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_encoders: dict[tuple, "Encoder"] = {}
 
 
 class Encoder:
     """Encodes batches of texts; ``spans`` keeps the character span of every token.
 
-    Words are remembered in two generations of ``capacity`` entries, so memory is bounded
+    Words are remembered in two generations of ``capacity`` entries (about 200 bytes each), so memory is bounded
     and frequent words stay.
     """
 
-    def __init__(self, path: str, spans: bool = False, capacity: int = 200_000):
+    def __init__(self, path: str, spans: bool = False, capacity: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
         from tokenizers import Tokenizer
 
@@ -149,8 +149,9 @@ class Encoder:
                 yield batch.slice(a, b - a), self.encode(column.slice(a, b - a))
 
 
-def encoder(path: str, spans: bool = False) -> Encoder:
+def encoder(path: str, spans: bool = False, capacity: int = 400_000) -> Encoder:
     """One encoder for each file and worker."""
-    if (path, spans) not in _encoders:
-        _encoders[path, spans] = Encoder(path, spans)
-    return _encoders[path, spans]
+    key = (path, spans, capacity)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -27,11 +27,14 @@ CELL = 4096
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row for each piece of each document: its place in the document, its length and the CRC of its ids."""
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remember: int = 400_000) -> DataFrame:
+    """One row for each piece of each document: its place in the document, its length and the CRC of its ids.
+
+    ``remember`` bounds the words a worker keeps encoded; fewer take less memory and more time.
+    """
 
     def cut(batches):
-        codec = encoder(tokenizer)
+        codec = encoder(tokenizer, capacity=remember)
         for batch in batches:
             for part, texts in codec.pieces(batch, "text"):
                 ids = part.column("doc_id").to_pylist()
@@ -230,5 +233,5 @@ def pack(pieces: DataFrame, capacity: int = 2048, cell: int = CELL, islands: int
     return out
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, **options) -> DataFrame:
-    return pack(cut_documents(docs, tokenizer, capacity), capacity, **options)
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, remember: int = 400_000, **options) -> DataFrame:
+    return pack(cut_documents(docs, tokenizer, capacity, remember=remember), capacity, **options)

@@ -39,8 +39,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Executors still hold what earlier stages left in their workers, so fewer words are remembered."""
     ship(spark)
-    return packing.packed_documents(docs, tokenizer_file(WORD_BPE))
+    return packing.packed_documents(docs, tokenizer_file(WORD_BPE), remember=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
