@@ -2,12 +2,12 @@
 
 P(grade > k) = sigmoid(w x - threshold_k): one set of weights for all grades, thresholds in ascending order. The expected
 severity is the sum of these probabilities. Features are lower-cased words, and word beginnings of 4 to 6 letters
-valued by their distinct words. The vocabulary holds those that are most surely in a larger share of toxic than of clean
-labelled documents.
+valued by their distinct words. The vocabulary holds the ``n_features`` that are most surely in a larger share of toxic than of
+clean labelled documents; how sure is no condition, since that depends on the size of the table: the penalty keeps weak ones small.
 
 The model is fitted on at most ``most_labelled`` labelled documents, half of them from each class where there are so
-many, chosen by hash of doc_id; a fifth of them is held out to set the decision threshold. Everything else, scoring
-above all, reads whole texts of all documents. Vocabulary and weights are bounded by ``n_features`` and travel with the task.
+many, chosen by hash of doc_id. The decision threshold is set where each fifth is judged by a model of the other four, so
+every label counts for weights and threshold, however few there are. Everything else, scoring above all, reads whole texts of all documents. Vocabulary and weights are bounded by ``n_features`` and travel with the task.
 
 Defined results: null, empty and wordless texts are scored from the thresholds alone; repeated rows are scored each for
 itself; labelled ids without a document, null labels and repeated labels (the highest grade counts) do no harm; without
@@ -31,6 +31,7 @@ from .common import fresh, seeded, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+FOLDS = 5
 
 
 def features(text: str) -> Counter:
@@ -158,7 +159,7 @@ def _with_families(batches):
             ["doc_id", "text", "grade", "family", "kin"])
 
 
-def _vocabulary(sample: DataFrame, n_features: int, least_documents: int, least_z: float) -> list[str]:
+def _vocabulary(sample: DataFrame, n_features: int, least_documents: int) -> list[str]:
     """The features most surely in a larger share of toxic documents than of clean ones."""
 
     def spread(batches):
@@ -176,20 +177,20 @@ def _vocabulary(sample: DataFrame, n_features: int, least_documents: int, least_
     odds = lambda c, total: F.log((F.col(c) + 0.5) / (F.lit(total) - F.col(c) + 0.5))
     spread_of = lambda c, total: 1 / (F.col(c) + 0.5) + 1 / (F.lit(total) - F.col(c) + 0.5)
     z = (odds("a", n.toxic) - odds("b", n.clean)) / F.sqrt(spread_of("a", n.toxic) + spread_of("b", n.clean))
-    rows = (counted.select("feature", z.alias("z")).filter(F.col("z") >= least_z)
+    rows = (counted.select("feature", z.alias("z")).filter("z > 0")
             .orderBy(F.desc("z"), "feature").limit(n_features).collect())
     return [r.feature for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_grades: int = 4, most_labelled: int = 12_000, n_features: int = 4096,
-        least_documents: int = 4, least_z: float = 4.0, seed: int = 0) -> Model:
+        least_documents: int = 4, seed: int = 0) -> Model:
     """``labels``: doc_id and grade. If no grade exceeds 1, toxic documents are graded 1, 2, ... in equal shares by
-    how often they use words of the vocabulary.
+    how strongly they use words of the vocabulary, by the weights of a fit to two grades.
 
     At most most_labelled x (words in the vocabulary) counts come to the driver, never texts.
     """
     sample = stored(labelled_sample(docs, labels, most_labelled, seed), "labelled")
-    names = _vocabulary(sample, n_features, least_documents, least_z)
+    names = _vocabulary(sample, n_features, least_documents)
     if not names:
         return Model({}, np.full(n_grades - 1, np.inf), 1.0)
     place = {f: k for k, f in enumerate(names)}
@@ -205,35 +206,40 @@ def fit(docs: DataFrame, labels: DataFrame, n_grades: int = 4, most_labelled: in
                 types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["doc_id", "grade", "at", "times"])
 
-    rows = sorted(sample.mapInArrow(entries, "doc_id bigint, grade int, at array<int>, times array<int>").collect(), key=lambda r: r.doc_id)
-    grades = np.array([r.grade for r in rows])
+    rows = sample.mapInArrow(entries, "doc_id bigint, grade int, at array<int>, times array<int>").toArrow().sort_by("doc_id")
+    grades = rows.column("grade").to_numpy().astype(int)
+    i = np.repeat(np.arange(len(grades)), pc.list_value_length(rows.column("at")).to_numpy())
+    j, v = pc.list_flatten(rows.column("at")).to_numpy(), pc.list_flatten(rows.column("times")).to_numpy().astype(float)
     toxic = grades > 0
     if grades.max() == 1 and n_grades > 2:
-        hits = np.array([sum(r.times) for r in rows])
+        w, _ = fit_ordinal(i, j, v, grades, len(names), 2)
+        hits = np.bincount(i, w[j] * v, minlength=len(grades))
         cuts = np.quantile(hits[toxic], np.arange(1, n_grades - 1) / (n_grades - 1))
         grades = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0)
     n_grades = max(n_grades, int(grades.max()) + 1)
-    held = np.array([(r.doc_id * 2654435761 + seed) % 1000 < 200 for r in rows])
-
-    def matrix(which):
-        some = [r for r, k in zip(rows, which) if k]
-        sizes = [len(r.at) for r in some]
-        flat = lambda name: np.concatenate([np.asarray(getattr(r, name), float) for r in some] + [np.zeros(0)])
-        return np.repeat(np.arange(len(some)), sizes), flat("at").astype(int), flat("times")
-
-    w, theta = fit_ordinal(*matrix(~held), grades[~held], len(names), n_grades)
-    i, j, v = matrix(held)
-    p = _sigmoid(np.bincount(i, w[j] * v, minlength=int(held.sum())) - theta[0])
-    return Model({f: float(x) for f, x in zip(names, w)}, theta, _cut(p, toxic[held]))
+    fold = np.array([(d * 2654435761 + seed) % 1000 * FOLDS // 1000 for d in rows.column("doc_id").to_pylist()])
+    p = np.zeros(len(grades))
+    for k in range(FOLDS):
+        held = fold == k
+        among, place_of = ~held[i], np.cumsum(~held) - 1
+        w, theta = fit_ordinal(place_of[i[among]], j[among], v[among], grades[~held], len(names), n_grades)
+        p[held] = _sigmoid(np.bincount(i, w[j] * v, minlength=len(grades)) - theta[0])[held]
+    w, theta = fit_ordinal(i, j, v, grades, len(names), n_grades)
+    return Model({f: float(x) for f, x in zip(names, w)}, theta, _cut(p, toxic))
 
 
 def _cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The probability that parts held-out documents with the best F1: midway between the two neighbours."""
-    if not toxic.any():
-        return 0.5
+    """The probability that parts documents a model hasn't seen with the best F1: midway between the two neighbours.
+
+    Only where most of the documents above are toxic, else F1 of few labels may be best with all documents rejected; 0.5 if
+    that is nowhere.
+    """
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(toxic[order])
-    k = int(np.argmax(2 * hits / (np.arange(1, len(p) + 1) + toxic.sum())))
+    n, hits = np.arange(1, len(p) + 1), np.cumsum(toxic[order])
+    f1 = np.where(2 * hits > n, 2 * hits / (n + toxic.sum()), 0.0)
+    if not f1.any():
+        return 0.5
+    k = int(np.argmax(f1))
     below = p[order[k + 1]] if k + 1 < len(p) else 0.0
     return float((p[order[k]] + below) / 2)
 

@@ -1,6 +1,7 @@
 """Ordinal regression against a known model, held-out accuracy, edge cases."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from assayer.llm import queries, toxicity
@@ -43,6 +44,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.toxic for r in clean) < 0.02 * len(clean)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxic_documents_of_small_tables_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("grade"))
+    rows = toxicity.score(docs, toxicity.fit(docs, labels), ("doc_id",)).drop("grade").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r.grade]
+    clean = [r for r in rows if not r.grade]
+    assert len(toxic) > 10 and sum(r.toxic for r in toxic) > 0.9 * len(toxic)
+    assert sum(r.toxic for r in clean) < 0.1 * len(clean)
+
+
 def test_op8_rows(spark):
     rows = queries.op8_toxicity(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
