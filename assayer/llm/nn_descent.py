@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by cosine: NN-descent builds the graph, queries walk it greedily.
 
-Every usable vector is indexed; equal vectors are one node, so groups of copies cost nothing. Unit vectors are rounded to
-16-bit integers, whose products are exact and thus the same wherever they are computed. The graph starts from nodes that stand together in
+Every usable vector is indexed; equal vectors are one node, so groups of copies cost nothing. Nodes are
+compared in double precision by the squared distance of their unit vectors, summed from differences: in a tight group of near copies it
+keeps its relative precision, where rounded products would all be equal. The graph starts from nodes that stand together in
 the order of random hyperplane codes. In each round a node's neighbours, and some that have it as neighbour, are joined with their vectors
 and compared with one another: neighbours of neighbours. Only pairs with a member that is new since the last round
 are compared, and a node keeps its best ``degree``. Rounds end when few neighbours change.
 
 A query walks the graph with a beam: the best ``beam`` nodes found so far that aren't expanded yet are joined with their neighbours, until none
-is left or ``walks`` is reached. Queries that are indexed start at their own node, others at some fixed nodes. The last
-candidates are scored with the original vectors in double precision.
+is left or ``walks`` is reached. Queries that are indexed start at their own node, others at some fixed nodes. All nodes
+found for a query are ranked by that distance, and the best are scored with the original vectors.
 
 Nothing is grouped by a popular key without a limit: of the nodes that have a node as neighbour ``degree`` are drawn by hash
 in each round, best neighbours are ranked with a limit before the shuffle, and of copies the ``k + 1`` smallest ids are kept.
@@ -26,10 +27,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import partitions, seeded, stored
 
-UNIT = 4095         # the integer for 1
 GROUP = 512         # nodes that start as each other's candidates
 TABLES = 12
-EDGE = "u bigint, v bigint, sim bigint"
+EDGE = "u bigint, v bigint, sim double"
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -39,8 +39,8 @@ def _usable(vectors: DataFrame) -> DataFrame:
             .groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.max("embedding").cast("array<double>").alias("x")))
 
 
-def _rounded(nodes: DataFrame, dims: int, seed: int) -> DataFrame:
-    """(u, code, z): unit vectors as 16-bit integers, and hyperplane codes of each table."""
+def _unit(nodes: DataFrame, dims: int, seed: int) -> DataFrame:
+    """(u, code, z): unit vectors as doubles, and hyperplane codes of each table."""
 
     def each(batches):
         planes = np.random.default_rng(seed).standard_normal((dims, TABLES * 16))
@@ -53,8 +53,7 @@ def _rounded(nodes: DataFrame, dims: int, seed: int) -> DataFrame:
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             bits = (x @ planes > 0).reshape(len(rows), TABLES, 16)
             codes = (bits * (1 << np.arange(16))).sum(axis=2)
-            z = np.rint(UNIT * x).astype("<i2")
-            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(list(codes), pa.list_(pa.int64())), pa.array([r.tobytes() for r in z], pa.binary())],
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(list(codes), pa.list_(pa.int64())), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())],
                                              ["u", "codes", "z"])
 
     return nodes.select("u", "x").mapInArrow(each, "u bigint, codes array<bigint>, z binary")
@@ -62,18 +61,27 @@ def _rounded(nodes: DataFrame, dims: int, seed: int) -> DataFrame:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<i2").reshape(len(rows), -1).astype(np.float64)
+    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+
+
+def _closeness(z: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of all pairs of rows, summed from differences a dimension at a time."""
+    sims = np.zeros((len(z), len(z)))
+    for x in np.ascontiguousarray(z.T):
+        d = x[:, None] - x
+        sims -= np.multiply(d, d, out=d)
+    return sims
 
 
 def _compared(ids: np.ndarray, z: np.ndarray, least: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """For every member of a group its ``most`` best others above its own least similarity; products are exact."""
-    sims = z @ z.T
+    """For every member of a group its ``most`` best others above its own least similarity (minus the squared distance)."""
+    sims = _closeness(z)
     sims[(ids[:, None] == ids[None, :]) | ~(fresh[:, None] | fresh[None, :]) | (sims <= least[:, None])] = -np.inf
     m = min(most, len(ids))
     best = np.argpartition(-sims, m - 1, axis=1)[:, :m]
     value = np.take_along_axis(sims, best, axis=1)
     i, j = np.nonzero(np.isfinite(value))
-    return ids[i], ids[best[i, j]], value[i, j].astype(np.int64)
+    return ids[i], ids[best[i, j]], value[i, j]
 
 
 def _edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -113,7 +121,7 @@ def _round(nodes: DataFrame, edges: DataFrame, degree: int, most: int, salt: int
     """Edges found by comparing each node's neighbours with one another."""
     members = edges.select(F.col("u").alias("centre"), F.col("v").alias("u"), "fresh").unionByName(
         _drawn_reverse(edges, degree, salt).select(F.col("v").alias("centre"), "u", "fresh"))
-    least = edges.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-(1 << 40))).alias("least"))
+    least = edges.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(float("-inf"))).alias("least"))
     members = members.join(nodes.join(least, "u").select("u", "z", "least"), "u")
 
     def groups(batches):
@@ -157,7 +165,7 @@ class Index:
                           .join(self.vectors.withColumnRenamed("x", "same"), F.col("x") == F.col("same")).select("u", "vec_id"), "ids")
         distinct = self.vectors.join(self.ids.select("u").distinct(), F.col("vec_id") == F.col("u"), "left_semi").withColumnRenamed("vec_id", "u")
         self.dims = self.vectors.agg(F.max(F.size("x"))).first()[0] or 1
-        self.nodes = stored(distinct.join(_rounded(distinct, self.dims, seed), "u"), "nodes")
+        self.nodes = stored(distinct.join(_unit(distinct, self.dims, seed), "u"), "nodes")
         slim = self.nodes.select("u", "z")
         n = self.nodes.count()
         edges = stored(_kept(_start(self.nodes, degree // 2).withColumn("fresh", F.lit(True)), degree), "edges")
@@ -173,7 +181,7 @@ class Index:
         """(query_id, rank, vec_id, score): the k nearest found to each of ``queries`` (vec_id, embedding)."""
         asked = stored(_usable(queries), "asked")
         sources = stored(asked.groupBy("x").agg(F.min("vec_id").alias("q")), "sources")        # equal queries walk once
-        z = _rounded(sources.withColumnRenamed("q", "u"), self.dims, 0).select(F.col("u").alias("q"), F.col("z").alias("zq"))
+        z = _unit(sources.withColumnRenamed("q", "u"), self.dims, 0).select(F.col("u").alias("q"), F.col("z").alias("zq"))
         points = stored(sources.select("q", "x").join(z, "q"), "points")
         own = points.join(self.nodes.select("u", F.col("x").alias("x")), "x").select("q", "u")
         some = self.nodes.select("u").orderBy(seeded(1, F.col("u"))).limit(entries)              # at most ``entries`` rows
@@ -192,16 +200,17 @@ class Index:
         return self._ranked(stored(found, "found"), asked, points, k)
 
     def _near(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
-        """(q, u, expanded, sim) with the exact product of the rounded vectors."""
+        """(q, u, expanded, sim) with minus the squared distance of the unit vectors."""
 
         def multiply(batches):
             for batch in batches:
                 if batch.num_rows:
-                    sim = np.einsum("ij,ij->i", _matrix(batch.column("z")), _matrix(batch.column("zq"))).astype(np.int64)
+                    d = _matrix(batch.column("z")) - _matrix(batch.column("zq"))
+                    sim = -np.einsum("ij,ij->i", d, d)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "u", "expanded")), pa.array(sim)], ["q", "u", "expanded", "sim"])
 
         return (pairs.join(self.nodes.select("u", "z"), "u").join(points.select("q", "zq"), "q")
-                .mapInArrow(multiply, "q bigint, u bigint, expanded boolean, sim bigint"))
+                .mapInArrow(multiply, "q bigint, u bigint, expanded boolean, sim double"))
 
     def _ranked(self, found: DataFrame, asked: DataFrame, points: DataFrame, k: int) -> DataFrame:
         order = Window.partitionBy("q").orderBy(F.desc("sim"), "u")

@@ -36,6 +36,19 @@ def test_recall(spark, sf):
     assert found >= 0.97 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("noise", [1e-2, 1e-3])
+def test_recall_in_a_tight_group_of_near_copies(spark, noise):
+    draw = np.random.default_rng(5)
+    centre = draw.standard_normal(32)
+    rows = [(i, (centre + noise * draw.standard_normal(32) if i % 3 == 0 else draw.standard_normal(32)).tolist()) for i in range(1500)]
+    want = {q: {i for _, i in best} for q, best in brute_force(rows, 30, 5).items()}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.search(vectors, every=30).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(want[q] & got.get(q, set())) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_copies_and_edge_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0]), (5, None), (6, []), (7, [nan, 1.0]), (8, [None, 1.0]),
