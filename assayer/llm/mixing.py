@@ -4,7 +4,9 @@ A source's weight is its share of all tokens to the power of an exponent, normal
 keeps the shares, 0 makes all sources equal) at which the weights' entropy is at least ``entropy`` of that of equal weights; where a
 source would then be read more than ``most_epochs`` times, the exponent is raised until it isn't. Both are found by
 bisection and the exponent is rounded to six decimals. A weight times the budget is the source's token budget. Whole passes
-over the source are taken as often as they fit; of one more pass, the documents that still fit.
+over the source are taken as often as they fit; of one more pass, the documents up to the first that doesn't fit; shorter ones
+behind it are not taken, so a source may stay under its budget by up to the length of that document, and a source whose first document is
+longer than a budget of less than one pass gives none.
 
 The order of a pass: documents are dealt by hash into blocks of about ``BLOCK``; each pass permutes the blocks, and
 the documents in them, by hashes of its own. So tokens before a document are a sum over blocks plus a sum within its block, and
