@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import bit_sliced, code_trie, mixing, nn_descent, packing, pii, simhash, token_counts, token_store, toxicity, url_filter
+from . import bit_sliced, code_trie, mixing, nn_descent, packing, pii, simhash, token_counts, token_store, toxicity, url_filter, variants
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -82,6 +82,10 @@ def op11_code_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = f"SELECT * EXCLUDE (label) FROM ({code_trie.compress_sql()})"
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
@@ -94,6 +98,7 @@ def _shipping(query):
 
 
 LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op6_bit_sliced, op7_nn_descent,
-                                                      op8_toxicity, op9_pii, op10_packing, op11_code_trie)}
+                                                      op8_toxicity, op9_pii, op10_packing, op11_code_trie,
+                                                      op12_variants)}
 LLM_ORACLES = {"op2_mixing": mixing.plan_sql(), "op5_url_filter": url_filter.judge_sql(URL_RULES), "op6_bit_sliced": OP6_SQL,
-               "op11_code_trie": OP11_SQL}
+               "op11_code_trie": OP11_SQL, "op12_variants": variants.variants_sql()}
