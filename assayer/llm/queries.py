@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import bit_sliced, code_trie, mixing, nn_descent, packing, pii, simhash, token_counts, token_store, toxicity, url_filter, variants
+from . import bit_sliced, code_trie, mixing, multi_index, nn_descent, packing, pii, simhash, token_counts, token_store, toxicity, url_filter, variants
 from .common import ship, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -86,6 +86,10 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
@@ -99,6 +103,7 @@ def _shipping(query):
 
 LLM_QUERIES = {q.__name__: _shipping(q) for q in (op1_simhash, op2_mixing, op3_token_store, op4_token_counts, op5_url_filter, op6_bit_sliced, op7_nn_descent,
                                                       op8_toxicity, op9_pii, op10_packing, op11_code_trie,
-                                                      op12_variants)}
+                                                      op12_variants, op13_multi_index)}
 LLM_ORACLES = {"op2_mixing": mixing.plan_sql(), "op5_url_filter": url_filter.judge_sql(URL_RULES), "op6_bit_sliced": OP6_SQL,
-               "op11_code_trie": OP11_SQL, "op12_variants": variants.variants_sql()}
+               "op11_code_trie": OP11_SQL, "op12_variants": variants.variants_sql(),
+               "op13_multi_index": multi_index.near_vectors_sql()}
