@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions, stored
+from .common import fresh, partitions, stored
 from .components import LINK, connected, forest
 
 TILE = 4096
@@ -223,7 +223,8 @@ def near_links(values: DataFrame, radius: int, tile: int = TILE, blocks: int | N
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = [F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(signed(sum(mask[k] for k in kept)))))
             for i, kept in enumerate(combinations(range(blocks), blocks - radius))]
-    rows = values.select("fingerprint", F.explode(F.array(*keys)).alias("bucket"))
+    # Dealt first: a stored table has few splits, and each row becomes dozens.
+    rows = values.repartition(partitions(values.sparkSession), "fingerprint").select("fingerprint", F.explode(F.array(*keys)).alias("bucket"))
     # Few: each takes more than ``tile`` rows. Spark broadcasts the stored table only if it is small.
     hot = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
     tiles = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1))
@@ -248,6 +249,168 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int
     return prints.join(component, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def minima(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.ndarray:
+    """Bucket keys (document, band): each hashes the least of a document's shingles in ``rows`` orders of their own."""
+    odd = np.random.default_rng(seed).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(starts), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(starts), b + 1, np.uint64)
+        for r in range(rows):
+            least = np.minimum.reduceat(hashes * odd[b, r], starts)
+            key = (key ^ least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, b] = key ^ (key >> np.uint64(32))
+    return out
+
+
+def _hashed(batch: pa.RecordBatch, words: int):
+    """Runs of a batch's rows, with the hashes of their shingles and the number of each text's. A text without words has one, zero."""
+    texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // 2_000_000)) + 1), len(size)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        hashes = [np.array(shingle_hashes(t, words) or [0], np.uint64) for t in texts.slice(a, b - a).to_pylist()]
+        if hashes:
+            yield batch.slice(a, b - a), np.concatenate(hashes), np.fromiter(map(len, hashes), np.int64)
+
+
+def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, k1, k2, size, fingerprint, buckets) of whole texts; ``docs`` has doc_id, k1, k2 and text. No shuffle."""
+
+    def each(batches):
+        for batch in batches:
+            for part, hashes, sizes in _hashed(batch, words):
+                keys = minima(hashes, np.cumsum(sizes) - sizes, bands, rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes), pa.array(majority(hashes, sizes).view(np.int64)),
+                     pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))],
+                    ["doc_id", "k1", "k2", "size", "fingerprint", "buckets"])
+
+    return docs.mapInArrow(each, "doc_id bigint, k1 bigint, k2 bigint, size bigint, fingerprint bigint, buckets array<bigint>")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct hashes of a text's shingles, sorted; ``texts`` has node and text."""
+
+    def each(batches):
+        for batch in batches:
+            for part, hashes, sizes in _hashed(batch, words):
+                ends = np.cumsum(sizes)
+                sets = [np.unique(hashes[e - n:e]).tobytes() for n, e in zip(sizes, ends)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(each, "node bigint, shingles binary")
+
+
+def similar_in_group(values: np.ndarray, sets: list[np.ndarray], block: np.ndarray, cross: bool, radius: int, similarity: float):
+    """Links, by position, of a bucket's texts whose fingerprints lie within the radius and whose shingles are similar, exactly.
+
+    Distances are compared bit-sliced, 64 texts against all. Of the texts near one, all are verified at once, unless they are connected to it already.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    marked, root, out = np.zeros(int(codes.max()) + 1, bool), np.arange(len(values)), []
+    planes = bit_planes(values)
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    flip = np.where(bits, ~np.uint64(0), np.uint64(0))
+    for at in range(0, len(values), 64):
+        some = flip[at:at + 64]
+        near = lanes(within_radius(lambda b, live: planes[b, live][None, :] ^ some[:, b, None], 64, planes.shape[1], radius,
+                                   (len(some),)), len(values))
+        for i, row in enumerate(near, at):
+            row[:i + 1] = False
+            if cross:
+                row &= block != block[i]
+            row &= root != root[i]
+            if row.any():
+                mine = codes[starts[i]:starts[i] + sizes[i]]
+                marked[mine] = True
+                both = np.add.reduceat(marked[codes].astype(np.int64), starts)
+                marked[mine] = False
+                found = np.flatnonzero(row & (both >= similarity * (sizes + sizes[i] - both) - 1e-9))
+                if len(found):
+                    out += [(i, j) for j in found.tolist()]
+                    labels = np.unique(np.append(root[found], root[i]))
+                    root[np.isin(root, labels)] = labels[0]
+    return out
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, tile: int = TILE, volume: int = 1 << 23) -> DataFrame:
+    """(a, b): links between nodes whose texts are similar, thinned but with the same components.
+
+    ``nodes`` has node, k1, k2, least, size, fingerprint and buckets; ``texts`` k1, k2, doc_id and text. Of buckets with the same texts one is searched. Buckets of
+    more than ``tile`` texts, or more than ``volume`` shingles, are cut into tiles and every pair of tiles is a group.
+    """
+    spark = nodes.sparkSession
+    rows = nodes.select("node", "size", "fingerprint", F.explode("buckets").alias("bucket"))
+    met = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"),
+                                     F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y")).filter("n > 1")
+    searched = stored(met.groupBy("n", "shingles", "x", "y").agg(F.min("bucket").alias("bucket")).select(
+        "bucket", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("shingles") / volume)).cast("int").alias("tiles")), "searched")
+    members = stored(rows.join(searched, "bucket").select("bucket", "node", "fingerprint", "tiles"), "members")
+    wanted = stored(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "least"), "wanted")
+    same = (texts.k1 == wanted.k1) & (texts.k2 == wanted.k2) & texts.doc_id.eqNullSafe(wanted.least)
+    sets = shingle_sets(texts.join(wanted, same).select("node", "text"), words).dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64(F.lit(7), "node"), "tiles").cast("int")
+    dealt = (members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "fingerprint").join(sets, "node"))
+    group = ["bucket", "a", "b"]
+
+    def search(batches):
+        def links(rows: pa.Table):
+            keys = np.stack([rows.column(c).to_numpy() for c in group])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), rows.num_rows]
+            block, node, values = (rows.column(c).to_numpy() for c in ("block", "node", "fingerprint"))
+            sets, out = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")], []
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e - s > 1:
+                    out += [(s + i, s + j) for i, j in similar_in_group(values[s:e].view(np.uint64), sets[s:e], block[s:e], keys[1, s] != keys[2, s], radius, similarity)]
+            if out:
+                x, y = np.array(out).T
+                a, b = forest(node[x], node[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            keys = np.stack([rows.column(c).to_numpy() for c in group])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            done = other[-1] + 1 if len(other) else 0                   # the last bucket may go on in the next batch
+            if done:
+                yield from links(rows.slice(0, done))
+            held = rows.slice(done).to_batches()
+        if held:
+            yield from links(pa.Table.from_batches(held))
+
+    return dealt.repartition(partitions(spark), *group).sortWithinPartitions(*group).mapInArrow(search, LINK)
+
+
+def one_of_each_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 22, bands: int = 10, rows: int = 4, tile: int = TILE) -> DataFrame:
+    """One document of each group of documents with similar texts: Jaccard of the sets of word shingles of ``similarity`` or more, verified exactly.
+
+    Texts meet in buckets, one for each band of least shingle hashes, where their fingerprints are compared bit-sliced; ``radius`` is wide (texts of similarity 0.8 differ in
+    9.7 of 64 bits on average) and only spares comparisons of sets. With ten bands of four, pairs of similarity 0.8 meet with probability 0.995, others of more
+    surely. Of a group the row with the smallest doc_id stays (unknown ones last, then by text hash), and one of rows that repeat. Texts without words are alike.
+    """
+    k1, k2 = fresh("k1"), fresh("k2")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn(k1, F.xxhash64(F.lit(1), text)).withColumn(k2, F.xxhash64(F.lit(2), text))
+    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), "text")
+    seen = stored(sketches(texts, words, bands, rows), "sketches")
+    nodes = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = connected(similar_links(nodes, texts, words, radius, similarity, tile))
+    first = F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "k1", "k2")).alias("first")
+    kept = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first)
+            .select(F.col("first.least").alias("least"), F.col("first.k1").alias("x"), F.col("first.k2").alias("y")))
+    kept = stored(kept, "kept")
+    here = (keyed[k1] == kept.x) & (keyed[k2] == kept.y) & keyed["doc_id"].eqNullSafe(kept.least)
+    return keyed.join(kept, here, "left_semi").dropDuplicates([k1, k2]).select(docs.columns)
+
+
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """One document of each group: the one with the smallest doc_id, and one row of it where rows repeat.
 

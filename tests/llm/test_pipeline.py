@@ -9,7 +9,7 @@ from assayer.llm import mixing, toxicity
 from assayer.llm.common import stored
 from test_packing import well_packed
 from test_pii import plain_spans
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash import similar_components
 from test_tokens import SF, expected
 
 
@@ -42,8 +42,7 @@ def test_toxic_documents_go(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before = rows(stages, "toxicity")
-    ids = [r.doc_id for r in before]
-    roots = plain_components(ids, [plain_fingerprint(r.text, 5) for r in before], 6)
+    roots = similar_components([(r.doc_id, r.text) for r in before])
     assert sorted(r.doc_id for r in rows(stages, "simhash")) == sorted(set(roots))
 
 

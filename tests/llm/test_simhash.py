@@ -92,3 +92,68 @@ def test_components_of_chains_and_stars(spark):
     got = components.connected(chain.unionByName(star).repartition(16)).groupBy("root").count().collect()
     assert sorted(tuple(r) for r in got) == [(0, 301), (1000, 2000)]
     assert components.connected(chain.limit(0)).count() == 0
+
+
+def shingles(text, words=5):
+    w = (text or "").encode()
+    w = bytes(c + 32 if 65 <= c <= 90 else c for c in w).replace(b"\x0b", b" ").split()
+    return {b" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def similar_components(docs, similarity=0.8, words=5):
+    """The smallest doc_id of each document's group, by comparing all sets of shingles that share any."""
+    sets = [shingles(t, words) for _, t in docs]
+    holders, root = {}, list(range(len(docs)))
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in holders[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n >= similarity * (len(s) + len(sets[j]) - n) - 1e-9:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return [least[find(i)] for i in range(len(docs))]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_one_of_each_similar_group(spark, sf):
+    """Against all pairs with any shingle in common: nine of ten doomed copies go at least, and nothing else does."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in table.collect()]
+    want = set(similar_components(docs))
+    kept = [r.doc_id for r in simhash.one_of_each_similar(table).collect()]
+    assert len(kept) == len(set(kept)) and want <= set(kept)
+    assert len(kept) - len(want) <= 0.1 * (len(docs) - len(want))
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_similar_groups_with_repeated_and_unknown_ids(spark, tile):
+    import random
+    draw = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    base = draw.choices(words, k=120)
+    rows = [(1, " ".join(draw.choices(words, k=60))), (1, " ".join(draw.choices(words, k=60))), (None, "one two"), (None, "One  two"), (None, None), (7, ""), (8, " "),
+            (9, "a b c d e f"), (9, "a b c d e f"), (10, "W " * 40_000)]
+    for i in range(60):
+        copy = list(base)
+        copy[draw.randrange(120)] = "other"
+        rows.append((100 + i, " ".join(copy)))
+    docs = spark.createDataFrame([(a, b, 0, 0) for a, b in rows], "doc_id long, text string, node int, k1 int").repartition(5)
+    got = simhash.one_of_each_similar(docs, tile=tile)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [d for d, _ in kept].count(1) == 2 and {d for d, _ in kept} == {1, None, 7, 9, 10, 100} and len(kept) == 7
+    assert simhash.one_of_each_similar(docs.limit(0)).count() == 0
