@@ -4,8 +4,9 @@ Pieces of documents are dealt by hash into cells of about ``CELL`` pieces, so no
 corpus. For every cell several islands each evolve a population of packings: a child gets whole well-filled bins
 of one parent, bins of the other that hold any of their pieces are broken up, and the displaced pieces are
 best-fitted, longest first. After each epoch the elite of an island moves on to the next one (one shuffle of
-packings). An island stops once it meets the lower bound of its cell, for nothing can be better. The emptiest sequence
-of every cell is then taken out and all of these are packed again in cells of their own, until one cell is left.
+packings). An island stops once it meets the lower bound of its cell, for nothing can be better. The emptiest sequences
+of every cell, one in ``LOOSE``, are then taken out and all of these are packed again in cells of their own, until one cell is left.
+Pieces are dealt by what they hold, so the result is the same for any partitions and when executors come or go.
 
 Defined results: null text is an empty document of one token (the end id); repeated rows are packed each for itself;
 an empty table gives no rows; only documents longer than ``capacity`` are cut. Other columns are not read.
@@ -24,6 +25,7 @@ from .common import partitions, stored
 from .encode import encoder
 
 CELL = 4096
+LOOSE = 12
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -187,15 +189,16 @@ def pack_cells(pieces: DataFrame, capacity: int, islands: int, epochs: int, gene
 
 
 def _placed(capacity: int):
-    """(cell, rows and bins of a cell) to rows with bin, offset and whether the bin is the emptiest."""
+    """(cell, rows and bins of a cell) to rows with bin, offset and whether the bin is among the emptiest."""
 
     def place(rows: pd.DataFrame, solution: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("length", ascending=False, kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32", "copy"], ascending=[False] + [True] * 5)
         rows["bin"] = np.frombuffer(solution["bins"].iloc[0], np.int32).astype(np.int64)
         fill = rows.groupby("bin")["length"].transform("sum")
         rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        rows["loose"] = rows["bin"] == rows["bin"][fill == fill.min()].min()
-        return rows[["cell", "doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "loose"]]
+        bins = pd.DataFrame({"fill": fill, "bin": rows["bin"]}).drop_duplicates().sort_values(["fill", "bin"])["bin"]
+        rows["loose"] = rows["bin"].isin(bins.iloc[:max(1, len(bins) // LOOSE)])
+        return rows[["cell", "doc_id", "piece", "start", "length", "ids_crc32", "copy", "bin", "offset", "loose"]]
 
     return place
 
@@ -204,28 +207,28 @@ def pack(pieces: DataFrame, capacity: int = 2048, cell: int = CELL, islands: int
          generations: int = 30, size: int = 6, seed: int = 0) -> DataFrame:
     """``pieces`` (see ``cut_documents``) with sequence_id and offset; pieces of full length stand alone.
 
-    Rounds are few: each leaves a handful of pieces of a cell for the next one.
+    Rounds are few: each leaves a twelfth of a cell's sequences for the next one.
     """
-    spark = pieces.sparkSession
-    # Stored once: encoding isn't repeated, and the row numbers below hold in every later job.
-    numbered = stored(pieces, "pieces").withColumn("row", F.monotonically_increasing_id())
+    names = [f.split()[0] for f in PIECE.split(", ")]
+    # Stored once, with numbers: encoding isn't repeated, and the dealing below holds in every later job, however the table is read.
+    numbered = stored(told_apart(pieces).withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed = [numbered.filter(F.col("length") == capacity).select(
-        *[f.split()[0] for f in PIECE.split(", ")], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
-    rest = numbered.filter(F.col("length") < capacity)
+        *names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
+    rest = numbered.filter(F.col("length") < capacity).drop("row")
     number = 0
     while n := rest.count():
         cells = -(-n // cell)
-        dealt = rest.withColumn("cell", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(cells))).drop("row")
+        dealt = rest.withColumn("cell", F.pmod(F.xxhash64(F.lit(number), *names, "copy"), F.lit(cells)))
         solved = pack_cells(dealt, capacity, islands, epochs, generations, size, seed + number)
         done = stored(dealt.groupBy("cell").cogroup(solved.groupBy("cell")).applyInPandas(
-            _placed(capacity), f"cell bigint, {PIECE}, bin bigint, offset bigint, loose boolean"), "placed")
+            _placed(capacity), f"cell bigint, {PIECE}, copy bigint, bin bigint, offset bigint, loose boolean"), "placed")
         last = cells == 1
         ids = (F.lit(number) * (1 << 58) + F.col("cell") * (1 << 24) + F.col("bin")).cast("bigint")
         kept = done if last else done.filter("not loose")
-        placed.append(kept.select(*placed[0].columns[:5], ids.alias("sequence_id"), "offset"))
+        placed.append(kept.select(*names, ids.alias("sequence_id"), "offset"))
         if last:
             break
-        rest = done.filter("loose").select(*placed[0].columns[:5]).withColumn("row", F.monotonically_increasing_id())
+        rest = done.filter("loose").select(*names, "copy")
         number += 1
     out = placed[0]
     for p in placed[1:]:
@@ -233,5 +236,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, cell: int = CELL, islands: int
     return out
 
 
+def told_apart(pieces: DataFrame) -> DataFrame:
+    """The same rows with ``copy``, which numbers equal rows from 0: dealing by content is then the same for any partitions and splits equal rows.
+
+    Equal rows are counted and made again, in two steps of at most ``CELL`` for each row that makes some.
+    """
+    names = [f.split()[0] for f in PIECE.split(", ")]
+    counted = pieces.groupBy(*names).agg(F.count("*").alias("n"))
+    high = counted.withColumn("high", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / CELL))))
+    low = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(CELL - 1), F.col("n") - 1 - F.col("high") * CELL)))
+    return high.select(*names, "high", low.alias("low")).select(*names, (F.col("high") * CELL + F.col("low")).alias("copy"))
+
+
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, remember: int = 400_000, **options) -> DataFrame:
     return pack(cut_documents(docs, tokenizer, capacity, remember=remember), capacity, **options)

@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 
 from assayer.llm import packing, queries
+from assayer.llm.common import stored
 from test_tokens import SF, expected
 
 
@@ -52,6 +53,30 @@ def test_many_cells_and_rounds(spark):
     assert well_packed(out, 100) <= 1.01 * packing.lower_bound(np.array([r[3] for r in rows]), 100) + 2
 
 
+def test_partitions_and_splits_make_no_difference(spark):
+    """Any partitions give equal results within the limit, also where files are split anew between the jobs."""
+    lengths = np.random.default_rng(1).integers(1, 80, 3000)
+    rows = [(int(i // 2), 0, 0, int(n), 1) for i, n in enumerate(lengths)] + [(7, 0, 0, 100, 1)] * 40 + [(8, 0, 0, 50, 1)] * 20
+    pieces, found = spark.createDataFrame(rows, packing.PIECE), []
+    solve, split = packing.pack_cells, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    try:
+        for n in (1, 4, 6, 8, 32):
+            def pack_cells(*a, **k):
+                out = stored(solve(*a, **k), "solved")
+                spark.conf.set(split, str(4096 * (n % 5 + 1)))
+                return out
+            packing.pack_cells = pack_cells
+            out = packing.pack(pieces.repartition(n), 100, cell=128, islands=2, epochs=2, generations=10).collect()
+            spark.conf.set(split, before)
+            assert well_packed(out, 100) <= 1.01 * packing.lower_bound(np.array([r[3] for r in rows]), 100) + 2
+            found.append(sorted(tuple(r) for r in out if r.length < 100))
+    finally:
+        packing.pack_cells = solve
+        spark.conf.set(split, before)
+    assert all(f == found[0] for f in found)
+
+
 def brute_force(lengths, capacity):
     best = len(lengths)
     for of in itertools.product(range(len(lengths)), repeat=len(lengths)):
