@@ -33,7 +33,7 @@ def attribute(spans: np.ndarray, sections: np.ndarray, rule: str, n_chars: int)
     """Tokens of each section, crossing tokens that reach into it, and tokens outside all sections.
 
     ``spans``: starts and ends of tokens; ``sections``: begins and ends, sorted and disjoint. Both sides are
-    sorted, so the join is two binary searches a token; only crossing tokens are looked at section by section.
+    sorted, so the join is two binary searches a token; crossing tokens are looked at in the sections that they reach.
     """
     n = len(sections)
     begins, ends = sections[:, 0], sections[:, 1]
@@ -49,16 +49,18 @@ def attribute(spans: np.ndarray, sections: np.ndarray, rule: str, n_chars: int)
     first_of, last_of = of(start), of(last)
     inside = (first_of == last_of) & (first_of >= 0)
     counts, crossing, outside = np.bincount(first_of[inside], minlength=n).astype(float), np.zeros(n, np.int64), 0.0
-    for s, e, k, j in zip(start[~inside], last[~inside] + 1, first_of[~inside], last_of[~inside]):
-        overlap = np.clip(np.minimum(ends, e) - np.maximum(begins, s), 0, None)
-        crossing[overlap > 0] += 1
+    s, e = start[~inside], last[~inside] + 1
+    near, beyond = np.searchsorted(ends, s, side="right"), np.searchsorted(begins, e, side="left")
+    for s, e, k, j, low, high in zip(s, e, first_of[~inside], last_of[~inside], near, np.maximum(near, beyond)):
+        overlap = np.clip(np.minimum(ends[low:high], e) - np.maximum(begins[low:high], s), 0, None)
+        crossing[low:high] += overlap > 0
         if rule == "split":
-            counts += overlap / (e - s)
+            counts[low:high] += overlap / (e - s)
             outside += 1 - overlap.sum() / (e - s)
             continue
         if rule == "majority":      # ties go to the earlier section, and to a section before no section
-            k = int(overlap.argmax()) if n else -1
-            if k >= 0 and (not overlap[k] or overlap[k] < (e - s) - overlap.sum()):
+            k = low + int(overlap.argmax()) if len(overlap) else -1
+            if k >= 0 and (not overlap[k - low] or overlap[k - low] < (e - s) - overlap.sum()):
                 k = -1
         elif rule == "end":
             k = j

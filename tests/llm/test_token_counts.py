@@ -80,3 +80,16 @@ def test_sections_given_and_edge_cases(spark):
     assert token_counts.count_tokens(docs.limit(0), queries.tokenizer_file(queries.BYTE_BPE)).count() == 0
     with pytest.raises(ValueError):
         token_counts.count_tokens(docs, "", "first")
+
+
+def test_a_long_text_of_many_paragraphs_takes_time_in_proportion():
+    """Tokens of two line breaks cross a boundary each; ten megabytes of them end soon."""
+    import time
+    text = "some words of a paragraph\n\n" * 370_000
+    where = token_counts.lines(text)
+    cuts = np.arange(0, len(text) + 1, 27)
+    spans = np.stack([np.sort(np.concatenate([cuts[:-1], cuts[1:] - 2])), np.sort(np.concatenate([cuts[1:] - 2, cuts[1:]]))])
+    began = time.time()
+    counts, crossing, outside = token_counts.attribute(spans, where, "majority", len(text))
+    assert time.time() - began < 30
+    assert counts.sum() == spans.shape[1] and crossing.sum() == 2 * (len(cuts) - 1) and not outside
