@@ -94,6 +94,15 @@ def bootstrap_interval(spark, d):
     return rounded(curves.bootstrap_interval(scored_long(spark, d), ["technique"]), "ci_low", "ci_high")
 
 
+@query("bootstrap_class_sizes", f"""with {LONG} select technique, 1000::bigint as n_replicates, sum(label)::bigint as p_min, sum(label)::bigint as p_max,
+ sum(1-label)::bigint as r_min, sum(1-label)::bigint as r_max from long group by 1""")
+def bootstrap_class_sizes(spark, d):
+    """Every replicate draws as many fakes and reals as there are."""
+    drawn = curves.bootstrap_replicates(scored_long(spark, d), ["technique"])
+    return drawn.groupBy("technique").agg(F.count("*").alias("n_replicates"), F.min("p").alias("p_min"), F.max("p").alias("p_max"),
+                                          F.min("r").alias("r_min"), F.max("r").alias("r_max"))
+
+
 # The normal tail in SQL, by the same published approximation.
 _P = ("(tt*exp(-zz*zz + (((((((((0.17087277*tt-0.82215223)*tt+1.48851587)*tt-1.13520398)*tt+0.27886807)*tt"
       "-0.18628806)*tt+0.09678418)*tt+0.37409196)*tt+1.00002368)*tt-1.26551223)))")

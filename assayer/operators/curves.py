@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,8 +12,9 @@ from ..constants import LABEL_FAKE, LABEL_REAL, SEED
 from ..functions.hashing import hex_number, seeded_md5
 from ..functions.numeric import ratio, two_sided_p
 from ..session import materialize, small_table
+from .draws import SIGN, allotted, leaf_of, order_bits
 from .metrics import auc
-from .ranking import fixed_block, row_blocks, seeded_rank
+from .ranking import fixed_block, fixed_points, row_blocks, seeded_rank
 
 
 def _score_counts(df: DataFrame, group: list[str], score: str, label: str,
@@ -169,56 +169,86 @@ def _interval(aucs: DataFrame, group: list[str], confidence: float) -> DataFrame
     ).select(*group, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-def _poisson(seed: int, group: tuple, score: float, side: int, count: int, n_resamples: int) -> np.ndarray:
-    """How often ``count`` rows of one score and class are drawn in each replicate; depends on nothing else."""
-    key = hashlib.md5(repr((seed, group, float(score), side)).encode()).digest()
-    return np.random.Generator(np.random.Philox(key=int.from_bytes(key, "big"))).poisson(count, n_resamples)
-
-
-def bootstrap_interval(
+def bootstrap_replicates(
     df: DataFrame, group: Sequence[str], score: str = "score", label: str = "label",
-    n_resamples: int = 1000, confidence: float = 0.95, seed: int = SEED,
-    n_blocks: int | None = None,
+    n_resamples: int = 1000, seed: int = SEED, n_blocks: int | None = None,
 ) -> DataFrame:
-    """Class-stratified Poisson bootstrap interval of the AUC.
+    """(group, replicate, p, r, auc): the AUC of every class-stratified bootstrap replicate, and how many fakes and reals it drew.
 
-    In every replicate each row is drawn a Poisson(1) number of times, so the rows of one (group, score, class) together a
-    Poisson(count) number, and classes are normalised by what was drawn. The draws are made from a counter-based generator keyed
-    by seed, group, score and class: the same for any partitioning, block count or order. Each block is
-    resampled where it lies and returns one row per replicate, so nothing of size ``samples x replicates`` is ever
-    shuffled. All sums are of integers.
+    Each replicate draws as many rows of a class as it has, with replacement, by binomials down the trie of scores (see ``draws``). Scores are counted;
+    blocks of the trie get their draws from one small table for each group, share them out where they lie and return
+    one row per replicate, so nothing of size ``samples x replicates`` is ever shuffled. All sums are of integers.
     """
     group = list(group)
-    counts = _score_counts(df, group, score, label, n_blocks)
+    rows = df.filter(F.col(score).isNotNull()).select(
+        *group, F.col(score).cast("double").alias("s"),
+        (F.col(label) == LABEL_FAKE).cast("bigint").alias("p"), (F.col(label) == LABEL_REAL).cast("bigint").alias("r"))
+    bounds = np.unique(order_bits(np.array(fixed_points(rows, "s", n_blocks))))
+
+    @F.pandas_udf("long")
+    def leaf(s: pd.Series) -> pd.Series:
+        return pd.Series((leaf_of(order_bits(s.to_numpy()), bounds) ^ SIGN).view(np.int64))
+
+    counts = rows.groupBy(*group, "s").agg(F.sum("p").alias("p"), F.sum("r").alias("r")).withColumn("leaf", leaf("s"))
+    name = lambda frame: (seed, *(str(frame[g].iloc[0]) for g in group))
+    sides = (("p", LABEL_FAKE), ("r", LABEL_REAL))
+    head = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.schema if f.name in group)
 
-    def resample(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("s", kind="stable")
-        key = tuple(str(cells[g].iloc[0]) for g in group)
+    def share_out(leaves: pd.DataFrame) -> pd.DataFrame:
+        leaves = leaves.sort_values("leaf", ignore_index=True)
+        keys = leaves["leaf"].to_numpy().view(np.uint64) ^ SIGN
+        for side, label_value in sides:
+            drawn = np.zeros((len(leaves), n_resamples), np.int64)
+            n = leaves[side].to_numpy(np.int64)
+            for i, k in allotted(keys, n, np.full(n_resamples, n.sum()), (*name(leaves), label_value)):
+                drawn[i] = k
+            leaves[f"drawn_{side}"] = [d.tobytes() for d in drawn]
+        return leaves[[*group, "leaf", "drawn_p", "drawn_r"]]
+
+    def resample(cells: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("s", kind="stable", ignore_index=True)
+        keys, key = order_bits(cells["s"].to_numpy()), name(cells)
+        ways = {side: allotted(keys, cells[side].to_numpy(np.int64), np.frombuffer(draws[f"drawn_{side}"].iloc[0], np.int64), (*key, label_value))
+                for side, label_value in sides}
+        ahead = {side: next(way, None) for side, way in ways.items()}
         twice, p, r = (np.zeros(n_resamples, np.int64) for _ in range(3))
-        for s, n_p, n_r in zip(cells["s"], cells["p"], cells["r"]):
-            wr = _poisson(seed, key, s, LABEL_REAL, int(n_r), n_resamples) if n_r else 0
-            if n_p:
-                wp = _poisson(seed, key, s, LABEL_FAKE, int(n_p), n_resamples)
-                twice += wp * (2 * r + wr)      # a tie counts one half
-                p += wp
-            r += wr
+        while at := [x[0] for x in ahead.values() if x is not None]:
+            i, now = min(at), {}
+            for side, way in ways.items():
+                if ahead[side] is not None and ahead[side][0] == i:
+                    now[side], ahead[side] = ahead[side][1], next(way, None)
+            if "p" in now:
+                twice += now["p"] * (2 * r + now.get("r", 0))       # a tie counts one half
+                p += now["p"]
+            r += now.get("r", 0)
         out = pd.DataFrame({"replicate": np.arange(n_resamples), "twice": twice, "p": p, "r": r})
-        for g in (*group, "blk"):
+        for g in (*group, "leaf"):
             out[g] = cells[g].iloc[0]
-        return out[[*group, "blk", "replicate", "twice", "p", "r"]]
+        return out[[*group, "leaf", "replicate", "twice", "p", "r"]]
 
-    head_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in counts.schema if f.name in group)
-    sums = counts.groupBy(*group, "blk").applyInPandas(
-        resample, f"{head_schema}blk int, replicate int, twice bigint, p bigint, r bigint")
-    before = W.partitionBy(*group, "replicate").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    counts = materialize(counts, "score-counts")
+    drawn = materialize(counts.groupBy(*group, "leaf").agg(F.sum("p").alias("p"), F.sum("r").alias("r")).groupBy(*group).applyInPandas(
+        share_out, f"{head}leaf long, drawn_p binary, drawn_r binary"), "draws")
+    sums = counts.groupBy(*group, "leaf").cogroup(drawn.groupBy(*group, "leaf")).applyInPandas(
+        resample, f"{head}leaf long, replicate int, twice bigint, p bigint, r bigint")
+    before = W.partitionBy(*group, "replicate").orderBy("leaf").rowsBetween(W.unboundedPreceding, -1)
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    aucs = (
+    return (
         sums.withColumn("before", F.coalesce(F.sum("r").over(before), F.lit(0)))
         .groupBy(*group, "replicate")
-        .agg(ratio(F.sum(wide("twice") + 2 * wide("before") * wide("p")), 2 * F.sum("p").cast("double") * F.sum("r")).alias("auc"))
-        .filter("auc is not null")
+        .agg(F.sum("p").alias("p"), F.sum("r").alias("r"),
+             ratio(F.sum(wide("twice") + 2 * wide("before") * wide("p")), 2 * F.sum("p").cast("double") * F.sum("r")).alias("auc"))
     )
-    return _interval(aucs, group, confidence)
+
+
+def bootstrap_interval(
+    df: DataFrame, group: Sequence[str], score: str = "score", label: str = "label",
+    n_resamples: int = 1000, confidence: float = 0.95, seed: int = SEED,
+    n_blocks: int | None = None,
+) -> DataFrame:
+    """Class-stratified bootstrap interval of the AUC; the same for any partitioning, block count or order."""
+    aucs = bootstrap_replicates(df, group, score, label, n_resamples, seed, n_blocks).filter("auc is not null")
+    return _interval(aucs, list(group), confidence)
 
 
 def bootstrap_interval_hashed(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import curves, errors, metrics
+from assayer.operators import curves, draws, errors, metrics
 from assayer.operators.summaries import exact_median
 from assayer.functions.numeric import two_sided_p
 
@@ -166,6 +166,33 @@ def test_bootstrap_depends_on_the_seed_alone(spark):
     assert few != curves.bootstrap_interval(rows, ["technique"], seed=1).first()
 
 
+def test_every_replicate_draws_the_size_of_each_class(spark):
+    y, p = skewed(300, 5)
+    p = np.concatenate([np.round(p, 2), [-1e300, -0.0, 0.0, 5e-324, 1e300]])
+    y = np.concatenate([y, [0, 1, 0, 1, 1]])
+    df = frame(spark, y.tolist(), p.tolist())
+    few, many = (sorted(map(tuple, curves.bootstrap_replicates(df, ["technique"], n_resamples=200, n_blocks=n).collect())) for n in (1, 13))
+    assert few == many and len(few) == 200
+    assert {(r[2], r[3]) for r in few} == {(int(y.sum()), int(len(y) - y.sum()))}
+
+
+def test_a_score_is_drawn_as_often_as_its_share():
+    keys = draws.order_bits(np.array([-2.0, -1.0, 0.0, 0.5, 0.75, 8.0]))
+    assert (np.diff(keys.astype(object)) > 0).all()
+    counts = np.array([5, 0, 1, 3, 90, 1])
+    got = dict(draws.allotted(keys, counts, np.full(20_000, 100), ("s",)))
+    assert 1 not in got and (sum(got.values()) == 100).all()
+    for i, n in enumerate(counts):
+        if n:
+            assert abs(got[i].mean() - n) < 0.1 and abs(got[i].var() - n * (1 - n / 100)) < 0.4
+    bounds = draws.order_bits(np.array([0.1, 0.2, 0.5, 0.9]))
+    x = draws.order_bits(np.sort(np.random.default_rng(0).uniform(-1, 2, 500)))
+    leaf = draws.leaf_of(x, bounds)
+    assert (np.diff(leaf.astype(object)) >= 0).all()                # blocks are ranges in order
+    inside = [len(set(np.searchsorted(bounds, x[leaf == f], side="right").tolist())) for f in np.unique(leaf)]
+    assert max(inside) <= 2 and len(inside) > 3
+
+
 def test_bootstrap_is_reproducible_and_needs_two_classes(spark):
     y, p = skewed(200, 12)
     df = frame(spark, y, p)
