@@ -15,6 +15,10 @@ from ..streaming import arrivals
 from .metric_queries import _RUNS, rounded, runs
 from .registry import ALL, BLOCKS, COMPONENTS as CTE, ENTRIES, LONG, MASKS, M_COLS, WIDE, metrics_sql, query
 
+def partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _consolidated(spark, d):
     """The consolidated table is a written artefact; every report reads it."""
     return materialize(comp.consolidate(components(spark, d)), "component_table")
@@ -35,7 +39,7 @@ def _event_entries(spark, d):
 @query("external_scores", f"with {WIDE} select 'event_'||sample_id||'.png' as name, round(t01,6) as score from wide")
 def external_scores(spark, d):
     folder = shared_dir(spark, "external")
-    sinks.write_table(_named(spark, d), folder)
+    sinks.write_table(_named(spark, d).repartition(partitions(spark), "image"), folder)
     return rounded(readers.read_scores(spark, folder), "score")
 
 
@@ -58,7 +62,7 @@ def alignment_completeness(spark, d):
 def positional_scores(spark, d):
     folder = shared_dir(spark, "positional")
     ordered = scored_wide(spark, d).select("sample_id", F.col("t01").alias("score"))
-    sinks.write_table(ordered.coalesce(1).sortWithinPartitions("sample_id").select("score"), folder)
+    sinks.write_table(ordered.repartitionByRange(partitions(spark), "sample_id").sortWithinPartitions("sample_id").select("score"), folder)
     got = readers.by_position(ordered.select("sample_id"), readers.read_scores(spark, folder), "sample_id")
     return rounded(got.select("sample_id", "score"), "score")
 
@@ -352,8 +356,9 @@ def generator_summary_table(spark, d):
 def latest_result(spark, d):
     root = shared_dir(spark, "results")
     m = rounded(metrics.classification_metrics(scored_long(spark, d), ["technique", "generator"]), "accuracy").select("technique", "generator", "accuracy")
-    sinks.write_table(m.withColumn("accuracy", F.lit(0.0)).coalesce(1), f"{root}/1")
-    sinks.write_table(m.coalesce(1), f"{root}/2")
+    parts = m.repartition(partitions(spark), "technique", "generator")
+    sinks.write_table(parts.withColumn("accuracy", F.lit(0.0)), f"{root}/1")
+    sinks.write_table(parts, f"{root}/2")
     return readers.latest_result(spark, f"{root}/*", "technique string, generator string, accuracy double", "T02", by="path")
 
 

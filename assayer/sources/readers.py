@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.errors import AnalysisException
 
 from ..constants import (
@@ -15,7 +16,7 @@ from ..functions.numeric import blank_to_null
 from ..functions.paths import basename, posix_path, stem
 from ..operators.filters import keep_last
 from ..operators.ranking import row_numbers
-from ..session import small_table
+from ..session import materialize, small_table
 
 # ``real/<source>/`` and ``fake/<generator>/``, plain or as ``key=value`` folders.
 _TREE = r"/(?:[A-Za-z_]+=)?(real|fake)/(?:[A-Za-z_]+=)?([^/]+)/"
@@ -100,21 +101,57 @@ def resolve(columns: Sequence[str], accepted: Sequence[str]) -> str | None:
     return next((c for c in accepted if c in columns), None)
 
 
+_PART = r"/part-[^/]*$"         # a file that is one part of a result, whose name is its folder's
+
+
+def in_file_order(raw: DataFrame) -> DataFrame:
+    """The rows of text files with ``_f``, ``_b`` and ``_o``, which sort as the rows stand: by file, place of the block read, row.
+
+    Parts of one folder come by their number, other files by path.
+    """
+    path = F.col("_metadata.file_path")
+    number = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1)
+    file = F.concat_ws("/", F.regexp_replace(path, _PART, ""), F.lpad(number, 20, "0"), path)
+    return raw.select(*raw.columns, file.alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_o"))
+
+
+def with_position(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """Dense 0-based numbers over all files, from the counts of the blocks that were read; rows are neither sorted nor shuffled.
+
+    Written once, so that the numbers within a block stay true. A block's rows have consecutive numbers ``_o``.
+    """
+    kept = materialize(ordered, "ordered")
+    before = W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)     # one row for each block of a file
+    blocks = small_table(kept.groupBy("_f", "_b").agg(F.count("*").alias("_c"), F.min("_o").alias("_first")).select(
+        "_f", "_b", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start")))
+    return (kept.join(blocks, ["_f", "_b"]).withColumn(out, F.col("_start") + F.col("_o") - F.col("_first"))
+            .drop("_f", "_b", "_o", "_first", "_start"))
+
+
 def read_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, score) from the first score file by name; the last row of a name wins."""
+    """(name, score) from the first score file by name; the last row of a name wins.
+
+    A file that is a part of a result stands for all parts of it. Without a path column the rows are
+    (position, score), numbered in the order of parts and rows.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
     first = files.select(F.min("path").alias("p")).first()["p"]
     if first is None:
         raise FileNotFoundError(f"no score file in {folder}")
-    raw = spark.read.option("header", True).csv(first)
+    whole = spark.read.option("header", True)
+    if re.search(_PART, first):
+        raw = whole.option("pathGlobFilter", "part-*.csv").csv(folder)
+    else:
+        raw = whole.csv(first)
     score, path = resolve(raw.columns, SCORE_COLUMNS), resolve(raw.columns, PATH_COLUMNS)
     if score is None:
         raise ValueError(f"no score column among {raw.columns}")
     value = blank_to_null(F.col(score)).alias("score")
+    ordered = in_file_order(raw)
     if path is None:
-        return raw.select(F.monotonically_increasing_id().alias("position"), value)
-    named = raw.select(basename(F.col(path)).alias("name"), value, F.monotonically_increasing_id().alias("_o"))
-    return keep_last(named, ["name"], ["_o"]).drop("_o")
+        return with_position(ordered.select(value, "_f", "_b", "_o"))
+    named = ordered.select(basename(F.col(path)).alias("name"), value, "_f", "_b", "_o")
+    return keep_last(named, ["name"], ["_f", "_b", "_o"]).drop("_f", "_b", "_o")
 
 
 def by_position(entries: DataFrame, scores: DataFrame, order: str) -> DataFrame:
@@ -123,8 +160,7 @@ def by_position(entries: DataFrame, scores: DataFrame, order: str) -> DataFrame:
     if n != m:
         raise ValueError(f"{m} scores for {n} entries and no path column")
     left = row_numbers(entries, order)
-    right = row_numbers(scores, "position").drop("position")
-    return left.join(right, "row_number").drop("row_number")
+    return left.join(scores.withColumnRenamed("position", "row_number"), "row_number").drop("row_number")
 
 
 def read_components(spark: SparkSession, path: str) -> DataFrame:
@@ -190,9 +226,13 @@ def read_stored_scores(spark: SparkSession, path: str, expected: DataFrame,
 
 def latest_result(spark: SparkSession, pattern: str, schema: str, technique: str,
                   by: str = "name") -> DataFrame:
-    """Rows of one technique from the newest result file by name (or by path)."""
+    """Rows of one technique from the newest result by name (or by path).
+
+    A result is a file, or a folder of parts, all of which count.
+    """
+    result = F.regexp_replace(F.col("_metadata.file_path"), _PART, "")
     rows = spark.read.schema(schema).option("header", True).csv(pattern).withColumn(
-        "_f", F.col(_FILE_KEY[by]))
+        "_f", result if by == "path" else F.element_at(F.split(result, "/"), -1))
     newest = rows.agg(F.max("_f").alias("_f")).scalar()
     return rows.filter((F.col("_f") == newest) & (F.col("technique") == technique)).drop("_f")
 
