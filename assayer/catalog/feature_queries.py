@@ -166,12 +166,16 @@ _TWO_PI = "6.283185307179586"
 _COND = "(values ('clean','clean',0.0),('jpeg_q50','jpeg',50.0),('jpeg_q70','jpeg',70.0),('jpeg_q85','jpeg',85.0),('noise_sigma1','noise',1.0),('noise_sigma3','noise',3.0),('noise_sigma5','noise',5.0),('resize_50','resize',0.5),('resize_70','resize',0.7),('resize_85','resize',0.85)) c(condition,kind,level)"
 
 
-@query("perturbed_signals", BLOCKS.replace("\nblk", "with blk", 1) + f""", cnd as (select condition, kind, level::double as level from {_COND}),
-g as (select block, condition, kind, level, k, pixels, md5('42|'||block||'|'||k) as h from blk, cnd, range(0,64) r(k) where kind<>'resize' or k<floor(64*level)),
-v as (select block, condition, case kind when 'clean' then pixels[k+1]
+# A perturbed value, of the rows that ``perturbed_signals`` calls g.
+_PERTURBED = f"""case kind when 'clean' then pixels[k+1]
   when 'noise' then greatest(0.0,least(255.0,round_even(pixels[k+1]+level*(sqrt(-2*ln((('0x'||substr(h,1,8))::bigint+0.5)/4294967296.0))*cos({_TWO_PI}*((('0x'||substr(h,9,8))::bigint+0.5)/4294967296.0))),0)))
   when 'jpeg' then least(255.0,round_even(pixels[k+1]/greatest(1.0,round_even((100-level)/5.0,0)),0)*greatest(1.0,round_even((100-level)/5.0,0)))
-  else pixels[floor(k/level)::int+1] end as x from g)
+  else pixels[floor(k/level)::int+1] end"""
+
+
+@query("perturbed_signals", BLOCKS.replace("\nblk", "with blk", 1) + f""", cnd as (select condition, kind, level::double as level from {_COND}),
+g as (select block, condition, kind, level, k, pixels, md5('42|'||block||'|'||k) as h from blk, cnd, range(0,64) r(k) where kind<>'resize' or k<floor(64*level)),
+v as (select block, condition, {_PERTURBED} as x from g)
 select block as sample_id, condition, block||'__'||condition as output_name, count(*) n_values, sum(x)::double as total from v group by all""")
 def perturbed_signals(spark, d):
     b = blocks(spark, d).select(F.col("block").alias("sample_id"), "pixels")

@@ -327,6 +327,21 @@ def score_cache_missing(spark, d):
     return evaluation.score_cache(cache, wanted)[1].select("technique", "sample_id")
 
 
+@query("score_cache_lookup", f"""with {LONG}, c as (select *, case when sample_id%3<>0 and not (technique='T02' and sample_id%2=0) then 'hit' else 'miss' end as found from long)
+select technique, found, count(*) n, round(sum(case when found='hit' then score end),6) as total from c group by 1,2""")
+def score_cache_lookup(spark, d):
+    """Two thirds were scored before, half of T02 by an earlier model; what is missing is merged and then found."""
+    key = lambda df: df.select("technique", "sample_id", "score", F.lit("m1").alias("manifest_id"), F.lit("clean").alias("condition"), F.lit("v1").alias("model_version"))
+    rows = key(scored_long(spark, d))
+    cache = evaluation.ScoreCache(spark, shared_dir(spark, "cache"), buckets=partitions(spark))
+    old = (F.col("technique") == "T02") & (F.col("sample_id") % 2 == 0)
+    cache.merge(rows.filter("sample_id % 3 <> 0").withColumn("model_version", F.when(old, "v0").otherwise(F.lit("v1"))))
+    cache.merge(rows.filter("sample_id % 3 = 1").filter(~old))            # nothing new
+    hits, misses = cache.lookup(rows.drop("score"))
+    both = hits.withColumn("found", F.lit("hit")).unionByName(misses.withColumn("found", F.lit("miss")), allowMissingColumns=True)
+    return rounded(both.groupBy("technique", "found").agg(F.count("*").alias("n"), F.sum("score").alias("total")), "total")
+
+
 @query("summary_table", f"""with {_RUNS}, {metrics_sql('runs', 'protocol, technique, condition')} select protocol, technique, condition, round(accuracy,6) accuracy, round(auc,6) auc, null as error, null::double as ms_per_image from m
  union all select 'ood','T05','clean',null,null,'no model',1.5""")
 def summary_table(spark, d):

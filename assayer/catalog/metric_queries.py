@@ -355,13 +355,28 @@ def calibration_variant_test(spark, d):
                    "auc_a", "auc_b", "difference", "z", "p_value")
 
 
-@query("significance_job", f"with {WIDE} select *, p_value<0.05 as significant from (" +
-       " union all ".join(_delong_one("t05", t) for t in ("t01", "t02", "t03")) + ")")
+_WIDE_B = WIDE + ", w2 as (select *, (t01+coalesce(t02,0.0))/2 as t05b from wide)"
+
+
+@query("significance_job", f"with {_WIDE_B} select *, p_value<0.05 as significant from (" +
+       " union all ".join(_delong_one(v, t, "w2", (n, t.upper())) for v, n in (("t05", "T05"), ("t05b", "T05B")) for t in ("t01", "t02", "t03")) + ")")
 def significance_job(spark, d):
-    _, tests = evaluation.significance(scored_all(spark, d), ["T05"], ["T01", "T02", "T03"], n_resamples=100)
+    """Both fusion variants against each base technique."""
+    s = scored_all(spark, d)
+    both = scored_wide(spark, d).select("sample_id", "label", "generator", F.lit("T05B").alias("technique"),
+                                        ((F.col("t01") + F.coalesce("t02", F.lit(0.0))) / 2).alias("score"))
+    tests = evaluation.significance_tests(s.unionByName(both), ["T05", "T05B"], ["T01", "T02", "T03"])
     return rounded(tests, "auc_a", "auc_b", "difference", "z", "p_value")
 
 
+@query("significance_intervals")
+def significance_intervals(spark, d):
+    """The intervals of the job, 1,000 replicates, beside the AUC that each is of."""
+    s = scored_all(spark, d)
+    intervals, _ = evaluation.significance(s, ["T05"], ["T01"])
+    return rounded(metrics.auc(s, ["technique"]).select("technique", "auc").join(intervals, "technique"), "auc", "ci_low", "ci_high")
+
+
 @query("latency_summary", """select event_type, count(value) n, round(avg(value),6) mean_ms, round(coalesce(stddev_samp(value),0),6) sd_ms,
  max(value) max_ms, round(median(value),6) median_ms, avg(value)<30000 as passed from events group by 1""")
 def latency_summary(spark, d):

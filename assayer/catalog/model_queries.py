@@ -10,8 +10,9 @@ from ..operators import errors, features, fusion, metrics
 from ..operators.models import Forest
 from ..plans import evaluation
 from ..session import materialize, shared_dir
+from .feature_queries import _COND, _PERTURBED
 from .metric_queries import rounded
-from .registry import WIDE, query
+from .registry import BLOCKS, WIDE, metrics_sql, query
 
 
 def _split(df):
@@ -93,11 +94,34 @@ def fusion_reloaded(spark, d):
     return rounded(evaluation.fused_scores(fusion.Fusion.load(path), s.filter("split = 'test'")), "score")
 
 
-@query("fusion_variant_choice", "select 'four' as variant, 'T01,T02,T03,T04' as available")
+# Parameters of the query: intercept and weights of two given fusions, by source.
+_VARIANTS = {"three": (("T01", "T02", "T03"), -0.4, (0.9, 0.7, -0.2)), "four": (("T01", "T02", "T03", "T04"), -0.6, (0.8, 0.5, -0.1, 1.1))}
+_MARGIN = {name: " + ".join([str(b), *[f"{w}*coalesce({s.lower()},0.5)" for s, w in zip(sources, ws)]]) for name, (sources, b, ws) in _VARIANTS.items()}
+
+
+@query("fusion_variant_choice", f"""with {WIDE}, v as (select *, case when t01 is null or t02 is null or t03 is null then null when t04 is null then 'three' else 'four' end as variant from wide)
+select sample_id, variant, round(1/(1+exp(-(case variant when 'three' then {_MARGIN['three']} when 'four' then {_MARGIN['four']} end))),6) as score from v""")
 def fusion_variant_choice(spark, d):
-    have = fusion.available_sources(scored_long(spark, d))
-    registry = {frozenset(("T01", "T02", "T03")): "three", frozenset(SOURCE_TECHNIQUES): "four"}
-    return spark.createDataFrame([(fusion.pick_variant(registry, have), ",".join(have))], "variant string, available string")
+    """Rows with three and with four sources, each scored by its own variant."""
+    registry = {frozenset(sources): (name, fusion.given(sources, b, ws)) for name, (sources, b, ws) in _VARIANTS.items()}
+    matrix = errors.score_matrix(scored_long(spark, d), SOURCE_TECHNIQUES)
+    return rounded(fusion.score_by_availability(matrix, registry), "score").select("sample_id", "variant", "score")
+
+
+@query("robustness_run", f"""with {BLOCKS}, cnd as (select condition, kind, level::double as level from {_COND}),
+g as (select block, condition, kind, level, k, pixels, md5('42|'||block||'|'||k) as h from blk, cnd, range(0,64) r(k) where kind<>'resize' or k<floor(64*level)),
+v as (select block, condition, {_PERTURBED} as x from g),
+sc as (select block as sample_id, (block%2)::int as label, condition, 'mean' as technique, avg(x)/255 as score from v group by all
+ union all select block, (block%2)::int, condition, 'range', (max(x)-min(x))/255 from v group by all),
+{metrics_sql('sc', 'technique, condition')}
+select a.technique, a.condition, a.n_samples, round(a.auc,6) auc, round(c.auc,6) clean_auc, round(a.auc-c.auc,6) as change from m a join m c on a.technique=c.technique and c.condition='clean'""")
+def robustness_run(spark, d):
+    """Every signal under ten conditions, scored by two simple techniques; conditions compare equal samples."""
+    s = blocks(spark, d).select(F.col("block").alias("sample_id"), F.pmod("block", F.lit(2)).cast("int").alias("label"), "pixels")
+    mean = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v) / F.size("pixels") / 255
+    scorers = {"mean": lambda x: x.withColumn("score", mean), "range": lambda x: x.withColumn("score", (F.array_max("pixels") - F.array_min("pixels")) / 255)}
+    scores = evaluation.robustness_scores(s, scorers)
+    return rounded(evaluation.robustness(evaluation.common_samples(scores)), "auc", "clean_auc", "change")
 
 
 @query("fit_status", "select technique, status from (values ('forest','erro'),('fusion','ok')) v(technique,status)")

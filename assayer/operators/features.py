@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -32,16 +33,14 @@ def benford_law(spark, bases: Sequence[int] = BENFORD_BASES) -> DataFrame:
 
 
 def digit_counts(df: DataFrame, keys: Sequence[str], value: str, bases: Sequence[int],
-                 few_values: bool = False) -> DataFrame:
+                 count: str | None = None) -> DataFrame:
     """(keys, base, digit, n) of non-zero values.
 
     Continuous values go straight to at most 126 cells per key and input task.
-    ``few_values`` counts equal values first, so that bases multiply counts, not rows,
-    and brings the counts of a key together once for all later grouping.
+    ``count`` names a column that says how often a row counts.
     A group with only zeros keeps one row with a NULL digit and n = 0.
     """
-    values = (df.groupBy(*keys, value).agg(F.count("*").alias("_c")).repartition(*keys) if few_values
-              else df.select(*keys, value, F.lit(1).cast("bigint").alias("_c")))
+    values = df.select(*keys, value, (F.col(count) if count else F.lit(1).cast("bigint")).alias("_c"))
     return (
         values.withColumn("base", F.explode(F.array(*[F.lit(int(b)) for b in bases])))
         .withColumn("digit", first_digit(F.col(value), F.col("base")))
@@ -67,14 +66,15 @@ def digit_distribution(df: DataFrame, keys: Sequence[str], value: str, bases: Se
 
 def benford_divergences(df: DataFrame, keys: Sequence[str], value: str,
                         bases: Sequence[int] = BENFORD_BASES,
-                        names: Sequence[str] = DIVERGENCES, few_values: bool = False) -> DataFrame:
+                        names: Sequence[str] = DIVERGENCES, count: str | None = None) -> DataFrame:
     """(keys, base, one column per divergence) between observed digits and the law.
 
     Only digits that occur are summed; the rest enter through a constant per base.
     """
     keys = list(keys)
-    cells = F.filter(F.collect_list(F.struct("digit", "n")), lambda c: c["digit"].isNotNull())
-    groups = digit_counts(df, keys, value, bases, few_values).groupBy(*keys, "base").agg(
+    # In the order of digits, so that sums don't depend on partitions.
+    cells = F.array_sort(F.filter(F.collect_list(F.struct("digit", "n")), lambda c: c["digit"].isNotNull()))
+    groups = digit_counts(df, keys, value, bases, count).groupBy(*keys, "base").agg(
         F.sum("n").alias("_total"), cells.alias("_cells"))
     base = F.col("base")
     out = []
@@ -160,17 +160,50 @@ def benford_features(blocks: DataFrame, sample: str = "sample", pixels: str = "p
                      bases: Sequence[int] = BENFORD_BASES, n_freq: int = BENFORD_FREQUENCIES) -> DataFrame:
     """(sample, quality, ac, base, divergences...): 180 rows of three divergences per sample.
 
-    Only the needed AC coefficients are computed, once per block for all
-    qualities, and counted per (sample, quality, ac, value) before bases apply.
+    Quantised coefficients are counted where they are computed (see :func:`coefficient_counts`); the counts of a sample meet once and
+    all later grouping stays there.
     """
-    positions = AC_POSITIONS[:n_freq]
-    dct = block_dct(blocks.select(sample, pixels), pixels, positions).drop(pixels)
-    cells = F.array(*[
-        F.struct(F.lit(q).alias("quality"), F.lit(i + 1).alias("ac"),
-                 F.rint(F.col("coef")[i] / F.lit(float(quality_table(q)[pos]))).cast("int").alias("v"))
-        for q in qualities for i, pos in enumerate(positions)])
-    values = dct.select(sample, F.explode(cells).alias("c")).select(sample, "c.*")
-    return benford_divergences(values, [sample, "quality", "ac"], "v", bases, few_values=True)
+    counted = coefficient_counts(blocks, sample, pixels, qualities, AC_POSITIONS[:n_freq]).repartition(sample)
+    return benford_divergences(counted, [sample, "quality", "ac"], "v", bases, count="n")
+
+
+def coefficient_counts(blocks: DataFrame, sample: str, pixels: str, qualities: Sequence[int], positions: Sequence[int]) -> DataFrame:
+    """(sample, quality, ac, v, n): how often a quantised coefficient occurs in a sample's blocks, counted within each Arrow batch.
+
+    Only the needed coefficients are computed, once per block for all qualities.
+    """
+    basis = dct_basis()[list(positions)].T.copy()
+    tables = np.array([[float(quality_table(q)[p]) for p in positions] for q in qualities])
+
+    def count(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.column("pixels").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 64) - 128.0
+            coef = np.round(m @ basis, 9) + 0.0
+            v = np.rint(coef[:, None, :] / tables[None]).astype(np.int64).reshape(len(m), -1)
+            own = batch.column("sample").dictionary_encode(null_encoding="encode")
+            low, cells = int(v.min()), v.shape[1]
+            wide = int(v.max()) - low + 1
+            of = own.indices.to_numpy().astype(np.int64)
+            key = ((of[:, None] * cells + np.arange(cells)) * wide + (v - low)).ravel()
+            size = len(own.dictionary) * cells * wide
+            if size <= 8 * len(key):
+                n = np.bincount(key, minlength=size)
+                key = np.flatnonzero(n)
+                n = n[key]
+            else:
+                key, n = np.unique(key, return_counts=True)
+            cell = key // wide % cells
+            yield pa.RecordBatch.from_arrays(
+                [own.dictionary.take(pa.array(key // wide // cells)), pa.array(np.array(qualities, np.int32)[cell // len(positions)]),
+                 pa.array((cell % len(positions) + 1).astype(np.int32)), pa.array((key % wide + low).astype(np.int32)), pa.array(n.astype(np.int64))],
+                ["sample", "quality", "ac", "v", "n"])
+
+    kind = blocks.schema[sample].dataType.simpleString()
+    counted = blocks.select(F.col(sample).alias("sample"), F.col(pixels).alias("pixels")).mapInArrow(
+        count, f"sample {kind}, quality int, ac int, v int, n long")
+    return counted.withColumnRenamed("sample", sample)
 
 
 def feature_index(quality: Column, ac: Column, base: Column, divergence: int,

@@ -112,14 +112,23 @@ class Fusion:
         keep = [c for c in matrix.columns if c not in self.sources]
         if self.classifier == "logistic_regression":
             # A sum of eight products stays in generated code; no vectors are built.
-            ready = standardised(imputed(matrix, self.sources, self.values), self.scales)
-            margin = F.lit(float(self.model.intercept))
-            for c, w in zip(self.columns, self.model.coefficients):
-                margin = margin + F.lit(float(w)) * F.col(c)
-            return ready.select(*keep, sigmoid(margin).alias(out))
+            return matrix.select(*keep, self.probability(matrix).alias(out))
         return self.model.transform(self._features(matrix)).select(
             *keep, vector_to_array("probability")[1].alias(out))
 
+    def probability(self, matrix: DataFrame) -> Column:
+        """The fused score of a row of ``matrix`` as a column expression; logistic regression only."""
+        if self.classifier != "logistic_regression" or self.model is None:
+            raise NotFitted("call fit() of a logistic fusion first")
+        margin = F.lit(float(self.model.intercept))
+        weights = dict(zip(self.columns, self.model.coefficients))
+        for s in self.sources:
+            score = nan_to_null(F.col(s)) if s in matrix.columns else F.lit(None).cast("double")
+            for c, value in ((s, F.coalesce(score, F.lit(float(self.values[s])))), (f"has_{s}", score.isNotNull().cast("double"))):
+                mean, scale = self.scales[c]
+                margin = margin + F.lit(float(weights[c])) * ((value - F.lit(mean)) / F.lit(scale))
+        return sigmoid(margin)
+
     def weights(self, spark: SparkSession) -> DataFrame:
         """(technique, weight): coefficients or importances of the sources, not of the flags."""
         if self.model is None:
@@ -151,6 +160,21 @@ class Fusion:
         return cls(**state, model=_MODELS[state["classifier"]].load(f"{path}/model"))
 
 
+class _Weights:
+    """Intercept and coefficients that were given, not fitted."""
+
+    def __init__(self, intercept: float, coefficients: Sequence[float]):
+        self.intercept, self.coefficients = intercept, list(coefficients)
+
+
+def given(sources: Sequence[str], intercept: float, weights: Sequence[float], flags: Sequence[float] | None = None) -> Fusion:
+    """A logistic fusion with weights on the plain scores, 0.5 standing for what is missing."""
+    out = Fusion(sources=tuple(sources), values={s: 0.5 for s in sources})
+    out.scales = {c: (0.0, 1.0) for c in out.columns}
+    out.model = _Weights(intercept, [*weights, *(flags or [0.0] * len(sources))])
+    return out
+
+
 def pick_variant(registry: Mapping[frozenset, str], available: Sequence[str]) -> str | None:
     """The variant fitted on exactly the available sources, else the largest one inside them."""
     have = frozenset(available)
@@ -158,6 +182,29 @@ def pick_variant(registry: Mapping[frozenset, str], available: Sequence[str]) ->
     return registry[max(fits, key=lambda k: (len(k), sorted(k)))] if fits else None
 
 
+def score_by_availability(matrix: DataFrame, registry: Mapping[frozenset, tuple[str, Fusion]], sources: Sequence[str] = SOURCE_TECHNIQUES,
+                          out: str = "score") -> DataFrame:
+    """Every row scored by the variant for the sources that it has; ``variant`` says which.
+
+    ``registry`` names a logistic fusion for a set of sources. A row takes the one fitted on exactly its sources, else the largest inside
+    them, as :func:`pick_variant` does; without any it has no score. All models are columns of one plan; there are at most 2^sources cases.
+    """
+    names = {k: name for k, (name, _) in registry.items()}
+    models = {name: model for name, model in registry.values()}
+    present = lambda s: nan_to_null(F.col(s)).isNotNull() if s in matrix.columns else F.lit(False)
+    mask = sum((F.when(present(s), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(sources)), F.lit(0))
+    variant = F.lit(None).cast("string")
+    for m in range(1 << len(sources)):
+        picked = pick_variant(names, [s for i, s in enumerate(sources) if m >> i & 1])
+        if picked:
+            variant = F.when(mask == m, F.lit(picked)).otherwise(variant)
+    score = F.lit(None).cast("double")
+    for name, model in models.items():
+        score = F.when(variant == name, model.probability(matrix)).otherwise(score)
+    keep = [c for c in matrix.columns if c not in sources]
+    return matrix.select(*keep, variant.alias("variant"), score.alias(out))
+
+
 def available_sources(scores: DataFrame) -> list[str]:
     """Sources that produced at least one score."""
     rows = scores.filter("score is not null").select("technique").distinct().orderBy("technique").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
@@ -16,7 +17,7 @@ from ..operators.errors import (
     all_wrong_by_generator, auc_by_generator, disagreement, examples, fusion_rescue, fusion_spoil,
     hit_distribution, hits, inversions, low_recall_without_inversion, score_matrix,
 )
-from ..operators.features import condition_grid, perturb_signal
+from ..operators.features import condition_grid, feature_vectors, perturb_signal
 from ..operators.filters import status_columns, validate_scores
 from ..operators.fusion import Fusion
 from ..operators.metrics import evaluate, evaluate_by_generator
@@ -78,6 +79,38 @@ def robustness_inputs(signals: DataFrame, limit: int | None = None, seed=SEED, v
     return perturb_signal(rows, values, id_col, seed)
 
 
+def robustness_scores(signals: DataFrame, scorers: Mapping[str, Callable[[DataFrame], DataFrame]], limit: int | None = None, seed=SEED,
+                      values: str = "pixels", id_col: str = "sample_id") -> DataFrame:
+    """(id, label, technique, condition, score): every sample of one balanced selection, perturbed in each way and scored by each technique.
+
+    A scorer takes the perturbed signals (id, label, condition, values) and returns them with a score; features that it needs are its part
+    of the plan. Written once, so that every report looks at the same scores.
+    """
+    inputs = robustness_inputs(signals, limit, seed, values, id_col)
+    out = None
+    for technique, score in scorers.items():
+        rows = score(inputs).select(id_col, "label", F.lit(technique).alias("technique"), "condition", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return materialize(out, "robustness-scores")
+
+
+def signal_features(inputs: DataFrame, values: str = "pixels", id_col: str = "sample_id") -> DataFrame:
+    """(id, label, condition, features): Benford features of perturbed signals, 64 values to a block; what is left over is dropped."""
+    key = F.struct(id_col, "label", "condition").alias("sample")
+    whole = F.floor(F.size(values) / 64).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), whole - 1), lambda b: F.slice(values, b * 64 + 1, 64))
+    blocks = inputs.filter(whole > 0).select(F.to_json(key).alias("sample"), F.explode(cut).alias(values))
+    kinds = f"{id_col} {inputs.schema[id_col].dataType.simpleString()}, label int, condition string"
+    return feature_vectors(blocks, "sample", values).select(F.from_json("sample", kinds).alias("k"), "features").select("k.*", "features")
+
+
+def common_samples(scores: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """Scores of the samples that a technique scored under every condition, so that conditions compare equal samples."""
+    n = scores.agg(F.count_distinct("condition").alias("n")).scalar()
+    whole = scores.groupBy("technique", id_col).agg(F.count_distinct("condition").alias("_n")).filter(F.col("_n") == n)
+    return scores.join(whole.select("technique", id_col), ["technique", id_col], "left_semi")
+
+
 def robustness(scores: DataFrame) -> DataFrame:
     """AUC by technique and condition with the change from the clean condition."""
     m = evaluate(scores, ["technique", "condition"]).select("technique", "condition", "n_samples", "auc")
@@ -92,6 +125,24 @@ def missing_runs(spark: SparkSession, done: DataFrame, techniques: Sequence[str]
     return wanted.join(done.select("technique", "seed").distinct(), ["technique", "seed"], "left_anti")
 
 
+def run_multi_seed(spark: SparkSession, run: Callable[[str, int], DataFrame], path: str, techniques: Sequence[str],
+                   seeds: Sequence[int] = TRAINING_SEEDS) -> DataFrame:
+    """Scores (technique, seed, ...) of all runs, each stored as it ends; a run that was stopped goes on where it was.
+
+    ``run(technique, seed)`` gives scores. They are written first, to a folder of their own, and a record of the run after them: scores without a
+    record, left by a run that was killed, aren't read and are replaced. Runs are few, one for each technique and seed.
+    """
+    record = "technique string, seed int"
+    log = f"{path}/runs"
+    spark.createDataFrame([], record).write.mode("append").parquet(log)
+    for technique, seed in sorted(map(tuple, missing_runs(spark, spark.read.schema(record).parquet(log), techniques, seeds).collect())):
+        run(technique, seed).withColumns({"technique": F.lit(technique), "seed": F.lit(seed)}).write.mode("overwrite").parquet(f"{path}/scores/{technique}-{seed}")
+        spark.createDataFrame([(technique, seed)], record).coalesce(1).write.mode("append").parquet(log)
+    done = spark.read.schema(record).parquet(log).distinct()
+    stored = [f"{path}/scores/{r.technique}-{r.seed}" for r in done.filter(F.col("technique").isin(*techniques) & F.col("seed").isin(*seeds)).collect()]
+    return spark.read.parquet(*stored)
+
+
 def multi_seed(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metrics per (technique, seed) and their mean and spread over seeds."""
     runs = evaluate(scores, ["technique", "seed"])
@@ -119,13 +170,42 @@ def score_cache(cache: DataFrame, wanted: DataFrame,
     return wanted.join(cache, key), wanted.join(cache.select(*key), key, "left_anti")
 
 
+class ScoreCache:
+    """Stored scores in buckets by key: what is wanted is shuffled to the buckets, the cache itself never.
+
+    The key holds the manifest, the technique, the version of its model, the condition and the sample, so another model
+    version misses. ``path`` is where the table lies; a session that opens it again finds what was merged before.
+    """
+
+    KEY = ("manifest_id", "technique", "model_version", "condition", "sample_id")
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 200, sample_type: str = "bigint"):
+        self.spark, self.name = spark, f"score_cache_{hashlib.md5(path.encode()).hexdigest()[:12]}"
+        columns = ", ".join(f"{k} {sample_type if k == 'sample_id' else 'string'}" for k in self.KEY)
+        spark.sql(f"create table if not exists {self.name} ({columns}, score double) using parquet "
+                  f"clustered by ({', '.join(self.KEY)}) sorted by ({', '.join(self.KEY)}) into {buckets} buckets location '{path}'")
+
+    def lookup(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Hits with their scores, and what is still to be scored."""
+        return score_cache(self.spark.table(self.name), wanted, self.KEY)
+
+    def merge(self, scores: DataFrame) -> int:
+        """Add the scores whose keys are new; the first score of a key stays. Returns how many rows were added."""
+        new = materialize(score_cache(self.spark.table(self.name), scores.dropDuplicates(list(self.KEY)), self.KEY)[1].select(*self.KEY, "score"), "new-scores")
+        new.write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        return new.count()
+
+
 def significance(scores: DataFrame, fusions: Sequence[str], base: Sequence[str],
                  n_resamples: int = 1000, seed=SEED) -> tuple[DataFrame, DataFrame]:
     """Bootstrap interval of every technique; each fusion against each base technique."""
-    intervals = bootstrap_interval(scores, ["technique"], n_resamples=n_resamples, seed=seed)
-    tests = delong_pairs(scores, list(product(fusions, base))).withColumn(
-        "significant", F.col("p_value") < 0.05)
-    return intervals, tests
+    return bootstrap_interval(scores, ["technique"], n_resamples=n_resamples, seed=seed), significance_tests(scores, fusions, base)
+
+
+def significance_tests(scores: DataFrame, fusions: Sequence[str], base: Sequence[str]) -> DataFrame:
+    """Each fusion variant against each base technique."""
+    return delong_pairs(scores, list(product(fusions, base))).withColumn("significant", F.col("p_value") < 0.05)
 
 
 def error_analysis(scores: DataFrame, base: Sequence[str], fusion: str = FUSION, k: int = 15) -> dict[str, DataFrame]:
