@@ -97,9 +97,9 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four embedding rows as the instance masks of one sample, in two classes."""
     return table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 4).alias("sample"), F.col("vec_id").alias("instance"),
-        F.pmod("vec_id", F.lit(2)).cast("int").alias("klass"),
+        F.pmod("vec_id", F.lit(2)).cast("int").alias("klass"), F.col("label").alias("confidence"),
         F.posexplode("embedding").alias("pixel", "v"),
-    ).select("sample", "instance", "klass", "pixel", ((F.col("v").cast("double") + 1.0) / 2.0).alias("value"))
+    ).select("sample", "instance", "klass", "confidence", "pixel", ((F.col("v").cast("double") + 1.0) / 2.0).alias("value"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

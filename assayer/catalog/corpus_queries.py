@@ -192,6 +192,23 @@ def integrity_report(spark, d):
     return integrity.integrity_report(e, "size", "size", 256)
 
 
+@query("integrity_report_signatures", """with e as (select page_id, html, url, case when starts_with(html,'<!DOCTYPE html><html><head>') then 'doctype' else 'other' end as kind from pages),
+x as (select *, case when html is null or html='' or page_id%5=0 then true else false end as bad from e)
+select count(*) n_total, count(*) filter (length(url)%2=0) n_real, count(*) filter (length(url)%2=1) n_fake, count(*) filter (bad) n_corrupted, count(*) filter (octet_length(encode(html))<>256) n_wrong_size,
+ (select count(*) from (select html from pages where html is not null and page_id%5<>0 group by 1 having count(*)>1))
+ + (select count(*) from (select html from pages where html is not null and page_id%5=0 group by 1 having count(*)>1)) n_duplicate_groups,
+ count(*) filter (bad)=0 and count(*) filter (octet_length(encode(html))<>256)=0 as ok from x""")
+def integrity_report_signatures(spark, d):
+    """Pages as files: four in five follow the signature of an image, the others begin as the text that they are and are corrupt."""
+    signature = F.element_at(F.array(F.lit("89504E470D0A1A0A"), F.lit("FFD8FFE0"), F.lit("474946383961")), F.lit(1))
+    body = F.col("html").cast("binary")
+    content = F.when(F.col("page_id") % 5 == 0, body).otherwise(F.concat(F.unhex(signature), body))
+    e = table(spark, d, "pages").select(
+        F.col("page_id").alias("sample_id"), F.pmod(F.length("url"), F.lit(2)).alias("label"), F.octet_length("html").alias("size"), content.alias("content"))
+    e = e.withColumns({"content_hash": F.when(F.octet_length("content") > 0, F.md5("content")), "magic": F.hex(F.substring("content", 1, 12))})
+    return integrity.integrity_report(e, "size", "size", 256)
+
+
 @query("integrity_report_no_size", f"""with {ENTRIES} select count(*) n_total, 0::bigint n_wrong_size,
  (select count(*) from (select content_hash from ent group by 1 having count(*)>1)) n_duplicate_groups from ent""")
 def integrity_report_no_size(spark, d):
@@ -232,11 +249,11 @@ def unexpected_generators(spark, d):
     return integrity.unexpected_generators(entries(spark, d))
 
 
-@query("generator_imbalance", """with e as (select o_orderpriority as generator, count(*) n from orders where o_orderpriority not like '5%' or o_orderkey%3=0 group by 1)
+@query("generator_imbalance", """with e as (select p_type as generator, count(*) n from part group by 1)
 select min(n) smallest, max(n) largest, round(max(n)/min(n),6) as spread, max(n)/min(n)>1.5 as imbalanced from e""")
 def generator_imbalance(spark, d):
-    o = table(spark, d, "orders").filter("o_orderpriority not like '5%' or o_orderkey % 3 = 0")
-    return integrity.imbalance(o.select(F.col("o_orderpriority").alias("generator"))).withColumn("spread", F.round("spread", 6))
+    p = table(spark, d, "part")
+    return integrity.imbalance(p.select(F.col("p_type").alias("generator"))).withColumn("spread", F.round("spread", 6))
 
 
 @query("class_balance", f"""with {ENTRIES} select count(*) filter (label=1) n_fake, count(*) filter (label=0) n_real,

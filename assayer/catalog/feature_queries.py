@@ -134,6 +134,18 @@ def channel_cooccurrence(spark, d):
     return rounded(features.channel_cooccurrence(pairs, ["sample"]), "share")
 
 
+@query("channel_tensor", BLOCKS.replace("\nblk", "with blk", 1) + """, chn as (select block//3 as sample, (block%3)::int as channel, pixels from blk),
+prs as (select sample, channel, pixels[y*8+x+1]::int as i, pixels[y*8+x+2]::int as j, count(*) n from chn, range(0,8) a(y), range(0,7) b(x) group by all)
+select sample, channel*65536+i*256+j as position, round(n/sum(n) over (partition by sample, channel)*10000,6) as value from prs""")
+def channel_tensor(spark, d):
+    """Three embeddings as the channels of one image: a sparse vector of 3 x 256 x 256 at the scale of the model input."""
+    planes = blocks(spark, d).select(F.floor(F.col("block") / 3).alias("sample"), F.pmod("block", F.lit(3)).cast("int").alias("channel"), "pixels")
+    pairs = features.plane_pairs(planes, ["sample", "channel"], "pixels", 8, 8)
+    vector = features.channel_tensor(pairs)
+    return rounded(vector.select("sample", F.explode(F.arrays_zip("positions", "shares")).alias("e")).select(
+        "sample", F.col("e.positions").alias("position"), F.col("e.shares").alias("value")), "value")
+
+
 @query("class_masks", f"""with {MASKS}, smp as (select distinct sample from mask), g as (select sample, k::int as klass, p::bigint as pixel from smp, range(0,2) a(k), range(0,64) b(p)),
 o as (select distinct sample, klass, pixel::bigint as pixel from mask where value>0.5)
 select g.sample, g.klass, g.pixel, case when o.sample is null then 0 else 255 end as level from g left join o using (sample, klass, pixel)""")
@@ -142,24 +154,40 @@ def class_masks(spark, d):
     return features.class_masks(m, 64)
 
 
-_LOG = MASKS + """, onp as (select sample, klass, pixel, max((value>0.5)::int) as on_ from mask group by all),
-lg as (select sample, (select count(distinct instance) from mask m where m.sample=o.sample) n_instances,
- (select count(distinct instance) from mask m where m.sample=o.sample and klass=0) n_object, (select count(distinct instance) from mask m where m.sample=o.sample and klass=1) n_shadow,
- sum(on_) filter (klass=0)/64 as area_object, sum(on_) filter (klass=1)/64 as area_shadow from onp o group by 1)"""
+# What the detector is less sure of than 5 is no instance; with nothing at 3 or more it returned nothing.
+_LOG = MASKS + """, kept as (select * from mask where confidence>=5), onp as (select sample, klass, pixel, max((value>0.5)::int) as on_ from kept group by all),
+inst as (select sample, count(distinct instance) n_instances, count(distinct instance) filter (klass=0) n_object, count(distinct instance) filter (klass=1) n_shadow from kept group by 1),
+area as (select sample, sum(on_) filter (klass=0)/64 as o, sum(on_) filter (klass=1)/64 as s from onp group by 1),
+smp as (select vec_id//4 as sample, max(label)<3 as null_detection from embeddings group by 1),
+lg as (select sample, coalesce(n_instances,0) n_instances, coalesce(n_object,0) n_object, coalesce(n_shadow,0) n_shadow, coalesce(o,0) as area_object, coalesce(s,0) as area_shadow, null_detection
+  from smp left join inst using (sample) left join area using (sample))"""
+
+
+def _log(spark, d):
+    m = masks(spark, d)
+    smp = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("sample")).agg((F.max("label") < 3).alias("null_detection"))
+    return summaries.extraction_log(m.filter("confidence >= 5"), samples=smp)
 
 
-@query("extraction_log", f"with {_LOG} select sample, n_instances, n_object, n_shadow, round(area_object,6) area_object, round(area_shadow,6) area_shadow from lg")
+@query("extraction_log", f"with {_LOG} select sample, n_instances, n_object, n_shadow, round(area_object,6) area_object, round(area_shadow,6) area_shadow, null_detection from lg")
 def extraction_log(spark, d):
-    return rounded(summaries.extraction_log(masks(spark, d)), "area_object", "area_shadow")
+    return rounded(_log(spark, d), "area_object", "area_shadow")
 
 
-@query("extraction_summary", f"""with {MASKS}, c as (select distinct sample, instance, klass from mask where sample%5<>0), s as (select distinct vec_id//4 as sample from embeddings)
-select count(distinct s.sample) n_samples, count(distinct s.sample) filter (c.sample is null) n_without, count(*) filter (klass=0)::bigint n_object, count(*) filter (klass=1)::bigint n_shadow,
- round(count(distinct s.sample) filter (c.sample is null)/count(distinct s.sample),6) as share_without from s left join c using (sample)""")
+@query("extraction_summary", f"""with {_LOG} select count(*) n_samples, count(*) filter (n_instances=0) n_without, count(*) filter (null_detection) n_null_detection,
+ sum(n_object)::bigint n_object, sum(n_shadow)::bigint n_shadow, round(count(*) filter (n_instances=0)/count(*),6) as share_without from lg""")
 def extraction_summary(spark, d):
-    m = masks(spark, d)
-    log = summaries.extraction_log(m.filter("sample % 5 <> 0"))
-    return rounded(summaries.extraction_summary(log, m.select("sample").distinct()), "share_without")
+    return rounded(summaries.extraction_summary(_log(spark, d)), "share_without")
+
+
+@query("class_bitmaps", f"""with {MASKS}, o as (select sample, klass, pixel from mask where value>0.5 group by all), smp as (select distinct sample from mask)
+select s.sample, k::int as klass, count(o.pixel) as area, coalesce(sum(case when pixel<63 then 1::hugeint<<pixel::int end) - case when bool_or(pixel=63) then 9223372036854775808::hugeint else 0 end,
+ case when bool_or(pixel=63) then -9223372036854775808::hugeint else 0 end)::bigint as word
+from smp s cross join range(0,2) r(k) left join o on o.sample=s.sample and o.klass=k group by 1,2""")
+def class_bitmaps(spark, d):
+    """One row for each sample and class; masks here have one word of 64 pixels."""
+    maps = features.class_bitmaps(masks(spark, d))
+    return maps.select("sample", "klass", "area", F.coalesce(F.try_element_at("words", F.lit(0).cast("bigint")), F.lit(0).cast("bigint")).alias("word"))
 
 
 _TWO_PI = "6.283185307179586"

@@ -77,7 +77,7 @@ blk as (select label as sample, vec_id as block,
   from embeddings)"""
 
 MASKS = """
-mask as (select vec_id//4 as sample, vec_id as instance, cast(vec_id%2 as int) as klass,
+mask as (select vec_id//4 as sample, vec_id as instance, cast(vec_id%2 as int) as klass, label as confidence,
   generate_subscripts(embedding,1)-1 as pixel, (cast(unnest(embedding) as double)+1.0)/2.0 as value from embeddings)"""
 
 ALLOCATION = """

@@ -73,7 +73,7 @@ def benford_divergences(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     # In the order of digits, so that sums don't depend on partitions.
-    cells = F.array_sort(F.filter(F.collect_list(F.struct("digit", "n")), lambda c: c["digit"].isNotNull()))
+    cells = F.sort_array(F.filter(F.collect_list(F.struct("digit", "n")), lambda c: c["digit"].isNotNull()))
     groups = digit_counts(df, keys, value, bases, count).groupBy(*keys, "base").agg(
         F.sum("n").alias("_total"), cells.alias("_cells"))
     base = F.col("base")
@@ -279,20 +279,55 @@ def channel_cooccurrence(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cooccurrence(pairs, keys, COOCCURRENCE_SCALE)
 
 
+def channel_tensor(pairs: DataFrame, sample: str = "sample", channel: str = "channel", levels: int = 256) -> DataFrame:
+    """(sample, positions, shares): the planes of all channels stacked into one sparse vector, position ``(channel * levels + i) * levels + j``.
+
+    Each plane sums to the scale of the model input. A sample has at most channels x levels^2 cells, and no more than it has pixels.
+    """
+    cells = channel_cooccurrence(pairs, [sample, channel])
+    at = ((F.col(channel) * levels + F.col("i")) * levels + F.col("j")).cast("int")
+    return cells.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(at.alias("p"), "share"))).alias("c")).select(
+        sample, F.col("c.p").alias("positions"), F.col("c.share").alias("shares"))
+
+
 # --- masks ------------------------------------------------------------------
 
+def pixel_words(masks: DataFrame, keys: Sequence[str], pixel: str = "pixel", value: str = "value") -> DataFrame:
+    """(keys, word, bits, seen): bitmaps of 64 pixels each, of those above the threshold and of those that occur.
+
+    Rows are merged into words before they are shuffled, so a pixel is a bit from then on.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod({pixel}, 64) as int))")
+    return masks.groupBy(*keys, F.floor(F.col(pixel) / 64).alias("word")).agg(
+        F.bit_or(F.when(F.col(value) > MASK_THRESHOLD, bit).otherwise(F.lit(0).cast("bigint"))).alias("bits"), F.bit_or(bit).alias("seen"))
+
+
+def class_bitmaps(masks: DataFrame, classes: Sequence[int] = (0, 1), sample: str = "sample", klass: str = "klass", pixel: str = "pixel",
+                  value: str = "value", samples: DataFrame | None = None) -> DataFrame:
+    """(sample, klass, words, area): one row for each sample and class, the union of its instances as a map of words, and how many pixels are on.
+
+    A class without instances has no words. ``samples`` adds those that have no instance at all.
+    """
+    words = pixel_words(masks, [sample, klass], pixel, value).filter("bits <> 0")
+    on = words.groupBy(sample, klass).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).alias("area"))
+    base = (samples if samples is not None else masks).select(sample).distinct()
+    grid = base.withColumn(klass, F.explode(F.array(*[F.lit(c) for c in classes])))
+    return grid.join(on, [sample, klass], "left").withColumns({
+        "words": F.coalesce("words", F.expr("cast(map() as map<bigint, bigint>)")), "area": F.coalesce("area", F.lit(0).cast("bigint"))})
+
+
 def class_masks(masks: DataFrame, n_pixels: int, classes: Sequence[int] = (0, 1), sample: str = "sample",
                 klass: str = "klass", pixel: str = "pixel", value: str = "value",
                 samples: DataFrame | None = None) -> DataFrame:
-    """(sample, klass, pixel, level): union of instances per class, 0 or 255.
+    """(sample, klass, pixel, level): union of instances per class, 0 or 255, written out from the bitmaps.
 
     A class without instances gives an all-zero map.
     """
-    on = masks.filter(F.col(value) > MASK_THRESHOLD).select(sample, klass, pixel).distinct().withColumn("level", F.lit(255))
-    base = (samples if samples is not None else masks).select(sample).distinct()
-    grid = base.withColumn(klass, F.explode(F.array(*[F.lit(c) for c in classes]))).withColumn(
-        pixel, F.explode(F.sequence(F.lit(0), F.lit(n_pixels - 1))))
-    return grid.join(on, [sample, klass, pixel], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    maps = class_bitmaps(masks, classes, sample, klass, pixel, value, samples)
+    word = F.coalesce(F.try_element_at("words", F.floor(F.col(pixel) / 64)), F.lit(0).cast("bigint"))
+    bit = F.getbit(word, F.pmod(pixel, F.lit(64)).cast("int"))
+    return (maps.withColumn(pixel, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_pixels - 1).cast("bigint"))))
+            .select(sample, klass, pixel, (bit.cast("int") * 255).alias("level")))
 
 
 # --- perturbations ----------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..constants import LATENCY_LIMIT_MS, NORMALISED_SIDE, PUBLISHED_TOLERANCE_PP
 from ..functions.numeric import ratio
+from .features import pixel_words
 from .metrics import auc
 from .ranking import fixed_block
 
@@ -79,30 +80,35 @@ def published_summary(gaps: DataFrame) -> DataFrame:
 
 
 def extraction_log(masks: DataFrame, sample: str = "sample", instance: str = "instance",
-                   klass: str = "klass", value: str = "value", pixel: str = "pixel") -> DataFrame:
-    """Per sample: instances by class and the covered area share of each class."""
-    union = masks.groupBy(sample, klass, pixel).agg(F.max((F.col(value) > 0.5).cast("int")).alias("on"))
-    areas = union.groupBy(sample).agg(
-        F.sum(F.when(F.col(klass) == 0, F.col("on")).otherwise(0)).alias("on_object"),
-        F.sum(F.when(F.col(klass) == 1, F.col("on")).otherwise(0)).alias("on_shadow"),
-        F.count_distinct(pixel).alias("n_pixels"))
-    counts = masks.groupBy(sample).agg(
+                   klass: str = "klass", value: str = "value", pixel: str = "pixel", samples: DataFrame | None = None) -> DataFrame:
+    """Per sample: instances by class, the covered area share of each class, and whether the detector returned nothing at all.
+
+    ``samples`` (sample, null_detection) lists all that were processed; without it those with instances are logged. Areas come from
+    bitmaps of 64 pixels a word.
+    """
+    words = pixel_words(masks, [sample, instance, klass], pixel, value)
+    of = lambda k: F.bit_or(F.when(F.col(klass) == k, F.col("bits")).otherwise(F.lit(0).cast("bigint")))
+    areas = words.groupBy(sample, "word").agg(of(0).alias("o"), of(1).alias("s"), F.bit_or("seen").alias("seen")).groupBy(sample).agg(
+        F.sum(F.bit_count("o")).alias("on_object"), F.sum(F.bit_count("s")).alias("on_shadow"), F.sum(F.bit_count("seen")).alias("n_pixels"))
+    counts = words.groupBy(sample).agg(
         F.count_distinct(instance).alias("n_instances"),
         F.count_distinct(F.when(F.col(klass) == 0, F.col(instance))).alias("n_object"),
         F.count_distinct(F.when(F.col(klass) == 1, F.col(instance))).alias("n_shadow"))
-    return counts.join(areas, sample).select(
+    log = counts.join(areas, sample).select(
         sample, "n_instances", "n_object", "n_shadow",
         ratio(F.col("on_object"), F.col("n_pixels")).alias("area_object"),
         ratio(F.col("on_shadow"), F.col("n_pixels")).alias("area_shadow"))
+    if samples is None:
+        return log.withColumn("null_detection", F.lit(False))
+    return samples.select(sample, "null_detection").join(log, sample, "left").select(
+        sample, *[F.coalesce(c, F.lit(0).cast(log.schema[c].dataType)).alias(c) for c in log.columns if c != sample], "null_detection")
 
 
-def extraction_summary(log: DataFrame, samples: DataFrame, sample: str = "sample") -> DataFrame:
-    """Totals over all samples; one without any instance is absent from the log."""
-    full = samples.select(sample).join(log, sample, "left")
-    return full.agg(
-        F.count("*").alias("n_samples"), F.count_if(F.col("n_instances").isNull()).alias("n_without"),
-        F.sum(F.coalesce("n_object", F.lit(0))).alias("n_object"),
-        F.sum(F.coalesce("n_shadow", F.lit(0))).alias("n_shadow"),
+def extraction_summary(log: DataFrame) -> DataFrame:
+    """Totals over all logged samples: those without instances, and how many of them for want of any detection."""
+    return log.agg(
+        F.count("*").alias("n_samples"), F.count_if(F.col("n_instances") == 0).alias("n_without"), F.count_if("null_detection").alias("n_null_detection"),
+        F.sum("n_object").alias("n_object"), F.sum("n_shadow").alias("n_shadow"),
     ).withColumn("share_without", ratio(F.col("n_without"), F.col("n_samples")))
 
 
