@@ -16,7 +16,8 @@ from ..functions.numeric import blank_to_null
 from ..functions.paths import basename, posix_path, stem
 from ..operators.filters import keep_last
 from ..operators.ranking import row_numbers
-from ..session import materialize, small_table
+from ..session import default_blocks, materialize, small_table
+from .listing import can_open, first_lines, list_tree
 
 # ``real/<source>/`` and ``fake/<generator>/``, plain or as ``key=value`` folders.
 _TREE = r"/(?:[A-Za-z_]+=)?(real|fake)/(?:[A-Za-z_]+=)?([^/]+)/"
@@ -33,11 +34,23 @@ def from_tree(path: Column) -> dict[str, Column]:
     }
 
 
+def list_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """One row per file under ``real/`` and ``fake/``, listed level by level on executors; ``hidden`` ones are named like Spark's own files."""
+    files = list_tree(spark, root).filter("not folder")
+    return files.withColumns(from_tree(F.col("path"))).filter("label is not null").drop("folder").withColumn("sample_id", F.col("path")).withColumnRenamed("length", "size")
+
+
 def scan_corpus(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """One row per file under ``real/`` and ``fake/``. Bytes are read only on request.
 
-    With content, ``content_hash`` is its md5 and ``magic`` the hex of its first 12 bytes.
+    With content, ``content_hash`` is its md5 and ``magic`` the hex of its first 12 bytes. Files whose names begin with ``_`` or
+    a dot are left out; :func:`list_corpus` counts them. Without content, files are listed by executors where they can reach them.
     """
+    if not with_content and can_open(root):
+        try:
+            return list_corpus(spark, root).filter("not hidden").drop("hidden")
+        except FileNotFoundError as error:
+            raise FileNotFoundError(f"corpus not found: {root}") from error
     try:
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
                  .option("pathGlobFilter", "[!_.]*").load(root))
@@ -180,37 +193,41 @@ def read_components(spark: SparkSession, path: str) -> DataFrame:
 _FILE_KEY = {"name": "_metadata.file_name", "path": "_metadata.file_path"}
 
 
+def _headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, columns) of every file; where only Spark can open them, from a pass over the text."""
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("file"), "path")
+    if can_open(pattern):
+        return first_lines(files.repartition(default_blocks(spark), "path"))
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                            F.monotonically_increasing_id().alias("o"), "value")
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "o").alias("line"))
+    return first.select("file", F.transform(F.split("line", ","), lambda c: F.regexp_replace(c, '^"|"$', "")).alias("columns"))
+
+
 def read_component_files(spark: SparkSession, pattern: str, column: str,
                          skip: str = FAILURE_LOG_MARK, by: str = "name") -> DataFrame:
     """(name, split, label, score) over many files; for a repeated name the last file wins,
     files being ordered by ``name`` or, for folders of parts, by ``path``.
 
-    Files whose name contains ``skip`` and files without the column are left out.
-    Files are grouped by header first, so each layout is read once.
+    Files whose name contains ``skip`` and files without the column are left out. The first line of each file is read on executors and tells
+    where its columns stand; then all files are one scan, whatever their layouts, joined to these places by file. No
+    file name comes to the driver.
     """
-    cells = F.split("value", ",")
-    is_header = (F.arrays_overlap(cells, F.array(*[F.lit(c) for c in NAME_COLUMNS]))
-                 & F.array_contains(cells, "split") & F.array_contains(cells, "label"))
-    listing = (spark.read.text(pattern, wholetext=False)
-               .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("fname"),
-                       F.col("_metadata.file_block_start").alias("start"), "value")
-               .filter((F.col("start") == 0) & ~F.col("fname").contains(skip) & is_header)
-               .groupBy("file").agg(F.min("value").alias("header")))
-    layouts = listing.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    out = None
-    for row in layouts:
-        columns = row["header"].split(",")
-        if column not in columns:
-            continue
-        raw = (spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True)
-               .csv(row["files"]))
-        part = raw.select(F.col(resolve(columns, NAME_COLUMNS)).alias("name"), "split", F.col("label").cast("int").alias("label"),
-                          blank_to_null(F.col(column)).alias("score"),
-                          F.col(_FILE_KEY[by]).alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-                          F.monotonically_increasing_id().alias("_o"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    have = lambda c: F.array_position("columns", c).cast("int")
+    name = F.coalesce(*[F.when(have(c) > 0, have(c)) for c in NAME_COLUMNS])
+    places = small_table(
+        _headers(spark, pattern).filter(~F.element_at(F.split("file", "/"), -1).contains(skip))
+        .filter((have(column) > 0) & name.isNotNull() & (have("split") > 0) & (have("label") > 0))
+        .select("file", F.size("columns").alias("width"), name.alias("n"), have("split").alias("s"), have("label").alias("l"), have(column).alias("v")))
+    widest = places.agg(F.max("width")).first()[0]
+    if widest is None:
         raise FileNotFoundError(f"no file with column {column} at {pattern}")
+    cells = [f"c{i}" for i in range(widest)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", True).option("enforceSchema", True).csv(pattern)
+    rows = raw.select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("file"), F.col(_FILE_KEY[by]).alias("_f"),
+                      F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_o")).join(places, "file")
+    cell = lambda at: F.element_at("cells", F.col(at))
+    out = rows.select(cell("n").alias("name"), cell("s").alias("split"), cell("l").cast("int").alias("label"), blank_to_null(cell("v")).alias("score"), "_f", "_b", "_o")
     return keep_last(out, ["name"], ["_f", "_b", "_o"]).drop("_f", "_b", "_o")
 
 

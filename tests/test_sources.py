@@ -55,3 +55,31 @@ def test_newest_result_of_many_parts(spark, tmp_path, parts):
     for by in ("name", "path"):
         got = readers.latest_result(spark, f"{tmp_path}/*", "technique string, generator string, auc double", "T02", by)
         assert [tuple(r) for r in got.groupBy("auc").count().collect()] == [(0.5, 100)]
+
+
+def test_component_files_of_many_layouts(spark, tmp_path):
+    """Quoted headers, columns in any order, a layout without the column, a failure log; the last file wins."""
+    folder = tmp_path / "c"
+    folder.mkdir()
+    (folder / "a.csv").write_text('"arquivo","split","label","value, raw","value"\nx.png,train,1,"1,5",0.25\ny.png,test,0,,\n'.replace("arquivo", readers.NAME_COLUMNS[0]))
+    (folder / "b.csv").write_text(f"value,label,split,extra,more,{readers.NAME_COLUMNS[0]}\n0.75,1,val,e,m,x.png\n0.5,0,val,e,m,z.png\n")
+    (folder / "c.csv").write_text(f"{readers.NAME_COLUMNS[0]},split,label,other\nx.png,val,1,0.9\n")
+    (folder / f"d_{readers.FAILURE_LOG_MARK}.csv").write_text(f"{readers.NAME_COLUMNS[0]},split,label,value\nx.png,val,1,0.99\n")
+    (folder / "e.csv").write_text("")
+    got = {r["name"]: (r["split"], r["label"], r["score"]) for r in readers.read_component_files(spark, str(folder), "value").collect()}
+    assert got == {"x.png": ("val", 1, 0.75), "y.png": ("test", 0, None), "z.png": ("val", 0, 0.5)}
+    with pytest.raises(FileNotFoundError, match="no file with column nothing"):
+        readers.read_component_files(spark, str(folder), "nothing")
+
+
+def test_corpus_is_listed_by_levels(spark, tmp_path):
+    for name in ("real/cam/a.png", "real/cam/deep/b.png", "fake/gen/c.png", "fake/gen/_tmp.png", "fake/gen/.d.png", "fake/.hidden/e.png", "other/x/f.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    rows = readers.list_corpus(spark, str(tmp_path)).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.generator, r.size, r.hidden) for r in rows) == [
+        (".d.png", "gen", 5, True), ("_tmp.png", "gen", 5, True), ("a.png", "real", 5, False), ("b.png", "real", 5, False), ("c.png", "gen", 5, False)]
+    listed, read = (readers.scan_corpus(spark, str(tmp_path), c).select("path", "size", "label", "generator", "source", "sample_id") for c in (False, True))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, read.collect()))
+    with pytest.raises(FileNotFoundError, match="corpus not found"):
+        readers.scan_corpus(spark, str(tmp_path / "nowhere"))
