@@ -2,10 +2,15 @@
 
 Base spans (email, ip, card, phone) are leftmost matches that do not overlap within a kind; those that fail the kind's
 test are dropped. Candidate generators then propose wider, overlapping spans: obfuscated addresses, numbers with other
-separators or without prefix. Boosted trees judge their format and context. They are fitted on at most ``most_labelled``
-candidates (by hash of doc_id), a candidate being personal if most of it lies in a base span of its kind; a quarter is held
-out to calibrate one threshold for each kind, the lowest with the wanted precision. Chosen candidates that touch neither
-base spans nor a surer candidate are added.
+separators or without prefix. Boosted trees judge their format and context. Chosen candidates that touch neither base spans
+nor a surer candidate are added.
+
+The trees are fitted on at most ``most_labelled`` candidates (by hash of doc_id). What is personal is taught by the base
+spans of the sample, rewritten in their own places as people disguise them (``_forms``): a candidate that covers such a
+rewriting is personal, one that covers it badly isn't. Not personal are also decoys (a number that fails its test, words
+around " at ", lists of numbers) and what the generators find in the prose outside base spans, unless it looks disguised
+itself (``_unsure``): that has no label and is left out. A quarter of the documents is held out to calibrate one threshold
+for each kind, halfway between the lowest with the wanted precision and the next held-out candidate below it (or 0.5).
 
 All of it is column expressions: the fitted trees become nested CASE expressions on the candidates' fields, and a
 document's spans never leave its row, so nothing is shuffled but the bounded sample.
@@ -44,15 +49,22 @@ SIGNS = {"email": "@", "phone": "+"}
 GENERATORS = (
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?"
               r"[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]++)++"),
+    # The same without blanks around a plain dot, which mostly end a sentence.
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?"
+              r"[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9])[0-9]{1,3}+(?:\x20?[\[(]?[.,][\])]?\x20?[0-9]{1,3}+){3}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[\x20./_-]?[0-9]){11,18}(?![0-9])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20./-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("phone", r"\(?(?<![0-9])[0-9]{3}\)?[\x20./-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 )
-HINTS = {"email": "@|\\(at\\)|\\[at\\]| at .{1,60} dot ", "ip": "[0-9][\\])]?[.,]", "card": "[0-9]{2}", "phone": "[0-9]{3}"}
+#: What each match of a kind's generators holds, or begins with.
+HINTS = {"email": "@|[(\\[ ]at[)\\] ]", "ip": "[0-9] ?[\\[(]?[.,]", "card": "[0-9][ ./_-]?[0-9]", "phone": "[0-9]{3}"}
 SPAN = "array<struct<begin:int,kind:int,end:int>>"
 FEATURES = ("length", "digits", "groups", "longest_group", "letters", "spaces", "dots", "hyphens", "brackets", "plus", "large_part",
-            "check_digit", "before_digit", "before_letter", "after_letter", "before_hint", "is_email", "is_ip", "is_card")
+            "check_digit", "before_digit", "before_letter", "after_letter", "after_digit", "before_hint", "marks", "at_sign", "sentence",
+            "last_letters", "is_email", "is_ip", "is_card")
+#: Characters of a document kept on each side of a rewritten span.
+AROUND = 40
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -109,7 +121,7 @@ def _fields(text: Column, kind: int, x: Column) -> Column:
     s, begin = x["found"], x["begin"]
     end = begin + F.length(s)
     groups = F.filter(F.split(s, "[^0-9]+"), lambda g: g != "")
-    before, after = F.substring(text, begin, F.lit(1)), F.substring(text, end + 1, F.lit(1))
+    before, after = F.substring(text, F.greatest(begin - 1, F.lit(1)), F.least(begin, F.lit(2))), F.substring(text, end + 1, F.lit(2))
     start = F.greatest(begin - 12, F.lit(0))
     context = F.lower(F.substring(text, start + 1, begin - start))
     count = lambda chars: F.length(s) - F.length(F.regexp_replace(s, chars, ""))
@@ -118,8 +130,10 @@ def _fields(text: Column, kind: int, x: Column) -> Column:
         "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "letters": count("[A-Za-z]"),
         "spaces": count(" "), "dots": count("[.]"), "hyphens": count("[-_/]"), "brackets": count("[()\\[\\]]"),
         "plus": s.startswith("+"), "large_part": ~_parts_fit(s), "check_digit": _luhn(s),
-        "before_digit": before.rlike("[0-9.,-]"), "before_letter": before.rlike("[A-Za-z_=\"]"), "after_letter": after.rlike("[A-Za-z0-9_]"),
+        "before_digit": before.rlike("[0-9.,-]$|[0-9] $"), "before_letter": before.rlike("[A-Za-z_=\"]$"), "after_letter": after.rlike("^[A-Za-z0-9_]"), "after_digit": after.rlike("^[.,/-]?[0-9]"),
         "before_hint": context.rlike("tel|phone|call|fax|mail|card|host|addr|ip|contact"),
+        "marks": count("[\\[(](?:at|dot|[.])[)\\]]|(?<= )dot(?= )"), "at_sign": s.contains("@"), "sentence": count("[.,](?= )"),
+        "last_letters": F.length(F.regexp_extract(s, "[A-Za-z]*$", 0)),
         "is_email": F.lit(kind == 0), "is_ip": F.lit(kind == 1), "is_card": F.lit(kind == 2),
     }
     return F.struct(begin.alias("begin"), F.lit(kind).alias("kind"), end.alias("end"), *[values[f].cast("double").alias(f) for f in FEATURES])
@@ -140,6 +154,44 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.least(a["end"], b["end"]) - F.greatest(a["begin"], b["begin"])
 
 
+def _forms(kind: int, s: Column, before: Column, after: Column) -> list[tuple[Column, bool]]:
+    """A base span as people disguise it, and decoys in its place (True); null where a form has no sense."""
+    swap = lambda x, pattern, by: F.regexp_replace(x, pattern, by)
+    digits = _digits(s)
+    if kind == 0:
+        name, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
+        # Once as it is and once without digits, so that digits alone decide nothing.
+        bare = lambda x: F.coalesce(F.nullif(swap(x, "[0-9]+", ""), F.lit("")), x)
+        put = lambda at, dot: [(F.concat(n, F.lit(at), swap(d, "[.]", dot)), False) for n, d in ((name, domain), (bare(name), bare(domain)))]
+        word = lambda x, pattern, i: F.coalesce(F.nullif(F.regexp_extract(x, pattern, i), F.lit("")), F.lit("them"))
+        last = word(before, "([A-Za-z]+)[^A-Za-z]*$", 1)
+        next_, third = (word(after, "([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)", i) for i in (1, 2))
+        time = F.concat((F.length(s) % 24).cast("string"), F.lit("."), (10 + F.length(s) % 50).cast("string"))
+        disguised = [form for at, dot in ((" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "."), (" at ", " dot "), (" at ", "."), (" @ ", ".")) for form in put(at, dot)]
+        prose = [F.concat(w, F.lit(" at "), rest) for w in (last, name) for rest in (
+            F.concat(next_, F.lit(". "), F.initcap(third)), F.concat(next_, F.lit(". "), third), time)]
+        return disguised + [(p, True) for p in prose]
+    if kind == 1:
+        large = F.concat(F.lit("7"), F.lpad(F.substring_index(s, ".", 1), 2, "4"), F.lit("."), F.substring_index(s, ".", -3))
+        return [(swap(s, "[.]", "[.]"), False), (swap(s, "[.]", "(.)"), False), (swap(s, "[.]", " . "), False),
+                (swap(s, "[.]", ", "), True), (swap(s, "[.]", ","), True), (swap(large, "[.]", "[.]"), True), (swap(large, "[.]", " . "), True)]
+    if kind == 2:
+        wrong = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.translate(F.substring(digits, -1, 1), "0123456789", "1234567890"))
+        fours = lambda x, by: swap(x, "([0-9]{4})(?=[0-9])", f"$1{by}")
+        return [*[(fours(digits, by), False) for by in "./_"], *[(fours(wrong, by), True) for by in "./_-"], (wrong, True)]
+    tail = F.when(F.length(digits) >= 10, F.substring(digits, -10, 10))
+    put = lambda form: swap(tail, "([0-9]{3})([0-9]{3})([0-9]{4})", form)
+    return [(put("($1) $2-$3"), False), (put("$1-$2-$3"), False), (put("$1.$2.$3"), False), (put("1 $1 $2 $3"), False), (put("00 $1 $2 $3"), False),
+            (put("7-$1-$2-$3-5"), True), (put("$1.$2.$3.12"), True), (put("3,$1 $2 $3,8"), True)]
+
+
+def _unsure(c: Column) -> Column:
+    """A candidate outside base spans that prose doesn't hold by chance: disguised, or with a right check digit."""
+    phone = c["kind"] == KINDS.index("phone")
+    card = (c["kind"] == KINDS.index("card")) & (c["check_digit"] == 1)
+    return phone | card | (c["marks"] > 0)
+
+
 @dataclass
 class Model:
     trees: list[tuple[float, tuple]]        # weight, (feature, threshold, left, right) or (value,)
@@ -165,8 +217,28 @@ def _grown(node) -> tuple:
     return (node.split().featureIndex(), node.split().threshold(), _grown(node.leftChild()), _grown(node.rightChild()))
 
 
-def fit(docs: DataFrame, most_labelled: int = 4000, rounds: int = 8, depth: int = 3, precision: float = 0.98, seed: int = 0) -> Model:
-    """Trees and thresholds from the documents' own base spans; at most ``most_labelled`` candidates are looked at."""
+def _rewritten(found: DataFrame) -> DataFrame:
+    """(held, drawn, label, c): what the generators find where a base span of ``found`` stands in another form."""
+    spans = found.select("held", "drawn", "text", F.explode("base").alias("b"))
+    begin = F.greatest(F.col("b.begin") - AROUND, F.lit(0))
+    spans = spans.select("held", "drawn", F.col("b.kind").alias("kind"), F.substring("text", F.col("b.begin") + 1, F.col("b.end") - F.col("b.begin")).alias("s"),
+                         F.substring("text", begin + 1, F.col("b.begin") - begin).alias("before"), F.substring("text", F.col("b.end") + 1, F.lit(AROUND)).alias("after"))
+    forms = F.array().cast("array<struct<form:string,decoy:boolean>>")
+    for k in range(len(KINDS)):
+        of_kind = [F.struct(form.alias("form"), F.lit(decoy).alias("decoy")) for form, decoy in _forms(k, F.col("s"), F.col("before"), F.col("after"))]
+        forms = F.when(F.col("kind") == k, F.array(*of_kind)).otherwise(forms)
+    placed = spans.select("held", "drawn", "kind", "before", "after", F.explode(forms).alias("f")).filter("f.form is not null")
+    placed = placed.select("held", F.xxhash64("drawn", "f.form").alias("drawn"), "kind", "f.decoy", F.concat("before", "f.form", "after").alias("text"), F.struct(
+        F.length("before").alias("begin"), (F.length("before") + F.length("f.form")).alias("end")).alias("place"))
+    seen = placed.select("*", F.explode(candidates(F.col("text"))).alias("c")).filter(_overlap(F.col("place"), F.col("c")) > 0)
+    span = F.greatest("place.end", "c.end") - F.least("place.begin", "c.begin")
+    covers = (F.col("kind") == F.col("c.kind")) & (_overlap(F.col("place"), F.col("c")) >= 0.9 * span)
+    return seen.select("held", "drawn", (covers & ~F.col("decoy")).cast("double").alias("label"), "c")
+
+
+def fit(docs: DataFrame, most_labelled: int = 4000, rounds: int = 10, depth: int = 4, precision: float = 0.98, seed: int = 0) -> Model:
+    """Trees and thresholds from the documents' own base spans in other forms; at most ``most_labelled`` candidates are
+    looked at, half of them from prose."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -176,11 +248,12 @@ def fit(docs: DataFrame, most_labelled: int = 4000, rounds: int = 8, depth: int
     key = seeded(seed, F.col("doc_id"))
     end = docs.filter(likely).select(key.alias("key")).orderBy("key").limit(most_labelled).agg(F.max("key")).first()[0]
     sampled = docs.filter(likely & (key <= F.lit(end))).select("doc_id", text.alias("text"))
-    rows = (sampled.select("doc_id", base_spans(F.col("text")).alias("base"), F.explode(candidates(F.col("text"))).alias("c"))
-            .withColumn("label", F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (2 * _overlap(b, F.col("c")) > F.col("c.end") - F.col("c.begin"))).cast("double"))
-            .withColumn("held", F.pmod(seeded(seed + 1, F.col("doc_id")), F.lit(4)) == 0)
-            .select("label", "held", "c.*").orderBy(F.xxhash64("begin", "end", "kind", "length")).limit(most_labelled))
-    rows = stored(rows, "candidates")
+    held = F.pmod(seeded(seed + 1, F.col("doc_id")), F.lit(4)) == 0
+    bounded = lambda df: df.select("label", "held", "c.*", F.xxhash64("drawn", "c.begin", "c.end", "c.kind").alias("drawn")).orderBy("drawn").limit(most_labelled // 2)
+    found = sampled.select(held.alias("held"), seeded(seed + 2, F.col("doc_id")).alias("drawn"), "text", base_spans(F.col("text")).alias("base"))
+    prose = (found.select("held", "drawn", "base", F.explode(candidates(F.col("text"))).alias("c")).withColumn("label", F.lit(0.0))
+             .filter(~F.exists("base", lambda b: _overlap(b, F.col("c")) > 0) & ~_unsure(F.col("c"))))
+    rows = stored(bounded(prose).unionByName(bounded(_rewritten(found))), "candidates")
     sides = {r.label: r["count"] for r in rows.filter("not held").groupBy("label").count().collect()}
     if len(sides) < 2:
         return Model([], [2.0] * len(KINDS))
@@ -194,10 +267,11 @@ def fit(docs: DataFrame, most_labelled: int = 4000, rounds: int = 8, depth: int
               .groupBy("kind", "p").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect())    # at most 101 rows for each kind
     for k in range(len(KINDS)):
         right = n = 0
-        for r in sorted((r for r in scored if r.kind == k), key=lambda r: -r.p):
+        falling = sorted((r for r in scored if r.kind == k), key=lambda r: -r.p)
+        for r, below in zip(falling, [r.p for r in falling[1:]] + [0]):
             right, n = right + r.right, n + r.n
             if r.p >= 50 and right >= precision * n:
-                model.thresholds[k] = r.p / 100
+                model.thresholds[k] = (r.p + max(below, 50)) / 200
     return model
 
 

@@ -82,3 +82,38 @@ def test_redaction_and_edge_cases(spark, model):
 def test_only_expressions(spark, model):
     plan = pii.find_spans(spark.read.parquet(f"{SF}/documents.parquet"), model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+DISGUISED = {
+    "email": ["bob.lee (at) mail3 (dot) example (dot) org", "bob.lee[at]example[dot]org", "bob.lee at example dot org", "bob.lee at example.org", "bob.lee @ example.org"],
+    "ip": ["10[.]20[.]0[.]1", "192 . 168 . 7 . 21", "172(.)16(.)4(.)250"],
+    "card": ["4111.1111.1111.1111", "4111/1111/1111/1111", "4111_1111_1111_1111"],
+    "phone": ["(988) 555-2485", "988-555-2485", "988.555.2485", "1 988 555 2485"],
+}
+CLEAN = ["look at this. Then go", "meet me at 10.30 or later", "rows 10, 20, 30, 40, 50", "parts 810[.]20[.]0[.]1", "item 4111.1111.1111.1112", "serial 7-988-555-2485-5"]
+
+
+def test_disguised_spans_are_added_and_prose_is_left_alone(spark):
+    """A model of the real table finds disguised data planted in its texts, and adds nothing to the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    plain = {r.doc_id: (r.text or "", r.s) for r in pii.find_spans(docs, model).select("doc_id", "text", pii.joined("spans").alias("s")).collect()}
+    extra = {i: set(s.split(",")) - set(plain_spans(t)) - {""} for i, (t, s) in plain.items()}
+    assert sum(bool(e) for e in extra.values()) <= 0.01 * len(plain)
+    places, planted, want = sorted(plain)[:100], [], []
+    for n, i in enumerate(places):
+        words = plain[i][0].split(" ")[:30]
+        for kind, forms in DISGUISED.items():
+            begin = len(" ".join(words)) + 1
+            words.append(forms[n % len(forms)])
+            want.append((i, f"{kind}:{begin}:{begin + len(words[-1])}"))
+            words += ["und", "then", "the", "others", CLEAN[n % len(CLEAN)], "of", "it"]
+        planted.append((i, " ".join(words)))
+    found = {r.doc_id: r.s.split(",") for r in pii.find_spans(spark.createDataFrame(planted, "doc_id long, text string"), model)
+             .select("doc_id", pii.joined("spans").alias("s")).collect()}
+    for kind in DISGUISED:
+        of_kind = [(i, w) for i, w in want if w.startswith(kind)]
+        assert sum(w in found[i] for i, w in of_kind) >= 0.8 * len(of_kind), kind
+    right = {(i, w) for i, w in want} | {(i, w) for i, t in planted for w in plain_spans(t)}
+    wrong = [(i, w) for i in found for w in found[i] if w and (i, w) not in right]
+    assert len(wrong) <= 0.05 * len(want), wrong[:5]
