@@ -57,8 +57,12 @@ GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{3}\)?[\x20./-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("phone", r"\(?(?<![0-9])[0-9]{3}\)?[\x20./-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 )
-#: What each match of a kind's generators holds, or begins with.
-HINTS = {"email": "@|[(\\[ ]at[)\\] ]", "ip": "[0-9] ?[\\[(]?[.,]", "card": "[0-9][ ./_-]?[0-9]", "phone": "[0-9]{3}"}
+#: What every match of a kind's generators holds; most texts are passed by for want of it.
+HINTS = {
+    "email": r"(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)",
+    "ip": r"[0-9](?:\x20?[\[(]?[.,][\])]?\x20?[0-9]{1,3}+){3}", "card": r"[0-9](?:[\x20./_-]?[0-9]){11}",
+    "phone": r"[0-9]{3}[\x20.-][0-9]{4}",
+}
 SPAN = "array<struct<begin:int,kind:int,end:int>>"
 FEATURES = ("length", "digits", "groups", "longest_group", "letters", "spaces", "dots", "hyphens", "brackets", "plus", "large_part",
             "check_digit", "before_digit", "before_letter", "after_letter", "after_digit", "before_hint", "marks", "at_sign", "sentence",
