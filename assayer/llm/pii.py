@@ -5,7 +5,7 @@ test are dropped. Candidate generators then propose wider, overlapping spans: ob
 separators or without prefix. Boosted trees judge their format and context. Chosen candidates that touch neither base spans
 nor a surer candidate are added.
 
-The trees are fitted on at most ``most_labelled`` candidates (by hash of doc_id). What is personal is taught by the base
+The trees are fitted on at most ``most_labelled`` candidates (by hash of doc_id), half of them from as many rewritings. What is personal is taught by the base
 spans of the sample, rewritten in their own places as people disguise them (``_forms``): a candidate that covers such a
 rewriting is personal, one that covers it badly isn't. Not personal are also decoys (a number that fails its test, words
 around " at ", lists of numbers) and what the generators find in the prose outside base spans, unless it looks disguised
@@ -120,9 +120,9 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*per_kind))
 
 
-def _fields(text: Column, kind: int, x: Column) -> Column:
+def _fields(text: Column, x: Column) -> Column:
     """A candidate with its features, all doubles."""
-    s, begin = x["found"], x["begin"]
+    s, begin, kind = x["found"], x["begin"], x["kind"]
     end = begin + F.length(s)
     groups = F.filter(F.split(s, "[^0-9]+"), lambda g: g != "")
     before, after = F.substring(text, F.greatest(begin - 1, F.lit(1)), F.least(begin, F.lit(2))), F.substring(text, end + 1, F.lit(2))
@@ -138,20 +138,19 @@ def _fields(text: Column, kind: int, x: Column) -> Column:
         "before_hint": context.rlike("tel|phone|call|fax|mail|card|host|addr|ip|contact"),
         "marks": count("[\\[(](?:at|dot|[.])[)\\]]|(?<= )dot(?= )"), "at_sign": s.contains("@"), "sentence": count("[.,](?= )"),
         "last_letters": F.length(F.regexp_extract(s, "[A-Za-z]*$", 0)),
-        "is_email": F.lit(kind == 0), "is_ip": F.lit(kind == 1), "is_card": F.lit(kind == 2),
+        "is_email": kind == 0, "is_ip": kind == 1, "is_card": kind == 2,
     }
-    return F.struct(begin.alias("begin"), F.lit(kind).alias("kind"), end.alias("end"), *[values[f].cast("double").alias(f) for f in FEATURES])
+    return F.struct(begin.alias("begin"), kind.alias("kind"), end.alias("end"), *[values[f].cast("double").alias(f) for f in FEATURES])
 
 
 def candidates(text: Column) -> Column:
     """What the generators propose, overlapping spans included, with features."""
-    empty = "array<struct<begin:int,kind:int,end:int," + ",".join(f"{f}:double" for f in FEATURES) + ">>"
-    per_kind = []
+    place = "array<struct<begin:int,kind:int,found:string>>"
+    per_generator = []
     for kind, pattern in GENERATORS:
-        k = KINDS.index(kind)
-        found = F.transform(_places(text, pattern), lambda x: _fields(text, k, x))
-        per_kind.append(F.when(text.rlike(HINTS[kind]), found.cast(empty)).otherwise(F.array().cast(empty)))
-    return F.concat(*per_kind)
+        found = F.transform(_places(text, pattern), lambda x: F.struct(x["begin"].alias("begin"), F.lit(KINDS.index(kind)).alias("kind"), x["found"].alias("found")))
+        per_generator.append(F.when(text.rlike(HINTS[kind]), found.cast(place)).otherwise(F.array().cast(place)))
+    return F.transform(F.concat(*per_generator), lambda x: _fields(text, x))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -221,8 +220,9 @@ def _grown(node) -> tuple:
     return (node.split().featureIndex(), node.split().threshold(), _grown(node.leftChild()), _grown(node.rightChild()))
 
 
-def _rewritten(found: DataFrame) -> DataFrame:
-    """(held, drawn, label, c): what the generators find where a base span of ``found`` stands in another form."""
+def _rewritten(found: DataFrame, most: int) -> DataFrame:
+    """(held, drawn, label, c): what the generators find where a base span of ``found`` stands in another form, of which
+    ``most`` are drawn by hash before the generators run."""
     spans = found.select("held", "drawn", "text", F.explode("base").alias("b"))
     begin = F.greatest(F.col("b.begin") - AROUND, F.lit(0))
     spans = spans.select("held", "drawn", F.col("b.kind").alias("kind"), F.substring("text", F.col("b.begin") + 1, F.col("b.end") - F.col("b.begin")).alias("s"),
@@ -233,7 +233,7 @@ def _rewritten(found: DataFrame) -> DataFrame:
         forms = F.when(F.col("kind") == k, F.array(*of_kind)).otherwise(forms)
     placed = spans.select("held", "drawn", "kind", "before", "after", F.explode(forms).alias("f")).filter("f.form is not null")
     placed = placed.select("held", F.xxhash64("drawn", "f.form").alias("drawn"), "kind", "f.decoy", F.concat("before", "f.form", "after").alias("text"), F.struct(
-        F.length("before").alias("begin"), (F.length("before") + F.length("f.form")).alias("end")).alias("place"))
+        F.length("before").alias("begin"), (F.length("before") + F.length("f.form")).alias("end")).alias("place")).orderBy("drawn", "text").limit(most)
     seen = placed.select("*", F.explode(candidates(F.col("text"))).alias("c")).filter(_overlap(F.col("place"), F.col("c")) > 0)
     span = F.greatest("place.end", "c.end") - F.least("place.begin", "c.begin")
     covers = (F.col("kind") == F.col("c.kind")) & (_overlap(F.col("place"), F.col("c")) >= 0.9 * span)
@@ -251,13 +251,13 @@ def fit(docs: DataFrame, most_labelled: int = 4000, rounds: int = 10, depth: int
     # Where the sample ends is found from hashes alone, so that no task gathers texts.
     key = seeded(seed, F.col("doc_id"))
     end = docs.filter(likely).select(key.alias("key")).orderBy("key").limit(most_labelled).agg(F.max("key")).first()[0]
-    sampled = docs.filter(likely & (key <= F.lit(end))).select("doc_id", text.alias("text"))
+    sampled = stored(docs.filter((key <= F.lit(end)) & likely).select("doc_id", text.alias("text")), "sample")
     held = F.pmod(seeded(seed + 1, F.col("doc_id")), F.lit(4)) == 0
     bounded = lambda df: df.select("label", "held", "c.*", F.xxhash64("drawn", "c.begin", "c.end", "c.kind").alias("drawn")).orderBy("drawn").limit(most_labelled // 2)
     found = sampled.select(held.alias("held"), seeded(seed + 2, F.col("doc_id")).alias("drawn"), "text", base_spans(F.col("text")).alias("base"))
     prose = (found.select("held", "drawn", "base", F.explode(candidates(F.col("text"))).alias("c")).withColumn("label", F.lit(0.0))
              .filter(~F.exists("base", lambda b: _overlap(b, F.col("c")) > 0) & ~_unsure(F.col("c"))))
-    rows = stored(bounded(prose).unionByName(bounded(_rewritten(found))), "candidates")
+    rows = stored(bounded(prose).unionByName(bounded(_rewritten(found, most_labelled // 2))), "candidates")
     sides = {r.label: r["count"] for r in rows.filter("not held").groupBy("label").count().collect()}
     if len(sides) < 2:
         return Model([], [2.0] * len(KINDS))
