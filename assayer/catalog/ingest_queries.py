@@ -294,7 +294,7 @@ select case when len<=10485760 and page_id%5<>3 and page_id%4 in (0,1) then 'acc
 def arrival_validation(spark, d):
     schema = table(spark, d, "pages").schema
     root = shared_dir(spark, "arrivals")
-    stream = _uploads(arrivals.table_stream(spark, d, schema, name_filter="pages.parquet"))
+    stream = _uploads(arrivals.table_stream(spark, f"{d}/pages.parquet", schema))
     arrivals.validate_arrivals(stream, f"{root}/accepted", f"{root}/rejected", f"{root}/checkpoint").awaitTermination()
     side = lambda s: spark.read.parquet(f"{root}/{s}").select(F.lit(s).alias("side"))
     return side("accepted").unionByName(side("rejected")).groupBy("side").agg(F.count("*").alias("n"))
@@ -306,7 +306,7 @@ def arrival_scores(spark, d):
     root = shared_dir(spark, "scored")
     scorer = lambda s: s.select("event_id", F.round(F.least(F.col("value") / 500.0, F.lit(1.0)), 6).alias("score"))
     for _ in range(2):  # the second run finds nothing new
-        arrivals.score_arrivals(arrivals.table_stream(spark, d, schema, name_filter="events.parquet"), scorer, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        arrivals.score_arrivals(arrivals.table_stream(spark, f"{d}/events.parquet", schema), scorer, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema("event_id bigint, score double").parquet(f"{root}/out")
 
 

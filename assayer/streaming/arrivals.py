@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,10 +21,13 @@ def arrival_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType | str,
-                 files_per_batch: int = 100, name_filter: str = "*.parquet") -> DataFrame:
-    """Stream of rows from Parquet files landing in a folder."""
+                 files_per_batch: int = 100, name_filter: str = "*") -> DataFrame:
+    """Stream of rows from Parquet files landing in a folder; ``path`` may also be a single file.
+
+    The last character stands as a pattern, since a stream takes a file by a pattern only.
+    """
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", name_filter).parquet(path))
+            .option("pathGlobFilter", name_filter).parquet(re.sub(r"(\w)/*$", r"[\1]", path)))
 
 
 def score_arrivals(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], out: str,

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.catalog import QUERIES
 from assayer.sources import readers
 
 
@@ -83,3 +84,19 @@ def test_corpus_is_listed_by_levels(spark, tmp_path):
     assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, read.collect()))
     with pytest.raises(FileNotFoundError, match="corpus not found"):
         readers.scan_corpus(spark, str(tmp_path / "nowhere"))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_arrivals_of_a_table_in_parts(spark, tmp_path, parts):
+    """A table is one file or a folder of parts; the stream of either holds all of its rows, once."""
+    rows = spark.range(30).select(F.col("id").alias("page_id"), F.lit("https://example.org/").alias("url"), F.lit("<p>é</p>").alias("html"))
+    rows.repartition(parts).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(9).select(F.col("id").alias("event_id"), (F.col("id") * 100.0).alias("value")).repartition(parts).write.parquet(str(tmp_path / "parts"))
+    if parts > 1:
+        (tmp_path / "parts").rename(tmp_path / "events.parquet")
+    else:
+        next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "events.parquet")
+    got = {r.side: r.n for r in QUERIES["arrival_validation"](spark, str(tmp_path)).collect()}
+    kept = sum(i % 5 != 3 and i % 4 in (0, 1) for i in range(30))
+    assert got == {"accepted": kept, "rejected": 30 - kept}
+    assert sorted(r.event_id for r in QUERIES["arrival_scores"](spark, str(tmp_path)).collect()) == list(range(9))
