@@ -255,3 +255,33 @@ def test_a_frequent_score_is_not_shuffled(spark):
     assert max(r["count"] for r in tagged.filter("not hot").groupBy("b").count().collect()) < 3000 / 16 * 2
     order = [r["b"] for r in tagged.orderBy("score").collect()]
     assert order == sorted(order)
+
+
+def test_md5_draws_of_many_at_once():
+    import hashlib
+    for prefix, first, end in ((b"42|7|1|", 0, 1_200), (b"s" * 49 + b"|", 99_990, 100_010), (b"", 5, 6), (b"42|20|0|", 999_990, 1_000_020)):
+        want = [int(hashlib.md5(prefix + b"%d" % k).hexdigest()[:15], 16) for k in range(first, end)]
+        assert draws.md5_numbers(prefix, first, end, at_once=500).tolist() == want
+
+
+def test_hashed_bootstrap_by_its_definition(spark):
+    """Two groups of equal and one of other class sizes, ranks in two blocks, replicates in two rounds."""
+    import hashlib
+    n, rounds = 70_000, 34
+    rows = spark.range(n).selectExpr("id sample_id", "cast(id % 9 = 0 as int) label", "explode(array('A', 'B', 'C')) technique").filter("technique <> 'C' or sample_id % 3 < 2").selectExpr(
+        "*", "pmod(hash(sample_id, technique), 50) / 50D + label * 0.1D score")
+    got = {r.technique: r for r in curves.bootstrap_interval_hashed(rows, ["technique"], n_resamples=rounds, n_blocks=3).collect()}
+    aucs = {}
+    cells = rows.toPandas()
+    cells["h"] = [hashlib.md5(f"42|{i}".encode()).hexdigest() for i in cells.sample_id]
+    cells = cells.sort_values(["h", "sample_id"])
+    for b in range(1, rounds + 1):
+        h = {y: draws.md5_numbers(f"42|{b}|{y}|".encode(), 0, n) for y in (0, 1)}
+        for name, part in cells.groupby("technique"):
+            s = {y: part[part.label == y].score.to_numpy() for y in (0, 1)}
+            real, fake = (np.sort(s[y][(h[y][:len(s[y])] % np.uint64(len(s[y]))).astype(int)]) for y in (0, 1))
+            below = (np.searchsorted(real, fake, "left") + np.searchsorted(real, fake, "right")).sum() / 2
+            aucs.setdefault(name, []).append(below / (len(real) * len(fake)))
+    assert set(got) == {"A", "B", "C"}
+    for name, r in got.items():
+        assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(aucs[name], [0.025, 0.975])), abs=1e-12)
