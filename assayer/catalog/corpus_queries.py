@@ -22,9 +22,8 @@ def corpus_scan(spark, d):
     root = shared_dir(spark, "corpus")
     e = table(spark, d, "documents").select(
         F.when(F.regexp_extract("source", "([0-9]+)", 1).cast("int") <= 4, F.lit("real")).otherwise(F.lit("fake")).alias("top"),
-        "source", "text")
-    salt = F.pmod(F.xxhash64("text"), F.lit(64))            # a hot source is written by many tasks
-    (e.repartition("source", salt).write.option("maxRecordsPerFile", 1).partitionBy("top", "source").text(root))
+        "source", "text", "doc_id")
+    sinks.write_files(e, root, ["top", "source"], "text", "doc_id")
     return readers.scan_corpus(spark, root).groupBy("label", "generator", "source").agg(
         F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"))
 

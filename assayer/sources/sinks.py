@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.integrity import balanced
+from ..session import default_blocks
+from .listing import can_open, opened
 
 SUMMARY_LEADING = ("protocol", "technique", "technique_name", "condition", "seed", "status")
 GENERATOR_LEADING = ("protocol", "technique", "condition", "seed", "generator")
@@ -36,6 +42,42 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     return path
 
 
+def write_files(df: DataFrame, root: str, folders: Sequence[str], text: str, spread_by: str) -> str:
+    """Each row as a text file of its own, one line, in ``key=value`` folders below ``root``; a null text is an empty file.
+
+    Tasks write the files in place, each in folders of its own, so nothing is renamed or listed by the driver. Names count the files
+    of a folder: a task that is run again replaces what it wrote. Where executors can't reach the path, Spark's own writer does it.
+    """
+    folders = list(folders)
+    rows = df.repartition(default_blocks(df.sparkSession), spread_by).select(*folders, text)
+    if not can_open(root):
+        rows.write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(root)
+        return root
+
+    def escaped(value) -> str:      # as Spark escapes the names of its own folders
+        if value in (None, ""):
+            return "__HIVE_DEFAULT_PARTITION__"
+        return re.sub(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", str(value))
+
+    def write(batches):
+        place, inside = opened(root)
+        numbers, task = Counter(), TaskContext.get().partitionId()
+        for batch in batches:
+            for *values, line in zip(*(batch.column(c).to_pylist() for c in (*folders, text))):
+                folder = "/".join((inside.rstrip("/"), *(f"{k}={escaped(v)}" for k, v in zip(folders, values)), f"{task:05d}"))
+                if folder not in numbers:
+                    place.create_dir(folder, recursive=True)
+                with place.open_output_stream(f"{folder}/{numbers[folder]}.txt") as out:
+                    if line is not None:
+                        out.write(line.encode() + b"\n")
+                numbers[folder] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    opened(root)[0].create_dir(opened(root)[1], recursive=True)
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return root
+
+
 def write_scores(scores: DataFrame, path: str,
                  by: Sequence[str] = ("protocol", "technique", "condition")) -> str:
     """Raw scores, one folder per protocol, technique and condition.

@@ -1,10 +1,10 @@
 """Files in many parts: nothing lost, order kept."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from assayer.catalog import QUERIES
-from assayer.sources import readers
+from assayer.sources import readers, sinks
 
 
 def write(df, path, parts):
@@ -100,3 +100,23 @@ def test_arrivals_of_a_table_in_parts(spark, tmp_path, parts):
     kept = sum(i % 5 != 3 and i % 4 in (0, 1) for i in range(30))
     assert got == {"accepted": kept, "rejected": 30 - kept}
     assert sorted(r.event_id for r in QUERIES["arrival_scores"](spark, str(tmp_path)).collect()) == list(range(9))
+
+
+def test_rows_become_files_without_renames(spark, tmp_path, monkeypatch):
+    """One file a row, whatever names the folders have; copies and repeated ids are kept, and Spark's writer, which renames each file, isn't used."""
+    rows = [(i % 7, "real" if i % 3 else "fake", ["src0", "a/b: c", None][i % 3 if i % 5 else 0], None if i == 4 else "é" * (i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, top string, source string, text string")
+    monkeypatch.setattr(DataFrameWriter, "text", None)
+    root = sinks.write_files(df, str(tmp_path / "corpus"), ["top", "source"], "text", "doc_id")
+    sinks.write_files(df, root, ["top", "source"], "text", "doc_id")        # run again: replaced
+    got = readers.scan_corpus(spark, root).groupBy("label", "source").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
+    want = {}
+    for _, top, source, text in rows:
+        name = {"a/b: c": "a%2Fb%3A c", None: "__HIVE_DEFAULT_PARTITION__"}.get(source, source)
+        n, b = want.get((int(top == "fake"), name), (0, 0))
+        want[int(top == "fake"), name] = n + 1, b + (0 if text is None else len(text.encode()) + 1)
+    assert {(r.label, r.source): (r.n, r.b) for r in got} == want
+    monkeypatch.undo()
+    monkeypatch.setattr(sinks, "can_open", lambda path: False)
+    sinks.write_files(df, str(tmp_path / "other"), ["top", "source"], "text", "doc_id")
+    assert readers.scan_corpus(spark, str(tmp_path / "other")).count() == 200
