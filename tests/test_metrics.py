@@ -285,3 +285,20 @@ def test_hashed_bootstrap_by_its_definition(spark):
     assert set(got) == {"A", "B", "C"}
     for name, r in got.items():
         assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(aucs[name], [0.025, 0.975])), abs=1e-12)
+
+
+def test_delong_groups_no_samples_again(spark, monkeypatch):
+    """Many small tasks, hot scores and samples that one side lacks: equal to brute force, and after the matrix nothing is grouped by sample."""
+    monkeypatch.setattr(curves, "TASK_ROWS", 50, raising=False)
+    y, a = skewed(900, 17)
+    _, b = skewed(900, 18)
+    both = frame(spark, y, a, technique="A").unionByName(frame(spark, y, b, technique="B").filter("sample_id % 7 <> 3"))
+    tests = curves.delong_pairs(both, [("A", "B"), ("B", "A")])
+    plan = tests._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "_id" in line]
+    assert "RepartitionByExpression" in plan
+    kept = np.arange(900) % 7 != 3
+    diff, z, _ = brute_delong(np.asarray(y)[kept], np.asarray(a)[kept], np.asarray(b)[kept])
+    got = {r.technique_a: r for r in tests.collect()}
+    assert got["A"].difference == pytest.approx(diff, abs=1e-12) and got["A"].z == pytest.approx(z, abs=1e-9)
+    assert got["B"].difference == pytest.approx(-diff, abs=1e-12) and got["B"].z == pytest.approx(-z, abs=1e-9)
