@@ -302,3 +302,23 @@ def test_delong_groups_no_samples_again(spark, monkeypatch):
     got = {r.technique_a: r for r in tests.collect()}
     assert got["A"].difference == pytest.approx(diff, abs=1e-12) and got["A"].z == pytest.approx(z, abs=1e-9)
     assert got["B"].difference == pytest.approx(-diff, abs=1e-12) and got["B"].z == pytest.approx(-z, abs=1e-9)
+
+
+def test_bootstrap_draws_are_as_before_and_cheap():
+    """The draws of a fixed case, taken before nodes shared a generator; a generator that is set to a key goes on like a new one."""
+    import hashlib
+    digest, keys = hashlib.md5(), draws.order_bits(np.array([0.1, 0.2, 0.3, 5.0]))
+    for total in (1, 5, 100, 10**6, 10**9):
+        for counts in ([1, 1, 1, 1], [1000, 1, 1, 10], [0, 5, 0, 7]):
+            for i, k in draws.allotted(keys, np.array(counts), np.full(500, total), ("x", total)):
+                digest.update(b"%d" % i + k.astype(np.int64).tobytes())
+    assert digest.hexdigest() == "b9107740857096f42b6c377961d7df27"
+    seeded = draws._Generators()
+    for key in (("a", 1), ("b", 2), ("a", 1)):
+        fresh = np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.md5(repr(key).encode()).digest(), "big")))
+        assert (seeded(key).binomial(np.arange(300), 0.3) == fresh.binomial(np.arange(300), 0.3)).all()
+
+
+def test_drawing_tasks_are_not_joined(spark):
+    drawn = curves.bootstrap_replicates(spark.range(100).selectExpr("'T' technique", "cast(id % 2 as int) label", "id / 100D score"), ["technique"], n_resamples=3)
+    assert drawn._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
