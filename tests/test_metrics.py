@@ -322,3 +322,24 @@ def test_bootstrap_draws_are_as_before_and_cheap():
 def test_drawing_tasks_are_not_joined(spark):
     drawn = curves.bootstrap_replicates(spark.range(100).selectExpr("'T' technique", "cast(id % 2 as int) label", "id / 100D score"), ["technique"], n_resamples=3)
     assert drawn._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
+def test_delong_tasks_hold_even_shares(spark, monkeypatch):
+    """More pairs than techniques, whose scores lie apart so that a block of all rows is a block of one pair: tasks still hold about TASK_ROWS rows."""
+    monkeypatch.setattr(curves, "TASK_ROWS", 500)
+    names = ["A", "B", "C", "D"]
+    y, _ = skewed(2000, 19)
+    scores = [skewed(2000, 20 + i)[1] + 2 * i for i in range(4)]
+    table = frame(spark, y, scores[0], technique="A")
+    for name, s in zip(names[1:], scores[1:]):
+        table = table.unionByName(frame(spark, y, s, technique=name))
+    dealt, plain = [], type(table).repartition
+    monkeypatch.setattr(type(table), "repartition", lambda self, *a: dealt.append(plain(self, *a)) or dealt[-1])
+    got = {(r.technique_a, r.technique_b): r for r in curves.delong_pairs(table, [(a, b) for a in names for b in names if a != b]).collect()}
+    assert len(got) == 12 and len(dealt) == 3
+    assert max(part.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] for part in dealt) < 3 * curves.TASK_ROWS
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            if i != j:
+                diff, z, _ = brute_delong(np.asarray(y), scores[i], scores[j])
+                assert got[a, b].difference == pytest.approx(diff, abs=1e-12) and got[a, b].z == pytest.approx(z, abs=1e-9)
