@@ -343,3 +343,18 @@ def test_delong_tasks_hold_even_shares(spark, monkeypatch):
             if i != j:
                 diff, z, _ = brute_delong(np.asarray(y), scores[i], scores[j])
                 assert got[a, b].difference == pytest.approx(diff, abs=1e-12) and got[a, b].z == pytest.approx(z, abs=1e-9)
+
+
+@pytest.mark.parametrize("n_blocks", [1, 2, 7, 40])
+def test_compiled_block_search(spark, n_blocks):
+    """The same blocks as the expression gives, also of nulls, NaN and values beyond the points, and no lambda in the plan."""
+    from assayer.operators.ranking import block_of, row_points, with_row_block
+    y, p = skewed(3000, 23)
+    rows = frame(spark, y, p)
+    points, single = row_points(rows, "score", n_blocks)
+    block = block_of(F.col("score"), F.array(*[F.lit(p) for p in points]), len(points)) * 2 + single.cast("int")
+    odd = spark.createDataFrame([(None,), (float("nan"),), (-9.0,), (9.0,), (float("inf"),), (-0.0,)], "score double")
+    tagged = with_row_block(rows.select("score").unionByName(odd), "score", points, single, "b")
+    assert tagged.filter(~block.eqNullSafe(F.col("b"))).isEmpty()
+    assert tagged.select("b").distinct().count() >= min(n_blocks, 2)
+    assert "lambda" not in tagged._jdf.queryExecution().optimizedPlan().toString()
