@@ -358,3 +358,14 @@ def test_compiled_block_search(spark, n_blocks):
     assert tagged.filter(~block.eqNullSafe(F.col("b"))).isEmpty()
     assert tagged.select("b").distinct().count() >= min(n_blocks, 2)
     assert "lambda" not in tagged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_delong_tasks_sort_nothing_they_write(spark, monkeypatch):
+    """However many rows there are, the shuffles stay within the reducers up to which Spark holds no map output in memory."""
+    monkeypatch.setattr(curves, "TASK_ROWS", 1)
+    y, a = skewed(300, 24)
+    both = frame(spark, y, a, technique="A").unionByName(frame(spark, y, skewed(300, 25)[1], technique="B"))
+    dealt, plain = [], type(both).repartition
+    monkeypatch.setattr(type(both), "repartition", lambda self, n, *keys: dealt.append(n) or plain(self, n, *keys))
+    curves.delong_pairs(both, [("A", "B")])
+    assert dealt == [200, 200, 200]
